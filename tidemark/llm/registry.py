@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_rules, mixing
+from tidemark.llm import line_rules, mixing, packing
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op7_quality_rules": line_rules.op7_quality_rules,
     "op10_mixing": mixing.op10_mixing,
 }
