@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_rules, mixing, packing
+from tidemark.llm import fingerprints, line_rules, mixing, packing, quality_model, url_filter
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op5_url_filter": url_filter.op5_url_filter,
     "op7_quality_rules": line_rules.op7_quality_rules,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_quality_model": quality_model.op9_quality_model,
     "op10_mixing": mixing.op10_mixing,
 }
 
