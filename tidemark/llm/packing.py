@@ -53,11 +53,11 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
+        words = set(chain.from_iterable(split))
+        listed = [w for w in words if w not in self.known]
+        if len(self.known) + len(listed) > CACHED_WORDS:
             self.known.clear()
-            new = set(chain.from_iterable(split))
-        listed = list(new)
+            listed = list(words)
         for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True):
             self.known[w] = array("I", e.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
