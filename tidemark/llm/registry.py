@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, licence_scan, line_rules, mixing, packing, quality_model, url_filter
+from tidemark.llm import fingerprints, licence_scan, line_rules, mixing, packing, quality_model, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_licence_scan": licence_scan.op2_licence_scan,
     "op4_packing": packing.op4_packing,
     "op5_url_filter": url_filter.op5_url_filter,
