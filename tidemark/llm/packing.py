@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table
 
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_200_000
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 
 
@@ -41,27 +40,53 @@ class WordIds:
     """Ids of texts, as the tokenizer gives for each whole text, found by word.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its
-    blank-separated words in turn; words met before are looked up.
+    blank-separated words in turn; it lowers case, and parts letters from a mark after them. Words met before are
+    looked up; new ones are encoded many at a time, between marks that no other word holds.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.mark = self._ids([self.MARK])[0]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # special tokens are matched in their own case, so a text that may hold one keeps its case
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         words = set(chain.from_iterable(split))
-        listed = [w for w in words if w not in self.known]
-        if len(self.known) + len(listed) > CACHED_WORDS:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            listed = list(words)
-        for w, e in zip(listed, self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+            new = list(words)
+        # letters before one mark: the ids of the letters, then those of the mark
+        ends = {w: w[:-1] for w in new if w[-1:] in b".,;:!?" and w[:-1].isalpha()}
+        self._learn([w for w in {*(w for w in new if w not in ends), *ends.values(), *(w[-1:] for w in ends)} if w not in self.known])
+        for w, letters in ends.items():
+            self.known[w] = self.known[letters] + self.known[w[-1:]]
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
+    def _learn(self, words: list[bytes], at_once=400) -> None:
+        mark, sep = np.frombuffer(self.mark, "<u4"), f" {self.MARK} "
+        odd = [w for w in words if self.MARK.encode() in w or b"<|" in w] if len(mark) == 1 else words
+        if odd:
+            self.known.update(zip(odd, self._ids([w.decode() for w in odd]), strict=True))
+            words = [w for w in words if w not in self.known]
+        runs = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([sep.join(w.decode() for w in r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == mark[0]).tolist(), len(ids)]
+            if len(cuts) != len(run) + 1:
+                raise RuntimeError("a word without the mark gave its id")
+            data = ids.tobytes()
+            self.known.update((w, data[4 * a + 4 : 4 * b]) for w, a, b in zip(run, cuts, cuts[1:], strict=False))
+
 
 @lru_cache(2)
 def _encoder(path: str) -> WordIds:
