@@ -3,8 +3,8 @@
 COVER holds, for any difference modulo PERIOD, two members that differ by it. So for a window that starts at i in
 one document and at j in another, some k < PERIOD puts both i + k and j + k on the cover: the two share the
 anchor of ``width - PERIOD + 1`` words there. Anchors are hashed at cover places only, 3 of 7, and a window can occur
-elsewhere only if one of its anchors does. Such windows are extended to their full width, hashed with 128 bits, and
-the least doc_id that has each is found; a word goes if a window over it occurs in an earlier document.
+elsewhere only if one of its anchors does. Such windows are extended to their full width and hashed twice, with 40 bits of each hash besides
+the bucket, and the least doc_id that has each is found; a word goes if a window over it occurs in an earlier document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import MAX_ID, table
-from tidemark.llm.shared import Plan, rolling, split_texts, word_hashes
+from tidemark.llm.shared import LOW, Plan, pack40, rolling, split_texts, unpack40, word_hashes
 
 #: A perfect difference set.
 PERIOD, COVER = 7, (1, 2, 4)
@@ -62,6 +62,7 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
     def extended(docs: pa.Table, h, ends, i):
         """Two hashes and the doc_id of the windows that start at i."""
         a, b = (rolling(h, width, base)[i] for base in (0, 1)) if len(i) else (np.empty(0, np.uint64),) * 2
+        a, b = (a >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40) | a & LOW, b & LOW
         return a, b, docs.column("doc_id").to_numpy()[np.searchsorted(ends, i, side="right") - 1] if len(i) else np.empty(0, np.int64)
 
     def least(a, b, ids):
@@ -71,11 +72,36 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
         first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
         return a[first], b[first], ids[first]
 
-    asked_schema = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("data", pa.binary())])
+    def packed(a, b, ids, part) -> tuple[list, list[list[bytes]]]:
+        """Parts, and of each its hashes in the order of their ids, the ids, and how many hashes each has."""
+        order = np.lexsort((ids, part))
+        a, b, ids, part = pack40(a[order] & LOW), pack40(b[order]), ids[order], part[order]
+        own, starts = np.unique(part, return_index=True)
+        columns: list[list[bytes]] = [[], [], [], []]
+        for x, y in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True):
+            each, n = np.unique(ids[x:y], return_counts=True)
+            for c, data in zip(columns, (a[5 * x : 5 * y], b[5 * x : 5 * y], each.tobytes(), n.astype(np.uint32).tobytes()), strict=True):
+                c.append(data)
+        return own.tolist(), columns
+
+    def unpacked(found: pa.Table):
+        """Hashes with their bucket, ids, and the row of each."""
+        empty = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        parts = [empty]
+        for k, (bucket, a, b, ids, n) in enumerate(zip(*(found.column(c).to_pylist() for c in ("bucket", "a", "b", "ids", "n")), strict=True)):
+            a = unpack40(a) | np.uint64(bucket) << np.uint64(40)
+            parts.append((a, unpack40(b), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(n, np.uint32)), np.full(len(a), k)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    schema = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("ids", pa.binary()), ("n", pa.binary())])
+    ddl = "bucket int, g long, a binary, b binary, ids binary, n binary"
+
+    def made(buckets_, groups_, columns) -> pa.Table:
+        return pa.table([pa.array(x, f.type) for x, f in zip([buckets_, groups_, *columns], schema, strict=True)], schema=schema)
 
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
-            return asked_schema.empty_table()
+            return schema.empty_table()
         h, ends = word_hashes(split_texts(docs))
         at, hit = _anchors(ends, len(h), size, width), np.zeros(len(h) + PERIOD, bool)
         if len(at) and len(answers):
@@ -83,32 +109,19 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
         before, i = np.append(0, np.cumsum(hit)), inside(ends, len(h))
         i = i[before[i + PERIOD] > before[i]]
         a, b, ids = least(*extended(docs, h, ends, i))
-        bucket = (a >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows = np.stack([a, b, ids.view(np.uint64)], 1)[order] if len(a) else np.empty((0, 3), np.uint64)
-        own, starts = np.unique(bucket[order], return_index=True)
-        cuts = [*starts.tolist(), len(rows)]
-        data = [rows[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-        return pa.table([pa.array(own.astype(np.int32)), pa.array([docs.column("g")[0].as_py()] * len(own), pa.int64()), pa.array(data, pa.binary())], schema=asked_schema)
-
-    answer_schema = pa.schema([("g", pa.int64()), ("data", pa.binary())])
+        own, columns = packed(a, b, ids, (a >> np.uint64(40)).astype(np.int64))
+        return made(own, [docs.column("g")[0].as_py()] * len(own), columns)
 
     def answer(asked: pa.Table) -> pa.Table:
-        groups = asked.column("g").to_numpy()
-        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 3) for x in asked.column("data")]
-        rows, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        ids = rows[:, 2].view(np.int64) if rows.flags.c_contiguous else rows[:, 2].copy().view(np.int64)
-        order = np.lexsort((ids, rows[:, 1], rows[:, 0]))
-        rows, of, ids = rows[order], of[order], ids[order]
-        first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
+        a, b, ids, of = unpacked(asked)
+        order = np.lexsort((ids, b, a))
+        a, b, ids, of = a[order], b[order], ids[order], of[order]
+        first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         lowest = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
         news = lowest < ids  # the other groups know it already
-        rows, of = np.stack([rows[news, 0], rows[news, 1], lowest[news].view(np.uint64)], 1), of[news]
-        order = np.argsort(of, kind="stable")
-        rows, of = rows[order], of[order]
-        own, starts = np.unique(of, return_index=True)
-        cuts = [*starts.tolist(), len(of)]
-        return pa.table([pa.array(groups[own]), pa.array([rows[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], schema=answer_schema)
+        own, columns = packed(a[news], b[news], lowest[news], of[news])
+        groups = asked.column("g").to_numpy()
+        return made([asked.column("bucket")[0].as_py()] * len(own), groups[own].tolist() if own else [], columns)
 
     names = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     out_schema = pa.schema(names + [("kept_text", pa.string())] * with_text)
@@ -118,19 +131,19 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
             return out_schema.empty_table()
         texts = split_texts(docs)
         h, ends = word_hashes(texts)
-        told = np.concatenate([np.empty((0, 3), np.uint64), *(np.frombuffer(x.as_py(), np.uint64).reshape(-1, 3) for x in answers.column("data"))])
+        ta, tb, tids, _ = unpacked(answers)
         i, covered = inside(ends, len(h)), np.zeros(len(h) + 1, np.int64)
         if len(i):
             # only windows that stand twice in this group, or of which an earlier place is known, can go
-            a = rolling(h, width)[i]
+            a, *_ = extended(docs, h, ends, i)
             order = np.argsort(a, kind="stable")
             same = a[order][1:] == a[order][:-1]
             twice = np.zeros(len(i), bool)
             twice[order] = np.append(same, False) | np.append(False, same)
-            i = i[twice | np.isin(a, told[:, 0])]
+            i = i[twice | np.isin(a, ta)]
         if len(i):
             a, b, ids = extended(docs, h, ends, i)
-            la, lb, lids = least(np.append(a, told[:, 0]), np.append(b, told[:, 1]), np.append(ids, told[:, 2].copy().view(np.int64)))
+            la, lb, lids = least(np.append(a, ta), np.append(b, tb), np.append(ids, tids))
             at = np.searchsorted(la, a)
             while (other := lb[at] != b).any():  # windows of the same first hash follow one another
                 at = at + other
@@ -146,8 +159,8 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
             rows.append(row + (kept.decode(),) * with_text)
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), out_schema, strict=True)], schema=out_schema)
 
-    asked = plan.with_answers(plan.shared(anchor_hashes), ask, "bucket int, g long, data binary")
-    earlier = asked.groupBy("bucket").applyInArrow(answer, "g long, data binary")
+    asked = plan.with_answers(plan.shared(anchor_hashes), ask, ddl)
+    earlier = asked.groupBy("bucket").applyInArrow(answer, ddl)
     return plan.with_answers(earlier, remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
