@@ -28,13 +28,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import MAX_ID, durable, table
 from tidemark.llm.components import components
-from tidemark.llm.shared import Plan, counted, rolling, word_hashes
+from tidemark.llm.shared import Plan, rolling, words_of
 
 SHINGLE, ALIKE = 5, (75, 100)
 #: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once.
 LEADERS, MARK, BLOCK, AT_ONCE = 3, 16, 4096, 1 << 17
-_UP, _LOW = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
-_LOWER = bytes.maketrans(_UP, _LOW)
 
 
 @dataclass
@@ -46,11 +44,10 @@ class Sets:
     ends: np.ndarray  # where each unit begins and the last ends
 
 
-def shingle_sets(texts: list[list[bytes]], width=SHINGLE) -> Sets:
-    """The sets of the given texts' words: shingles of ``width``, of fewer words the whole sequence, of none nothing."""
-    h, ends = word_hashes(texts)
+def shingle_sets(h: np.ndarray, ends: np.ndarray, width=SHINGLE) -> Sets:
+    """The sets of units of words: shingles of ``width``, of fewer words the whole sequence, of none nothing."""
     n = np.diff(ends)
-    of = np.repeat(np.arange(len(n)), n)
+    of = np.repeat(np.arange(len(n), dtype=np.uint16 if len(n) < 1 << 16 else np.int64), n)
     place = np.arange(len(h)) - ends[:-1][of]
     at = np.flatnonzero(place + width <= n[of])
     unit, value = [of[at]], [rolling(h, width)[at]]
@@ -60,7 +57,8 @@ def shingle_sets(texts: list[list[bytes]], width=SHINGLE) -> Sets:
             unit.append(of[short])
             value.append(rolling(h, k)[short] ^ np.uint64(k))
     unit, value = np.concatenate(unit), np.concatenate(value)
-    order = np.lexsort((value, unit))
+    order = np.argsort(value)
+    order = order[np.argsort(unit[order], kind="stable")]
     unit, value = unit[order], value[order]
     new = np.append(True, (unit[1:] != unit[:-1]) | (value[1:] != value[:-1]))[: len(unit)]
     unit, value = unit[new], value[new]
@@ -241,10 +239,6 @@ def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE) -> DataFrame:
     return both.mapInArrow(exact, "unit long, to long, common int")
 
 
-def _lowered(docs: pa.Table) -> list[list[bytes]]:
-    return [t.translate(_LOWER).split() for t in docs.column("text").cast(pa.binary()).to_pylist()]
-
-
 def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_id", text_col="text") -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (least doc_id of an equal set), component_id (least doc_id reachable by
     links, itself included).
@@ -253,21 +247,25 @@ def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_i
     document if their sets are equal; else the last by its digest stands for it. Null doc_ids are one document.
     """
     plan = Plan(docs, id_col, text_col)
-    counter = plan.counter()
-    def hashes(docs: pa.Table):
-        return counted(shingle_sets(_lowered(docs), width).hashes)
+    counter, key_of = plan.counter(), plan.key_of()
+    def sets_of(docs: pa.Table) -> Sets:
+        w = words_of(docs.column("text"), lower=True)
+        return shingle_sets(w.hashes, w.ends, width)
+
+    def keys(docs: pa.Table):
+        return np.unique(key_of(sets_of(docs).hashes), return_counts=True)
 
     def sign(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return _SIGNATURE.empty_table()
-        sets = shingle_sets(_lowered(docs), width)
+        sets = sets_of(docs)
         rows: dict[int, tuple] = {}
         for u, s in zip(docs.column("doc_id").to_pylist(), signatures(sets, counter(answers)(sets.hashes), alike), strict=True):
             if u not in rows or rows[u][1] < s[1]:
                 rows[u] = s
         return pa.table([pa.array(list(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows.values(), strict=True), list(_SIGNATURE)[1:], strict=True))], schema=_SIGNATURE)
 
-    units = durable(plan.with_answers(plan.shared(hashes), sign, SIGNATURE))
+    units = durable(plan.with_answers(plan.shared(keys), sign, SIGNATURE))
     found = similar_units(units, alike)
     back = lambda c: F.when(c != MAX_ID, c)
     return found.select(

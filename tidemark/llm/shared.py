@@ -6,45 +6,98 @@ answers every group with those of its hashes that two documents or more have. So
 documents share costs one entry per group, not one per document, and no task holds more than a bucket or a group.
 The exchange of documents by group is the same wherever it is used in a plan, so Spark runs it once.
 
-A hash travels as its bucket and its lower 40 bits. Two that fall together look shared, which costs work further
+A hash travels as its bucket and 32 bits. Two that fall together look shared, which costs work further
 on but changes no result: whoever asks verifies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from itertools import chain
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions
 
-GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, CACHED_WORDS = 16, 4, 400_000
-LOW = np.uint64((1 << 40) - 1)
+GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 16, 4, 1 << 20
+LOW = np.uint64((1 << 32) - 1)
+_ONE = 0xD1342543DE82EF95  # odd: a base of polynomials modulo 2**64, with an inverse
 _BASES = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4B))
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hash_of = _Words()
-
-
-def word_hashes(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in turn, where each text begins and the last ends)."""
-    texts = list(texts)
-    ends = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=ends[1:])
-    return np.fromiter(map(_hash_of.__getitem__, chain.from_iterable(texts)), np.uint64, int(ends[-1])), ends
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to n at least."""
+    for k, base in enumerate((_ONE, pow(_ONE, -1, 1 << 64))):
+        while len(_powers[k]) <= n:
+            _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(base, len(_powers[k]), 1 << 64))])
+    return _powers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Words:
+    """Words of texts that stand one after another in ``data``."""
+
+    hashes: np.ndarray
+    ends: np.ndarray  # words: where each text begins and the last ends
+    start: np.ndarray  # bytes, of every word
+    stop: np.ndarray
+    data: np.ndarray
+    edges: np.ndarray  # bytes: where each text begins and the last ends
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lines that have words: where each begins among the words and the last ends, its text, its place in it."""
+        breaks = np.append(0, np.cumsum(self.data == 10))
+        text = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+        line = breaks[self.start]
+        new = np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1]))[: len(line)]
+        first = np.flatnonzero(new)
+        return np.append(first, len(line)), text[first], line[first] - breaks[self.edges[:-1]][text[first]]
+
+
+def words_of(column: pa.ChunkedArray, lower=False) -> Words:
+    """All in array operations: a word's hash is that of its bytes, read off prefix sums of a polynomial."""
+    texts = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    texts = texts.cast(pa.large_binary())
+    if not len(texts):
+        none = np.empty(0, np.int64)
+        return Words(np.empty(0, np.uint64), np.zeros(1, np.int64), none, none, np.empty(0, np.uint8), np.zeros(1, np.int64))
+    edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    data = _LOWER[data] if lower else data
+    word = ~_BLANK[data]
+    cut = np.zeros(len(data) + 1, bool)  # a text begins here
+    cut[edges] = True
+    before, after = np.append(False, word[:-1])[: len(word)], np.append(word[1:], False)[: len(word)]
+    start = np.flatnonzero(word & (~before | cut[:-1]))
+    stop = np.flatnonzero(word & (~after | cut[1:])) + 1
+    hashes = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = start[at]
+        to = max(at + 1, int(np.searchsorted(stop, low + AT_ONCE, side="right")))
+        piece = data[low : stop[to - 1]]
+        power, inverse = _power_tables(len(piece))
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
+        own = start[at:to] - low
+        hashes[at:to] = (sums[stop[at:to] - low] - sums[own]) * inverse[own]
+        at = to
+    return Words(mixed(hashes), np.searchsorted(start, edges), start, stop, data, edges)
 
 
 def rolling(h: np.ndarray, width: int, base=0) -> np.ndarray:
@@ -54,13 +107,30 @@ def rolling(h: np.ndarray, width: int, base=0) -> np.ndarray:
     for k in range(width):
         out *= _BASES[base]
         out += h[k : k + n]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+    return mixed(out)
+
+
+def _packed_keys(key: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as differences, byte plane by byte plane: the upper planes are nearly constant."""
+    d = np.diff(key.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
+    return d.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    d = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(d, dtype=np.uint32).astype(np.uint64)
+
+
+def _planes(n: np.ndarray) -> bytes:
+    return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 class Plan:
-    """Documents as (g, doc_id, text, *others), and how many groups and buckets there are."""
+    """Documents as (g, doc_id, text, rest), and how many groups and buckets there are."""
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", others: list[str] | None = None):
         parts = input_partitions(docs)
@@ -69,73 +139,68 @@ class Plan:
         rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []
         self.docs = docs.select(F.pmod(F.xxhash64(key), F.lit(self.groups)).alias("g"), key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
 
-    def asked(self, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        """(bucket, g, low, n): hashes gets the documents of a group and returns distinct hashes and their counts."""
+    def key_of(self) -> Callable[[np.ndarray], np.ndarray]:
+        """From hashes to keys: the bucket in the upper half, 32 more bits in the lower."""
         buckets = np.uint64(self.buckets)
+        return lambda h: (h >> np.uint64(32)) % buckets << np.uint64(32) | h & LOW
+
+    def asked(self, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(bucket, g, low, n): keys gets the documents of a group and returns rising keys and their counts."""
         schema = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
 
         def ask(docs: pa.Table) -> pa.Table:
-            h, n = hashes(docs)
-            bucket, low = (h >> np.uint64(40)) % buckets, h & LOW
-            order = np.argsort(bucket.astype(np.int32), kind="stable")
-            bucket, low, n = bucket[order], low[order], np.minimum(n[order], 255).astype(np.uint8)
-            own, starts = np.unique(bucket, return_index=True)
-            cuts = [*starts.tolist(), len(bucket)]
-            packed = pack40(low)
-            rows = [packed[5 * a : 5 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            counts = [n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-            g = docs.column("g")[0].as_py()
-            return pa.table([pa.array(own.astype(np.int32)), pa.array([g] * len(own), pa.int64()), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], schema=schema)
+            key, n = keys(docs)
+            n = np.minimum(n, 255).astype(np.uint8)
+            bucket = key >> np.uint64(32)
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            pairs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(key)], strict=True)) if len(key) else []
+            columns = [bucket[starts].astype(np.int32), np.full(len(starts), docs.column("g")[0].as_py()), [_packed_keys(key[a:b]) for a, b in pairs], [n[a:b].tobytes() for a, b in pairs]]
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         return self.docs.groupBy("g").applyInArrow(ask, "bucket int, g long, low binary, n binary")
 
-    def shared(self, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        """(g, bucket, low, n): per group and bucket, the hashes that two documents or more have, in order, and how many
+    def shared(self, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """(g, bucket, low, n): per group and bucket, the keys that two documents or more have, rising, and how many
         (counts of a group above 255 count as 255)."""
         schema = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), ("low", pa.binary()), ("n", pa.binary())])
 
         def answer(asked: pa.Table) -> pa.Table:
             groups = asked.column("g").to_numpy()
-            lows = [unpack40(x.as_py()) for x in asked.column("low")]
-            low = np.concatenate(lows)
-            n = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in asked.column("n")])
-            of = np.repeat(np.arange(len(lows), dtype=np.int32), [len(x) for x in lows])
-            order = np.argsort(low, kind="stable")
-            low, n, of = low[order], n[order].astype(np.int64), of[order]
-            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            total = np.add.reduceat(n, starts)
+            lows = [_unpacked_keys(x) for x in asked.column("low").to_pylist()]
+            low = np.concatenate(lows).astype(np.uint32)
+            n = np.concatenate([np.frombuffer(x, np.uint8) for x in asked.column("n").to_pylist()])
+            of = np.repeat(np.arange(len(lows), dtype=np.uint32), [len(x) for x in lows])
+            order = np.argsort(low)
+            sorted_low = low[order]
+            starts = np.flatnonzero(np.append(True, sorted_low[1:] != sorted_low[:-1]))
+            total = np.add.reduceat(n[order].astype(np.int64), starts)
             total = np.repeat(total, np.diff(np.append(starts, len(low))))
-            keep = total > 1
-            low, total, of = low[keep], np.minimum(total[keep], 2**32 - 1).astype(np.uint32), of[keep]
-            order = np.argsort(of, kind="stable")
-            low, total, of = low[order], total[order], of[order]
-            own, starts = np.unique(of, return_index=True)
-            cuts, packed = [*starts.tolist(), len(of)], pack40(low)
-            pairs = list(zip(cuts, cuts[1:], strict=False))
-            return pa.table([
-                pa.array(groups[own]), pa.array(np.full(len(own), asked.column("bucket")[0].as_py(), np.int32)),
-                pa.array([packed[5 * a : 5 * b] for a, b in pairs], pa.binary()), pa.array([total[a:b].tobytes() for a, b in pairs], pa.binary()),
-            ], schema=schema)
-
-        return self.asked(hashes).groupBy("bucket").applyInArrow(answer, "g long, bucket int, low binary, n binary")
+            back = np.zeros(len(low), np.uint32)
+            back[order] = np.minimum(total, 2**32 - 1)
+            keep = back > 1  # in the order of the groups, and rising in each
+            low, of, back = low[keep], of[keep], back[keep]
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+            pairs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(of)], strict=True)) if len(of) else []
+            columns = [groups[of[starts]], np.full(len(starts), asked.column("bucket")[0].as_py()), [_packed_keys(low[a:b]) for a, b in pairs], [_planes(back[a:b]) for a, b in pairs]]
+            return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        return self.asked(keys).groupBy("bucket").applyInArrow(answer, "g long, bucket int, low binary, n binary")
 
     def counter(self) -> Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]:
         """Of a group's answers: a function from hashes to their numbers of documents, 1 if not shared."""
-        buckets = np.uint64(self.buckets)
+        key_of = self.key_of()
 
         def of_answers(answers: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
-            keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-            for b, low, n in zip(answers.column("bucket").to_pylist(), answers.column("low"), answers.column("n"), strict=True):
-                keys.append(unpack40(low.as_py()) | np.uint64(b) << np.uint64(40))
-                counts.append(np.frombuffer(n.as_py(), np.uint32))
-            key, count = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(key, kind="stable")
-            key, count = np.append(key[order], np.uint64(2**64 - 1)), np.append(count[order], np.uint32(1))
+            rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "low", "n")), strict=True))
+            keys = np.concatenate([*(_unpacked_keys(low) | np.uint64(b) << np.uint64(32) for b, low, _ in rows), np.array([2**64 - 1], np.uint64)])
+            counts = np.concatenate([*(_unplaned(n) for *_, n in rows), np.ones(1, np.uint32)])
 
             def look_up(h: np.ndarray) -> np.ndarray:
-                k = (h >> np.uint64(40)) % buckets << np.uint64(40) | h & LOW
-                at = np.searchsorted(key, k)
-                return np.where(key[at] == k, count[at], 1)
+                k = key_of(h)
+                order = np.argsort(k)  # searching in order is several times as fast
+                at = np.empty(len(k), np.int64)
+                at[order] = np.searchsorted(keys, k[order])
+                return np.where(keys[at] == k, counts[at], 1)
 
             return look_up
 
@@ -154,11 +219,3 @@ def unpack40(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel().astype(np.uint64)
-
-
-def split_texts(docs: pa.Table) -> list[list[bytes]]:
-    return [t.split() for t in docs.column("text").cast(pa.binary()).to_pylist()]
-
-
-def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes, return_counts=True)

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import MAX_ID, table
-from tidemark.llm.shared import LOW, Plan, pack40, rolling, split_texts, unpack40, word_hashes
+from tidemark.llm.shared import Plan, pack40, rolling, unpack40, words_of
 
+LOW = np.uint64((1 << 40) - 1)
 #: A perfect difference set.
 PERIOD, COVER = 7, (1, 2, 4)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -41,18 +42,18 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
     if width < PERIOD + 1:
         raise ValueError(f"windows must have {PERIOD + 1} words at least")
     size, plan = width - PERIOD + 1, Plan(docs, id_col, text_col)
-    counter, buckets = plan.counter(), plan.buckets
-
-    def anchor_hashes(docs: pa.Table):
-        h, ends = word_hashes(split_texts(docs))
-        at = _anchors(ends, len(h), size, width)
-        of = np.searchsorted(ends, at, side="right")
-        found = rolling(h, size)[at] if len(at) else np.empty(0, np.uint64)
-        order = np.argsort(found, kind="stable")
-        found, ids = found[order], docs.column("doc_id").to_numpy()[of[order] - 1]
-        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
-        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(found) else np.empty(0, bool)
-        return found[starts], 1 + several
+    counter, buckets, key_of = plan.counter(), plan.buckets, plan.key_of()
+
+    def anchor_keys(docs: pa.Table):
+        w = words_of(docs.column("text"))
+        at = _anchors(w.ends, len(w.hashes), size, width)
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        key = key_of(rolling(w.hashes, size)[at])
+        order = np.argsort(key)
+        key, ids = key[order], docs.column("doc_id").to_numpy()[np.searchsorted(w.ends, at, side="right")[order] - 1]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[starts], 1 + (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts))
 
     def inside(ends: np.ndarray, total: int) -> np.ndarray:
         """Starts of the windows that don't leave their document."""
@@ -102,7 +103,8 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return schema.empty_table()
-        h, ends = word_hashes(split_texts(docs))
+        w = words_of(docs.column("text"))
+        h, ends = w.hashes, w.ends
         at, hit = _anchors(ends, len(h), size, width), np.zeros(len(h) + PERIOD, bool)
         if len(at) and len(answers):
             hit[at] = counter(answers)(rolling(h, size)[at]) > 1
@@ -129,14 +131,14 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return out_schema.empty_table()
-        texts = split_texts(docs)
-        h, ends = word_hashes(texts)
+        w = words_of(docs.column("text"))
+        h, ends = w.hashes, w.ends
         ta, tb, tids, _ = unpacked(answers)
         i, covered = inside(ends, len(h)), np.zeros(len(h) + 1, np.int64)
         if len(i):
             # only windows that stand twice in this group, or of which an earlier place is known, can go
             a, *_ = extended(docs, h, ends, i)
-            order = np.argsort(a, kind="stable")
+            order = np.argsort(a)
             same = a[order][1:] == a[order][:-1]
             twice = np.zeros(len(i), bool)
             twice[order] = np.append(same, False) | np.append(False, same)
@@ -152,14 +154,15 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
             np.add.at(covered, gone + width, -1)
         covered = np.cumsum(covered) > 0
         rows = []
+        texts = docs.column("text").cast(pa.binary()).to_pylist()
         for k, (doc_id, text) in enumerate(zip(docs.column("doc_id").to_pylist(), texts, strict=True)):
-            out = covered[ends[k] : ends[k + 1]]
-            kept = b" ".join([w for w, c in zip(text, out.tolist(), strict=True) if not c] if out.any() else text)
-            row = (None if doc_id == MAX_ID else doc_id, len(text), int(out.sum()), hashlib.sha256(kept).hexdigest())
+            out, own = covered[ends[k] : ends[k + 1]], text.split()
+            kept = b" ".join([x for x, c in zip(own, out.tolist(), strict=True) if not c] if out.any() else own)
+            row = (None if doc_id == MAX_ID else doc_id, len(own), int(out.sum()), hashlib.sha256(kept).hexdigest())
             rows.append(row + (kept.decode(),) * with_text)
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), out_schema, strict=True)], schema=out_schema)
 
-    asked = plan.with_answers(plan.shared(anchor_hashes), ask, ddl)
+    asked = plan.with_answers(plan.shared(anchor_keys), ask, ddl)
     earlier = asked.groupBy("bucket").applyInArrow(answer, ddl)
     return plan.with_answers(earlier, remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
