@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
+
+
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows with the ``most`` smallest hashes of their key, all if there are no more.
+
+    A share of the hashes that holds several times as many rows is looked at, so that what tasks send on
+    doesn't grow with their number.
+    """
+    h = F.xxhash64(key, F.lit(17))
+    share = min(1.0, 4.0 * most / max(1, rows.count()))
+    near = rows if share == 1.0 else rows.where(h <= F.lit(int(-(2**63) + share * 2**64)).cast("long"))
+    return near.withColumn("_h", h).orderBy("_h", key).limit(most).drop("_h")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import sampled, table
 
 SAMPLE_DOCS, WIDTH, WINDOW, LEAST, CONFIRM, EPOCHS = 1500, 1 << 15, 64, 0.5, 0.7, 12
 UNKNOWN = "unknown"
@@ -192,8 +192,10 @@ def train(paragraphs: list[str], seed=7) -> Licences:
 
 
 def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, id_col="doc_id", text_col="text") -> Licences:
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.substring_index(F.col(text_col), "\n", 4).alias("text"))
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_docs).select("text").collect()
+    own = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    picked = sampled(own.select("_id"), F.col("_id"), sample_docs)
+    rows = own.join(F.broadcast(picked.distinct()), "_id").select(F.substring_index("_text", "\n", 4)).collect()
+    rows = sorted(rows)
     return train([p[:2000] for r in rows for p in r[0].split("\n") if p.strip()])
 
 

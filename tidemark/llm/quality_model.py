@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import sampled, table
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE = 48, 12, 150, 60, 8, 4, 0.08
@@ -162,7 +162,7 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS, id_col="doc_id", text_col="text", label_col="quality") -> Model:
     """Trained on labelled rows that aren't held out. Rows without an id, a label or a document are left aside."""
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("_id is not null and label is not null")
-    picked = picked.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "label").limit(sample_rows)
+    picked = sampled(picked.where(~held_out(F.col("_id"))), F.col("_id"), sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("label", "text")
     found = sorted((r[0], tuple(r[1])) for r in _measured(rows).collect())
     return train(np.array([r[1] for r in found]).reshape(-1, len(FEATURES)), np.array([float(r[0]) for r in found]))
