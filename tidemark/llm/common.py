@@ -30,12 +30,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared folder; only where none is set (tests) one is made."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no more
-    than its own tasks. The session's folder is used; only where none is set (tests) one is made."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    than its own tasks."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

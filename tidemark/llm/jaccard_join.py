@@ -100,42 +100,55 @@ def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
+def most_common(i, n, j, m, least):
+    """Positional bound: a shingle at places i and j of two sets by rarity has so many shared ones beside it at most."""
+    return least(i, j) + 1 + least(n - i - 1, m - j - 1)
+
+
 def alike_sets(common, na, nb, alike=ALIKE):
     return alike[1] * common >= alike[0] * (na + nb - common)
 
 
-SIGNATURE = "unit long, n int, digest binary, mark array<long>, bits binary, tokens binary, prefix binary"
-_SIGNATURE = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary())])
+#: What signatures() gives, after the unit.
+SIGNED = {"n": pa.int32(), "digest": pa.binary(), "mark": pa.list_(pa.int64()), "bits": pa.binary(), "tokens": pa.binary(), "prefix": pa.binary(), "places": pa.binary()}
+SIGNED_DDL = "n int, digest binary, mark array<long>, bits binary, tokens binary, prefix binary, places binary"
+SIGNATURE, _SIGNATURE = f"unit long, {SIGNED_DDL}", pa.schema([("unit", pa.int64()), *SIGNED.items()])
 
 
 def signatures(sets: Sets, counts: np.ndarray, alike=ALIKE):
-    """Per unit: n, digest of the set, and where it shares enough: bitmap, the hashes in order, the prefix by rarity."""
+    """Per unit: n, digest of the set, and where it shares enough: short and long bitmap, the hashes in order, and of the
+    prefix by rarity the hashes that others have, with their places."""
     shares = np.add.reduceat(np.append(counts > 1, False).astype(np.int64), sets.ends[:-1]) if len(sets.ends) > 1 else np.empty(0, np.int64)
     for k, (a, b) in enumerate(zip(sets.ends[:-1].tolist(), sets.ends[1:].tolist(), strict=True)):
         n, h = b - a, sets.hashes[a:b]
         digest = xxhash.xxh3_128_digest(h.tobytes())
         if not n or shares[k] < least_common(n, alike):
-            yield n, digest, None, None, None, None
+            yield n, digest, None, None, None, None, None
             continue
         c = counts[a:b]
         order = np.lexsort((h, c))[: n - least_common(n, alike) + 1]
-        yield n, digest, mark(h), bitmap(h, n), h.tobytes(), h[order[c[order] > 1]].tobytes()
+        places = np.flatnonzero(c[order] > 1)
+        yield n, digest, mark(h), bitmap(h, n), h.tobytes(), h[order[places]].tobytes(), places.astype(np.int32).tobytes()
 
 
-def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
-    """units: SIGNATURE columns, each unit once -> (unit, n, digest, rep, component): rep is the least unit of an equal
-    set, component the least that it reaches over links; both null for an empty set. units is read several times."""
-    classes = units.where("n > 0").groupBy("digest").agg(F.min("unit").alias("rep"))
+def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
+    """units: SIGNATURE columns and pos, each unit once, to be read several times ->
+
+    classes (digest, rep, pos): of each set that isn't empty, the unit of the least pos; links (unit, to, common): pairs of
+    representatives that are alike, enough of them to connect whatever is connected.
+    """
+    classes = units.where("n > 0").groupBy("digest").agg(F.min(F.struct("pos", "unit")).alias("f")).select("digest", F.col("f.unit").alias("rep"), F.col("f.pos").alias("pos"))
     reps = units.where("tokens is not null").join(classes.select(F.col("rep").alias("unit")), "unit", "left_semi")
-    reps = durable(reps.select("unit", "n", "mark", "bits", "tokens", "prefix"))
-    tiles = durable(_tiles(reps.select("unit", "n", "prefix"), alike))
+    reps = durable(reps.select("unit", "n", "mark", "bits", "tokens", "prefix", "places"))
+    tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places"), alike))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
-    leads = [F.min(F.struct(F.hash("unit", F.lit(k)).alias("h") if k else F.lit(0).alias("h"), "unit", "n")) for k in range(LEADERS + 1)]
+    fits = fits & alike_sets(most_common(F.col("place"), F.col("n"), F.col("place2"), F.col("m"), F.least), F.col("n"), F.col("m"), alike)
+    leads = [F.min(F.struct(F.hash("unit", F.lit(k)).alias("h") if k else F.lit(0).alias("h"), "unit", "n", "place")) for k in range(LEADERS + 1)]
     first = tiles.groupBy("token", "at").agg(F.array(*leads).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
-    stars = tiles.join(first, ["token", "at"]).select("unit", "n", F.explode(F.array_distinct("leads")).alias("lead"))
-    stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to"), "n", F.col("lead.n").alias("m"))
-    stars = stars.where(fits & (F.col("unit") != F.col("to"))).select("unit", "to").distinct()
+    stars = tiles.join(first, ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
+    stars = stars.withColumn("m", F.col("lead.n")).withColumn("place2", F.col("lead.place")).where(fits & (F.col("unit") != F.col("lead.unit")))
+    stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to")).distinct()
     links = durable(verified(stars, reps, alike))
     joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
     placed = tiles.join(joined.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
@@ -145,7 +158,14 @@ def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
     placed = placed.withColumn("block", F.pmod(F.hash("unit"), "blocks")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("low", F.least("block", "beside")).withColumn("high", F.greatest("block", "beside"))
     rest = placed.groupBy("token", "at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = durable(links.unionByName(verified(rest, reps, alike)))
+    links = durable(links.unionByName(verified(rest.distinct(), reps, alike)).distinct())
+    return classes, links
+
+
+def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
+    """The same units -> (unit, n, digest, rep, component): rep is the least unit of an equal set, component the least that
+    it reaches over links; both null for an empty set."""
+    classes, links = class_links(units.withColumn("pos", F.col("unit")), alike)
     joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
     classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return units.select("unit", "n", "digest").join(classes, "digest", "left").select(
@@ -154,19 +174,19 @@ def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
 
 
 def _tiles(reps: DataFrame, alike) -> DataFrame:
-    """(token, at, unit, n, band): the unit in the tile of a prefix shingle and of its own band or the next."""
-    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("band", pa.int32())])
+    """(token, at, unit, n, band, place): the unit in the tile of a prefix shingle and of its own band or the next."""
+    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("place", pa.int32())])
 
     def dealt(batches):
         for batch in batches:
             parts = []
-            for u, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h, band = np.frombuffer(prefix, np.int64), band_of(n, alike)
-                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band))) for at in (band, band + 1)]
+            for u, n, prefix, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                h, place, band = np.frombuffer(prefix, np.int64), np.frombuffer(places, np.int32), band_of(n, alike)
+                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band)), place) for at in (band, band + 1)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
-    return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int")
+    return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int, place int")
 
 
 def _compare(alike):
@@ -178,9 +198,9 @@ def _compare(alike):
     schema = pa.schema([("unit", pa.int64()), ("to", pa.int64())])
 
     def compare(tile: pa.Table) -> pa.Table:
-        unit, n, band, component, block = (tile.column(c).to_numpy() for c in ("unit", "n", "band", "component", "block"))
+        unit, n, band, place_of, component, block = (tile.column(c).to_numpy() for c in ("unit", "n", "band", "place", "component", "block"))
         token, at, one = tile.column("token")[0].as_py(), tile.column("at")[0].as_py(), tile.column("low")[0].as_py() == tile.column("high")[0].as_py()
-        n = n.astype(np.int64)
+        n, place_of = n.astype(np.int64), place_of.astype(np.int64)
         marks = tile.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK)
         prefixes = [np.frombuffer(x.as_py(), np.int64) for x in tile.column("prefix")]
         of = np.repeat(np.arange(len(unit)), [len(x) for x in prefixes])
@@ -195,6 +215,7 @@ def _compare(alike):
             i = np.arange(a, min(a + step, len(unit)))[:, None]
             least, most = np.minimum(n[i], n), np.maximum(n[i], n)
             ok = (np.arange(len(unit)) > i) & (component[i] != component) & (np.maximum(band[i], band) == at) & (alike[0] * most <= alike[1] * least)
+            ok &= alike_sets(most_common(place_of[i], n[i], place_of, n, np.minimum), n[i], n, alike)
             x, y = np.nonzero(ok if one else ok & (block[i] != block))
             x = x + a
             only = lambda p, q: np.bitwise_count(marks[p] & ~marks[q]).sum(1, dtype=np.int64)

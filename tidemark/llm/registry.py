@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, jaccard_join, licence_scan, line_rules, mixing, packing, quality_model, substring_dedup, url_filter
+from tidemark.llm import fingerprints, jaccard_join, licence_scan, line_dedup, line_rules, mixing, packing, quality_model, substring_dedup, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_licence_scan": licence_scan.op2_licence_scan,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
