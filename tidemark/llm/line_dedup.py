@@ -85,8 +85,9 @@ def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
+    docs = docs.drop("_lines")
     plan = Plan(docs, id_col, text_col, docs.columns)
-    out = StructType(docs.schema.fields).add("_lines", StructType().add("n_lines", LongType()).add("n_removed", LongType()))
+    out = StructType([*docs.schema.fields]).add("_lines", StructType().add("n_lines", LongType()).add("n_removed", LongType()))
     arrow = to_arrow_schema(out)
     at = docs.columns.index(text_col)
 

@@ -17,4 +17,3 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
