@@ -1,8 +1,9 @@
 """N-gram Jaccard join: pairs of units (documents, or lines of them) whose sets of word shingles are alike.
 
-1. The packed exchange tells how many documents have each shingle. A unit that shares fewer of its shingles than
+1. The packed exchange tells how often each shingle occurs in the corpus. A unit that shares fewer of its shingles than
    the threshold asks of the larger of two sets can't be in a pair, and goes no further.
-2. Units of equal sets are one class; its least member stands for it.
+2. Units of equal sets are one class; its least member stands for it. A shingle that occurs no more often than the
+   class has members is in no other set; a representative with too few others goes no further either.
 3. The shingles of a representative stand in the order of their rarity. Two sets that are alike share one of
    their first n - ceil(t n) + 1 (prefix filter). Each of these puts the representative into the tiles (shingle, size
    band) of its own band and the next, as sizes of a pair lie within one band of another.
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, durable, table
+from tidemark.llm.common import MAX_ID, durable, table, written
 from tidemark.llm.components import components
-from tidemark.llm.shared import Plan, rolling, words_of
+from tidemark.llm.shared import Plan, Words, planes, rolling, unplaned, words_of
 
 SHINGLE, ALIKE = 5, (75, 100)
 #: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once.
@@ -110,25 +111,61 @@ def alike_sets(common, na, nb, alike=ALIKE):
 
 
 #: What signatures() gives, after the unit.
-SIGNED = {"n": pa.int32(), "digest": pa.binary(), "mark": pa.list_(pa.int64()), "bits": pa.binary(), "tokens": pa.binary(), "prefix": pa.binary(), "places": pa.binary()}
-SIGNED_DDL = "n int, digest binary, mark array<long>, bits binary, tokens binary, prefix binary, places binary"
+SIGNED = {"n": pa.int32(), "digest": pa.binary(), "tokens": pa.binary(), "counts": pa.binary()}
+SIGNED_DDL = "n int, digest binary, tokens binary, counts binary"
 SIGNATURE, _SIGNATURE = f"unit long, {SIGNED_DDL}", pa.schema([("unit", pa.int64()), *SIGNED.items()])
 
 
+def occurrences(w: Words, ends: np.ndarray, key_of, width=SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the shingles of all units, and how often each occurs; a unit that repeats one counts more than once, so
+    counts are never too low."""
+    n = np.diff(ends)
+    left = np.repeat(ends[1:], n) - np.arange(len(w.hashes))  # words from here to the unit's end
+    at = np.flatnonzero(left >= width)
+    found = [rolling(w.hashes, width)[at]]
+    if (n < width).any():
+        short = shingle_sets(*_short(w.hashes, ends, n < width), width)
+        found.append(short.hashes)
+    return np.unique(key_of(np.concatenate(found)), return_counts=True)
+
+
+def _short(h: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = np.diff(ends)
+    return h[np.repeat(which, n)], np.append(0, np.cumsum(n[which]))
+
+
 def signatures(sets: Sets, counts: np.ndarray, alike=ALIKE):
-    """Per unit: n, digest of the set, and where it shares enough: short and long bitmap, the hashes in order, and of the
-    prefix by rarity the hashes that others have, with their places."""
+    """Per unit: n, digest of the set, and where it shares enough of its hashes: these in order, and their counts."""
     shares = np.add.reduceat(np.append(counts > 1, False).astype(np.int64), sets.ends[:-1]) if len(sets.ends) > 1 else np.empty(0, np.int64)
     for k, (a, b) in enumerate(zip(sets.ends[:-1].tolist(), sets.ends[1:].tolist(), strict=True)):
         n, h = b - a, sets.hashes[a:b]
         digest = xxhash.xxh3_128_digest(h.tobytes())
         if not n or shares[k] < least_common(n, alike):
-            yield n, digest, None, None, None, None, None
-            continue
-        c = counts[a:b]
-        order = np.lexsort((h, c))[: n - least_common(n, alike) + 1]
-        places = np.flatnonzero(c[order] > 1)
-        yield n, digest, mark(h), bitmap(h, n), h.tobytes(), h[order[places]].tobytes(), places.astype(np.int32).tobytes()
+            yield n, digest, None, None
+        else:
+            yield n, digest, h.tobytes(), planes(np.minimum(counts[a:b], 2**32 - 1))
+
+
+def _representatives(found: DataFrame, alike) -> DataFrame:
+    """(unit, n, size, tokens, counts) -> those that share enough with other classes: short and long bitmap, the hashes in
+    order, and of the prefix by rarity the hashes that others have, with their places."""
+    schema = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("places", pa.binary())])
+
+    def made(batches):
+        for batch in batches:
+            rows = []
+            for unit, n, size, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                h, c = np.frombuffer(tokens, np.uint64), unplaned(counts)
+                others = c > size
+                if others.sum() < least_common(n, alike):
+                    continue
+                order = np.lexsort((h, c))[: n - least_common(n, alike) + 1]
+                places = np.flatnonzero(others[order])
+                rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return found.select("unit", "n", "size", "tokens", "counts").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary")
 
 
 def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
@@ -137,9 +174,11 @@ def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
     classes (digest, rep, pos): of each set that isn't empty, the unit of the least pos; links (unit, to, common): pairs of
     representatives that are alike, enough of them to connect whatever is connected.
     """
-    classes = units.where("n > 0").groupBy("digest").agg(F.min(F.struct("pos", "unit")).alias("f")).select("digest", F.col("f.unit").alias("rep"), F.col("f.pos").alias("pos"))
-    reps = units.where("tokens is not null").join(classes.select(F.col("rep").alias("unit")), "unit", "left_semi")
-    reps = durable(reps.select("unit", "n", "mark", "bits", "tokens", "prefix", "places"))
+    classes = units.where("n > 0").groupBy("digest").agg(F.min(F.struct("pos", "unit")).alias("f"), F.count(F.lit(1)).alias("size"))
+    classes = durable(classes.select("digest", F.col("f.unit").alias("rep"), F.col("f.pos").alias("pos"), "size"))
+    found = units.where("tokens is not null").select("unit", "n", "tokens", "counts")
+    reps = durable(_representatives(found.join(classes.select(F.col("rep").alias("unit"), "size"), "unit"), alike))
+    classes = classes.drop("size")
     tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places"), alike))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
@@ -274,7 +313,8 @@ def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_i
         return shingle_sets(w.hashes, w.ends, width)
 
     def keys(docs: pa.Table):
-        return np.unique(key_of(sets_of(docs).hashes), return_counts=True)
+        w = words_of(docs.column("text"), lower=True)
+        return occurrences(w, w.ends, key_of, width)
 
     def sign(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
@@ -286,7 +326,7 @@ def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_i
                 rows[u] = s
         return pa.table([pa.array(list(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows.values(), strict=True), list(_SIGNATURE)[1:], strict=True))], schema=_SIGNATURE)
 
-    units = durable(plan.with_answers(plan.shared(keys), sign, SIGNATURE))
+    units = written(plan.with_answers(plan.shared(keys), sign, SIGNATURE))
     found = similar_units(units, alike)
     back = lambda c: F.when(c != MAX_ID, c)
     return found.select(

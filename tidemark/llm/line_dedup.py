@@ -14,8 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, table
-from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, shingle_sets, signatures
+from tidemark.llm.common import table, written
+from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, occurrences, shingle_sets, signatures
 from tidemark.llm.shared import Plan, words_of
 
 
@@ -25,24 +25,25 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
     counter, key_of = plan.counter(), plan.key_of()
     schema = pa.schema([("g", pa.int64()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), *SIGNED.items()])
 
-    def sets_of(docs: pa.Table):
+    def lines_of(docs: pa.Table):
         w = words_of(docs.column("text"), lower=True)
         ends, text, line = w.lines()
-        long_enough = np.diff(ends) >= min_words
-        if not long_enough.all():
-            keep = np.repeat(long_enough, np.diff(ends))
-            w.hashes, text, line = w.hashes[keep], text[long_enough], line[long_enough]
-            ends = np.append(0, np.cumsum(np.diff(ends)[long_enough]))
-        return shingle_sets(w.hashes, ends, width), text, line
+        keep = np.diff(ends) >= min_words
+        if not keep.all():
+            w.hashes, text, line = w.hashes[np.repeat(keep, np.diff(ends))], text[keep], line[keep]
+            ends = np.append(0, np.cumsum(np.diff(ends)[keep]))
+        return w, ends, text, line
 
     def keys(docs: pa.Table):
-        return np.unique(key_of(sets_of(docs)[0].hashes), return_counts=True)
+        w, ends, *_ = lines_of(docs)
+        return occurrences(w, ends, key_of, width)
 
     def sign(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return schema.empty_table()
         docs, rows = ordered(docs)
-        sets, text, line = sets_of(docs)
+        w, ends, text, line = lines_of(docs)
+        sets = shingle_sets(w.hashes, ends, width)
         if not len(text):
             return schema.empty_table()
         g, ids = docs.column("g")[0].as_py(), docs.column("doc_id").to_numpy()
@@ -56,7 +57,7 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
         own = [np.full(len(text), g), (g << 32) + np.arange(len(text)), ids[text], rows[text], line.astype(np.int32)]
         return pa.table([pa.array(c, f.type) for c, f in zip([*own, *columns], schema, strict=True)], schema=schema)
 
-    lines = durable(plan.with_answers(plan.shared(keys), sign, f"g long, unit long, doc_id long, row int, line int, {SIGNED_DDL}"))
+    lines = written(plan.with_answers(plan.shared(keys), sign, f"g long, unit long, doc_id long, row int, line int, {SIGNED_DDL}"))
     lines = lines.withColumn("pos", F.struct("doc_id", "row", "line"))
     classes, links = class_links(lines, alike)
     place = classes.select(F.col("rep").alias("unit"), "pos")
@@ -86,10 +87,12 @@ def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col
     from pyspark.sql.types import LongType, StructType
 
     docs = docs.drop("_lines")
-    plan = Plan(docs, id_col, text_col, docs.columns)
-    out = StructType([*docs.schema.fields]).add("_lines", StructType().add("n_lines", LongType()).add("n_removed", LongType()))
+    own = docs.columns
+    docs = docs.withColumn("_none", F.col(text_col).isNull())
+    plan = Plan(docs, id_col, text_col, [*(c for c in own if c != text_col), "_none"])
+    out = StructType([f for f in docs.schema.fields if f.name != "_none"]).add("_lines", StructType().add("n_lines", LongType()).add("n_removed", LongType()))
     arrow = to_arrow_schema(out)
-    at = docs.columns.index(text_col)
+    at = own.index(text_col)
 
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not len(docs):
@@ -100,11 +103,12 @@ def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col
             gone.setdefault((doc_id, row), set()).add(line)
         rest = docs.column("rest").combine_chunks()
         texts, counts = [], []
-        for doc_id, row, text in zip(docs.column("doc_id").to_pylist(), rows.tolist(), rest.field(at).to_pylist(), strict=True):
-            lines, out_ = (text or "").split("\n"), gone.get((doc_id, row), ())
+        for doc_id, row, text, none in zip(docs.column("doc_id").to_pylist(), rows.tolist(), docs.column("text").to_pylist(), rest.field(len(own) - 1).to_pylist(), strict=True):
+            lines, out_ = text.split("\n"), gone.get((doc_id, row), ())
             counts.append({"n_lines": sum(1 for x in lines if x.strip(" \t\n\x0b\f\r")), "n_removed": len(out_)})
-            texts.append("\n".join(x for k, x in enumerate(lines) if k not in out_) if out_ else text)
-        columns = [pa.array(texts, pa.string()) if k == at else rest.field(k) for k in range(len(arrow) - 1)]
+            texts.append(None if none else "\n".join(x for k, x in enumerate(lines) if k not in out_) if out_ else text)
+        others = iter(range(len(own) - 1))
+        columns = [pa.array(texts, pa.string()) if k == at else rest.field(next(others)) for k in range(len(own))]
         return pa.table([*(c.cast(f.type) for c, f in zip(columns, arrow, strict=False)), pa.array(counts, arrow[-1].type)], schema=arrow)
 
     return plan.with_answers(later_matches(plan, width, alike, min_words), cut, out)

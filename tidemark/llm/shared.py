@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions
 
-GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 16, 4, 1 << 20
+GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 16, 4, 1 << 16
+#: A group's count of a key goes no further; the sum of such counts is as great as can be.
+MANY = 255
 LOW = np.uint64((1 << 32) - 1)
 _ONE = 0xD1342543DE82EF95  # odd: a base of polynomials modulo 2**64, with an inverse
 _BASES = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4B))
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_VALUES = np.arange(1, 257, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -79,21 +82,26 @@ def words_of(column: pa.ChunkedArray, lower=False) -> Words:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
     edges = edges - edges[0]
     data = _LOWER[data] if lower else data
-    word = ~_BLANK[data]
-    cut = np.zeros(len(data) + 1, bool)  # a text begins here
-    cut[edges] = True
-    before, after = np.append(False, word[:-1])[: len(word)], np.append(word[1:], False)[: len(word)]
-    start = np.flatnonzero(word & (~before | cut[:-1]))
-    stop = np.flatnonzero(word & (~after | cut[1:])) + 1
+    word = _WORD[data]
+    turns = np.flatnonzero(word[1:] != word[:-1]) + 1
+    inner = edges[(edges > 0) & (edges < len(data))]
+    inner = np.unique(inner[word[inner] & word[inner - 1]])  # a text ends in a word, the next begins with one
+    ends_ = [np.zeros(bool(len(word) and word[0]), np.int64), turns, inner, inner, np.full(bool(len(word) and word[-1]), len(word))]
+    turns = np.sort(np.concatenate(ends_)) if len(inner) else np.concatenate(ends_)
+    start, stop = turns[::2], turns[1::2]
     hashes = np.empty(len(start), np.uint64)
+    sums = np.zeros(AT_ONCE + 1, np.uint64)
     at = 0
     while at < len(start):
         low = start[at]
         to = max(at + 1, int(np.searchsorted(stop, low + AT_ONCE, side="right")))
         piece = data[low : stop[to - 1]]
+        if len(piece) >= len(sums):
+            sums = np.zeros(len(piece) + 1, np.uint64)
         power, inverse = _power_tables(len(piece))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
+        terms = _VALUES[piece]
+        terms *= power[: len(piece)]
+        np.cumsum(terms, out=sums[1 : len(piece) + 1])
         own = start[at:to] - low
         hashes[at:to] = (sums[stop[at:to] - low] - sums[own]) * inverse[own]
         at = to
@@ -121,11 +129,11 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint32).astype(np.uint64)
 
 
-def _planes(n: np.ndarray) -> bytes:
+def planes(n: np.ndarray) -> bytes:
     return n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unplaned(data: bytes) -> np.ndarray:
+def unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
@@ -150,7 +158,7 @@ class Plan:
 
         def ask(docs: pa.Table) -> pa.Table:
             key, n = keys(docs)
-            n = np.minimum(n, 255).astype(np.uint8)
+            n = np.minimum(n, MANY).astype(np.uint8)
             bucket = key >> np.uint64(32)
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
             pairs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(key)], strict=True)) if len(key) else []
@@ -161,7 +169,7 @@ class Plan:
 
     def shared(self, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         """(g, bucket, low, n): per group and bucket, the keys that two documents or more have, rising, and how many
-        (counts of a group above 255 count as 255)."""
+        (2**32 - 1 if a group alone has MANY)."""
         schema = pa.schema([("g", pa.int64()), ("bucket", pa.int32()), ("low", pa.binary()), ("n", pa.binary())])
 
         def answer(asked: pa.Table) -> pa.Table:
@@ -173,7 +181,7 @@ class Plan:
             order = np.argsort(low)
             sorted_low = low[order]
             starts = np.flatnonzero(np.append(True, sorted_low[1:] != sorted_low[:-1]))
-            total = np.add.reduceat(n[order].astype(np.int64), starts)
+            total = np.add.reduceat(np.where(n[order] == MANY, 1 << 32, n[order].astype(np.int64)), starts)
             total = np.repeat(total, np.diff(np.append(starts, len(low))))
             back = np.zeros(len(low), np.uint32)
             back[order] = np.minimum(total, 2**32 - 1)
@@ -181,7 +189,7 @@ class Plan:
             low, of, back = low[keep], of[keep], back[keep]
             starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
             pairs = list(zip(starts.tolist(), [*starts.tolist()[1:], len(of)], strict=True)) if len(of) else []
-            columns = [groups[of[starts]], np.full(len(starts), asked.column("bucket")[0].as_py()), [_packed_keys(low[a:b]) for a, b in pairs], [_planes(back[a:b]) for a, b in pairs]]
+            columns = [groups[of[starts]], np.full(len(starts), asked.column("bucket")[0].as_py()), [_packed_keys(low[a:b]) for a, b in pairs], [planes(back[a:b]) for a, b in pairs]]
             return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         return self.asked(keys).groupBy("bucket").applyInArrow(answer, "g long, bucket int, low binary, n binary")
@@ -193,7 +201,7 @@ class Plan:
         def of_answers(answers: pa.Table) -> Callable[[np.ndarray], np.ndarray]:
             rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "low", "n")), strict=True))
             keys = np.concatenate([*(_unpacked_keys(low) | np.uint64(b) << np.uint64(32) for b, low, _ in rows), np.array([2**64 - 1], np.uint64)])
-            counts = np.concatenate([*(_unplaned(n) for *_, n in rows), np.ones(1, np.uint32)])
+            counts = np.concatenate([*(unplaned(n) for *_, n in rows), np.ones(1, np.uint32)])
 
             def look_up(h: np.ndarray) -> np.ndarray:
                 k = key_of(h)
