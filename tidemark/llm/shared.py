@@ -86,7 +86,7 @@ def words_of(column: pa.ChunkedArray, lower=False) -> Words:
     turns = np.flatnonzero(word[1:] != word[:-1]) + 1
     inner = edges[(edges > 0) & (edges < len(data))]
     inner = np.unique(inner[word[inner] & word[inner - 1]])  # a text ends in a word, the next begins with one
-    ends_ = [np.zeros(bool(len(word) and word[0]), np.int64), turns, inner, inner, np.full(bool(len(word) and word[-1]), len(word))]
+    ends_ = [np.zeros(int(len(word) and word[0]), np.int64), turns, inner, inner, np.full(int(len(word) and word[-1]), len(word))]
     turns = np.sort(np.concatenate(ends_)) if len(inner) else np.concatenate(ends_)
     start, stop = turns[::2], turns[1::2]
     hashes = np.empty(len(start), np.uint64)
