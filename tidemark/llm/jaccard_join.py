@@ -27,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, durable, table, written
+from tidemark.llm.common import MAX_ID, durable, shuffle_partitions, table, written
 from tidemark.llm.components import components
 from tidemark.llm.shared import Plan, Words, planes, rolling, unplaned, words_of
 
 SHINGLE, ALIKE = 5, (75, 100)
-#: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once.
-LEADERS, MARK, BLOCK, AT_ONCE = 3, 16, 4096, 1 << 17
+#: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once,
+#: members of a tile that is compared along with others.
+LEADERS, MARK, BLOCK, AT_ONCE, SMALL = 3, 16, 4096, 1 << 17, 64
 
 
 @dataclass
@@ -183,9 +184,11 @@ def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
     fits = fits & alike_sets(most_common(F.col("place"), F.col("n"), F.col("place2"), F.col("m"), F.least), F.col("n"), F.col("m"), alike)
-    leads = [F.min(F.struct(F.hash("unit", F.lit(k)).alias("h") if k else F.lit(0).alias("h"), "unit", "n", "place")) for k in range(LEADERS + 1)]
-    first = tiles.groupBy("token", "at").agg(F.array(*leads).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
-    stars = tiles.join(first, ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
+    # min_by of numbers is a hash aggregate, so members are combined before they are shuffled
+    leads = [(F.xxhash64("unit", F.lit(k)) if k else F.col("unit")) for k in range(LEADERS + 1)]
+    lead = [F.struct(*[F.min_by(c, h).alias(c) for c in ("unit", "n", "place")]) for h in leads]
+    first = tiles.groupBy("token", "at").agg(F.array(*lead).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
+    stars = tiles.join(first.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
     stars = stars.withColumn("m", F.col("lead.n")).withColumn("place2", F.col("lead.place")).where(fits & (F.col("unit") != F.col("lead.unit")))
     stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to")).distinct()
     links = durable(verified(stars, reps, alike))
@@ -193,11 +196,14 @@ def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
     placed = tiles.join(joined.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     mixed = placed.groupBy("token", "at").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = placed.join(mixed.select("token", "at", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "mark", "prefix"), "unit")
+    placed = placed.join(mixed.select("token", "at", "size", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "mark", "prefix"), "unit")
     placed = placed.withColumn("block", F.pmod(F.hash("unit"), "blocks")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumn("low", F.least("block", "beside")).withColumn("high", F.greatest("block", "beside"))
-    rest = placed.groupBy("token", "at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = durable(links.unionByName(verified(rest.distinct(), reps, alike)).distinct())
+    # small tiles are compared many at a time
+    small, many = F.col("size") <= SMALL, 8 * shuffle_partitions(units.sparkSession)
+    placed = placed.withColumn("low", F.when(small, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(small, -1).otherwise(F.greatest("block", "beside")))
+    placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("token", "at"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -1).otherwise(F.col("at")))
+    rest = placed.drop("size", "blocks", "beside").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
+    links = durable(links.unionByName(verified(rest, reps, alike)).distinct())
     return classes, links
 
 
@@ -229,39 +235,58 @@ def _tiles(reps: DataFrame, alike) -> DataFrame:
 
 
 def _compare(alike):
-    """Of two blocks of a tile: the pairs of different components that the bound of their short bitmaps lets be alike.
+    """Of two blocks of a tile, or of many small tiles: the pairs of different components that the bounds let be alike.
 
     A pair of one band is compared in the tile of that band, one of two in that of the greater, and of the shingles that both
     prefixes have only in the tile of the least: once in all.
     """
     schema = pa.schema([("unit", pa.int64()), ("to", pa.int64())])
 
-    def compare(tile: pa.Table) -> pa.Table:
-        unit, n, band, place_of, component, block = (tile.column(c).to_numpy() for c in ("unit", "n", "band", "place", "component", "block"))
-        token, at, one = tile.column("token")[0].as_py(), tile.column("at")[0].as_py(), tile.column("low")[0].as_py() == tile.column("high")[0].as_py()
-        n, place_of = n.astype(np.int64), place_of.astype(np.int64)
-        marks = tile.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK)
-        prefixes = [np.frombuffer(x.as_py(), np.int64) for x in tile.column("prefix")]
-        of = np.repeat(np.arange(len(unit)), [len(x) for x in prefixes])
-        lesser = np.concatenate(prefixes)
-        of, lesser = of[lesser < token], lesser[lesser < token]
-        values, place = np.unique(lesser, return_inverse=True)
-        before = np.zeros((len(unit), len(values) // 64 + 1), np.uint64)
-        np.bitwise_or.at(before, (of, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-        found = []
-        step = max(1, AT_ONCE // len(unit))
-        for a in range(0, len(unit), step):
-            i = np.arange(a, min(a + step, len(unit)))[:, None]
-            least, most = np.minimum(n[i], n), np.maximum(n[i], n)
-            ok = (np.arange(len(unit)) > i) & (component[i] != component) & (np.maximum(band[i], band) == at) & (alike[0] * most <= alike[1] * least)
-            ok &= alike_sets(most_common(place_of[i], n[i], place_of, n, np.minimum), n[i], n, alike)
-            x, y = np.nonzero(ok if one else ok & (block[i] != block))
-            x = x + a
+    def compare(rows: pa.Table) -> pa.Table:
+        small = rows.column("of_at")[0].as_py() == -1
+        one = small or rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
+        token, at = rows.column("token").to_numpy(), rows.column("at").to_numpy()
+        order = np.lexsort((at, token)) if small else np.arange(len(rows))
+        token, at = token[order], at[order]
+        unit, n, band, place, component, block = (rows.column(c).to_numpy()[order] for c in ("unit", "n", "band", "place", "component", "block"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        marks = rows.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK)[order]
+        prefix = rows.column("prefix").combine_chunks().take(pa.array(order))
+        found = [(np.empty(0, np.int64),) * 2]
+
+        def bounded(x, y):
+            """The pairs that sizes, places and bitmaps don't rule out."""
+            keep = (component[x] != component[y]) & (np.maximum(band[x], band[y]) == at[x])
+            keep &= alike[0] * np.maximum(n[x], n[y]) <= alike[1] * np.minimum(n[x], n[y])
+            keep &= alike_sets(most_common(place[x], n[x], place[y], n[y], np.minimum), n[x], n[y], alike)
+            keep &= True if one else block[x] != block[y]
+            x, y = x[keep], y[keep]
             only = lambda p, q: np.bitwise_count(marks[p] & ~marks[q]).sum(1, dtype=np.int64)
             keep = alike_sets(np.minimum(n[x] - only(x, y), n[y] - only(y, x)), n[x], n[y], alike)
-            x, y = x[keep], y[keep]
-            keep = ~(before[x] & before[y]).any(1)
-            found.append((unit[x[keep]], unit[y[keep]]))
+            return x[keep], y[keep]
+
+        if small:
+            lesser = lambda k: (p := np.frombuffer(prefix[k].as_py(), np.int64))[p < token[k]]
+            for step in range(1, len(unit)):
+                x = np.flatnonzero((token[step:] == token[:-step]) & (at[step:] == at[:-step]))
+                if not len(x):
+                    break
+                x, y = bounded(x, x + step)
+                first = np.array([not np.isin(lesser(i), lesser(j)).any() for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                found.append((unit[x[first]], unit[y[first]]))
+        else:
+            prefixes = [np.frombuffer(x.as_py(), np.int64) for x in prefix]
+            of, lesser = np.repeat(np.arange(len(unit)), [len(x) for x in prefixes]), np.concatenate(prefixes)
+            of, lesser = of[lesser < token[0]], lesser[lesser < token[0]]
+            values, bit = np.unique(lesser, return_inverse=True)
+            before = np.zeros((len(unit), len(values) // 64 + 1), np.uint64)
+            np.bitwise_or.at(before, (of, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+            step = max(1, AT_ONCE // len(unit))
+            for a in range(0, len(unit), step):
+                x, y = np.nonzero(np.arange(len(unit)) > np.arange(a, min(a + step, len(unit)))[:, None])
+                x, y = bounded(x + a, y)
+                first = ~(before[x] & before[y]).any(1)
+                found.append((unit[x[first]], unit[y[first]]))
         x, y = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=schema)
 
