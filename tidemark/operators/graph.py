@@ -124,7 +124,7 @@ def recovery(pred: DataFrame, true: DataFrame, eps=0.01) -> DataFrame:
     p = pred.where(F.abs("weight") > eps).select("src", "dst", F.lit(1).alias("p"), F.lit(0).alias("t"))
     t = true.where("weight > 0").select("src", "dst", F.lit(0).alias("p"), F.lit(1).alias("t"))
     c = p.unionByName(t).groupBy("src", "dst").agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    c = c.agg(F.count_if("p = 1 and t = 1").alias("tp"), F.count_if("p = 1 and t = 0").alias("fp"), F.count_if("p = 0 and t = 1").alias("fn"))
+    c = c.agg(F.count_if(F.expr("p = 1 and t = 1")).alias("tp"), F.count_if(F.expr("p = 1 and t = 0")).alias("fp"), F.count_if(F.expr("p = 0 and t = 1")).alias("fn"))
     return scored(c).withColumn("shd", F.col("fp") + F.col("fn"))
 
 

@@ -95,12 +95,12 @@ def two_means_threshold(edges: DataFrame, least=100) -> DataFrame:
     If fewer than ``least`` stay, and there are so many, the greatest ``least`` do.
     """
     by, ties = Window.partitionBy("window_idx"), ("i", "j", "lag")
-    up = by.orderBy(F.abs("weight"), *ties)
+    up = by.orderBy(F.round(F.abs("weight"), 12), *ties)
     rows = edges.withColumn("_x", F.log1p(F.abs("weight"))).withColumn("_k", F.row_number().over(up)).withColumn("_n", F.count(F.lit(1)).over(by))
     low = up.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_s", F.sum("_x").over(low)).withColumn("_S", F.sum("_x").over(by)).withColumn("_Q", F.sum(F.col("_x") ** 2).over(by))
+    rows = rows.withColumn("_s", F.sum("_x").over(low)).withColumn("_all", F.sum("_x").over(by)).withColumn("_Q", F.sum(F.col("_x") ** 2).over(by))
     rest = F.col("_n") - F.col("_k")
-    sse = F.col("_Q") - F.col("_s") ** 2 / F.col("_k") - (F.col("_S") - F.col("_s")) ** 2 / rest
+    sse = F.col("_Q") - F.col("_s") ** 2 / F.col("_k") - (F.col("_all") - F.col("_s")) ** 2 / rest
     rows = rows.withColumn("_e", F.when(rest > 0, F.round(sse, 9)))
     cut = F.coalesce(F.min(F.when(F.col("_e").isNotNull(), F.struct("_e", "_k"))).over(by)["_k"], F.lit(0))
     kept = F.col("_n") - cut

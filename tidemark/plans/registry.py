@@ -2,5 +2,646 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import kernels, stats
+from tidemark.functions import text as X
+from tidemark.operators import bagging, detect, distance, evaluate, graph, learn, prep, rca, windows
+from tidemark.plans import fixtures as fx
+from tidemark.plans.fixtures import with_tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits=6) -> DataFrame:
+    """Doubles to so many digits (and no negative zero): sums in another order differ in the last ones."""
+    return df.select([(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, *needs: str):
+    def register(make):
+        QUERIES[name] = lambda spark, sf_dir: rounded(make(spark, sf_dir))
+        if sql is not None and name not in ORACLE_SQL:
+            ORACLE_SQL[name] = re.sub(r"\bprecision\b", '"precision"', with_tables(sql, *needs))  # a reserved word
+        return make
+
+    return register
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_rows(rows: list[tuple], columns: str) -> str:
+    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return f"(values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns})"
+
+
+# preparation ---------------------------------------------------------------------------------------------------------
+
+SV = ["t", "var", "value"]
+query("series_grid", "select t, var, var_idx, round(value, 6) as value from raw", "raw")(lambda s, d: fx.raw(s, d).select("t", "var", "var_idx", "value"))
+query("ffill", "select t, var, round(value, 6) as value from filled", "filled")(lambda s, d: prep.forward_fill(fx.raw(s, d)).select(*SV))
+query("drop_incomplete_rows", "select t, var, round(value, 6) as value from raw where t not in (select t from raw where value is null)", "raw")(lambda s, d: prep.drop_incomplete(fx.raw(s, d)).select(*SV))
+query("positivity_shift", "select var, round(min(case when m <= 0 then abs(m) + 1e-10 else 1e-10 end) * 1e10, 6) shift_e10 from (select var, min(value) m from (select var, value - 1 as value from series) group by 1) group by 1", "series")(
+    lambda s, d: prep.positivity_shift(fx.series(s, d).withColumn("value", F.col("value") - 1)).groupBy("var").agg(F.min(F.col("shift") * 1e10).alias("shift_e10"))
+)
+query("log_shift", "select t, var, round(value, 6) as value from logged", "logged")(lambda s, d: prep.log_shift(fx.series(s, d)).select(*SV))
+query("rolling_median_trend", "select t, var, round(coalesce(median(value) over (partition by var order by t rows between 60 preceding and 1 preceding), value), 6) trend from logged", "logged")(
+    lambda s, d: prep.median_trend(prep.log_shift(fx.series(s, d))).select("t", "var", "trend")
+)
+query("rolling_median_detrend", "select t, var, round(value, 6) + 0.0 as value from detrended", "detrended")(lambda s, d: prep.detrend(prep.log_shift(fx.series(s, d))).select(*SV))
+query("constant_guard", "select var, count(value) n, round(stddev_pop(value), 6) std, stddev_pop(value) > 0 usable from (select var, case when var = 'view' then 1.0 else value end as value from series) group by 1", "series")(
+    lambda s, d: prep.constant_guard(fx.series(s, d).withColumn("value", F.when(F.col("var") == "view", 1.0).otherwise(F.col("value"))))
+)
+TESTS = [("a", 0.01, 0.1), ("b", 0.2, 0.1), ("c", 0.01, 0.02), ("d", None, 0.1), ("e", 0.049, 0.051)]
+query("stationary_vars", f"select var, round(adf_p, 6) adf_p, round(kpss_p, 6) kpss_p from (select var, cast(adf_p as double) adf_p, cast(kpss_p as double) kpss_p from {sql_rows(TESTS, 'var, adf_p, kpss_p')}) where adf_p < 0.05 and kpss_p > 0.05")(
+    lambda s, d: prep.stationary_vars(values(s, TESTS, "var string, adf_p double, kpss_p double"))
+)
+query("stationary_vars_none", f"select var from {sql_rows(TESTS[1:3], 'var, adf_p, kpss_p')}")(lambda s, d: prep.stationary_vars(values(s, TESTS[1:3], "var string, adf_p double, kpss_p double")).select("var"))
+query("zscore", "select t, var, round(value, 6) + 0.0 as value from prepared", "prepared")(lambda s, d: fx.prepared(s, d).select(*SV))
+query("ljung_box_p", """
+select var, n, round(q, 6) q, round(exp(-q / 2) * (1 + q / 2 + power(q / 2, 2) / 2 + power(q / 2, 3) / 6 + power(q / 2, 4) / 24), 6) p from (
+  select var, n, n * (n + 2) * sum(power(c / s, 2) / (n - k)) q from (
+    select x.var, k.k, any_value(x.n) n, any_value(x.s) s, sum(x.e * y.e) c
+    from (select *, count(*) over (partition by var) n, sum(e * e) over (partition by var) s from c) x cross join (select unnest(range(1, 11)) k) k join c y on y.var = x.var and y.t = x.t - k.k group by 1, 2) group by 1, 2)
+""".replace("from c) x", "from cen) x").replace("join c y", "join cen y").replace("\nselect var, n, round(q", "\n, cen as (select t, var, value - avg(value) over (partition by var) e from prepared)\nselect var, n, round(q"), "prepared")(lambda s, d: prep.ljung_box(fx.prepared(s, d)))
+query("ar1_fit", "select var, round(regr_intercept(value, x), 6) + 0.0 const, round(regr_slope(value, x), 6) phi, count(*) n from (select var, value, lag(value) over (partition by var order by t) x from prepared) where x is not null group by 1", "prepared")(
+    lambda s, d: prep.ar1_fit(fx.prepared(s, d))
+)
+LAGS = [("click", 5), ("view", 10)]
+
+
+def _variables(s, d):
+    return fx.series(s, d).select(F.col("var").alias("variable")).distinct()
+
+
+query("provided_lags", f"select t.var variable, cast(coalesce(v.k, 1) as int) optimal_lag from types t left join {sql_rows(LAGS, 'variable, k')} on v.variable = t.var", "types")(
+    lambda s, d: prep.provided_lags(values(s, LAGS, "variable string, optimal_lag int"), _variables(s, d))
+)
+query("override_lags", "select var variable, cast(5 as int) optimal_lag from types", "types")(lambda s, d: prep.override_lags(_variables(s, d)))
+query("lag_order", "select cast(10 as int) p")(lambda s, d: prep.lag_order(values(s, LAGS, "variable string, optimal_lag int")))
+query("validate_series", """
+select var, count(*) n, cast(sum(case when value is null then 1 else 0 end) as bigint) n_missing, cast(sum(case when back then 1 else 0 end) as bigint) n_unordered,
+  count(*) > 0 and sum(case when value is null then 1 else 0 end) = 0 and sum(case when back then 1 else 0 end) = 0 valid
+from (select *, coalesce(t <= lag(t) over (partition by var order by t // 2 * 2 + (1 - t % 2)), false) back from raw) group by 1""", "raw")(
+    lambda s, d: prep.validate_series(fx.raw(s, d).withColumn("pos", F.floor(F.col("t") / 2) * 2 + (1 - F.col("t") % 2))).select("var", "n", "n_missing", "n_unordered", "valid")
+)
+query("dedupe_renumber", "select row_number() over (partition by var order by k) - 1 t, var, round(value, 6) as value from (select var, t // 2 k, arg_min(value, t) as value from series group by 1, 2)", "series")(
+    lambda s, d: prep.dedupe_renumber(fx.series(s, d).withColumn("pos", F.col("t")).withColumn("t", F.floor(F.col("t") / 2))).select(*SV)
+)
+CUT = "cut as (select t, var, value, cast(sum(case when t - p > 1 then 1 else 0 end) over (partition by var order by t) as int) realisation_id from (select *, lag(t) over (partition by var order by t) p from series where t % 50 <> 7))"
+
+
+def _cut(s, d):
+    return prep.cut_discontinuities(fx.series(s, d).where("t % 50 != 7").select(*SV))
+
+
+query("discontinuity_cut", f", {CUT} select t, var, realisation_id, round(value, 6) as value from cut", "series")(_cut)
+query("lag_embed_cut", f", {CUT} select t, var, realisation_id, round(value, 6) as value, round(lag1, 6) lag1, round(lag2, 6) lag2 from (select *, lag(value, 1) over w lag1, lag(value, 2) over w lag2, row_number() over w n from cut window w as (partition by var, realisation_id order by t)) where n > 2", "series")(
+    lambda s, d: prep.lag_embed(_cut(s, d), 2)
+)
+query("lag_embed_zero_pad", "select t, var, round(value, 6) as value, round(coalesce(lag(value, 1) over w, 0), 6) lag1, round(coalesce(lag(value, 2) over w, 0), 6) lag2 from series window w as (partition by var order by t)", "series")(
+    lambda s, d: prep.lag_embed_zero(fx.series(s, d).select(*SV), 2)
+)
+query("labelled_lags", """
+select a.t, round(a.value, 6) click_lag0, round(b.value, 6) view_lag0, round(a1.value, 6) click_lag1, round(b1.value, 6) view_lag1
+from series a join series b on b.t = a.t and b.var = 'view' join series a1 on a1.t = a.t - 1 and a1.var = 'click' join series b1 on b1.t = a.t - 1 and b1.var = 'view' where a.var = 'click'""", "series")(
+    lambda s, d: prep.labelled_lags(fx.series(s, d), ["click", "view"], 1)
+)
+query("finite", "select t, var, round(case when value is null or t % 3 = 0 or t % 5 = 0 then 0 else value end, 6) as value from raw", "raw")(
+    lambda s, d: prep.finite(fx.raw(s, d).withColumn("value", F.when(F.col("t") % 3 == 0, F.lit(float("nan"))).when(F.col("t") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))).select(*SV)
+)
+query("positional_split", "select t, case when k < floor(0.4 * n) then 'train' when k < floor(0.5 * n) then 'val' else 'test' end part from (select t, row_number() over (order by t) - 1 k, count(*) over () n from series where var = 'click')", "series")(
+    lambda s, d: prep.positional_split(fx.series(s, d).where("var = 'click'").select("t"), [("train", 0.4), ("val", 0.1), ("test", 0.5)])
+)
+query("contiguous_block", "select t, round(value, 6) as value from series where var = 'click' and t >= 100 and t < 150", "series")(lambda s, d: prep.contiguous_block(fx.series(s, d).where("var = 'click'"), 100, 50).select("t", "value"))
+query("k_fold")(lambda s, d: prep.k_fold(fx.series(s, d).where("var = 'click'").select("t"), 5))
+query("subsample")(lambda s, d: prep.subsample(fx.series(s, d).where("var = 'click'").select("t"), 50))
+
+
+@query("stationarity_tests")
+def _stationarity(s, d):
+    import pandas as pd
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        a, k = stats.stationarity(rows.sort_values("t").value.to_numpy())
+        return pd.DataFrame([(key[0], a, k)], columns=["var", "adf_p", "kpss_p"])
+
+    return fx.prepared(s, d).select("t", "var", "value").groupBy("var").applyInPandas(one, "var string, adf_p double, kpss_p double")
+
+
+@query("optimal_lags")
+def _optimal_lags(s, d):
+    import pandas as pd
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], stats.optimal_lag(rows.sort_values("t").value.to_numpy()))], columns=["variable", "optimal_lag"])
+
+    return fx.prepared(s, d).select("t", "var", "value").groupBy("var").applyInPandas(one, "variable string, optimal_lag int")
+
+
+# windows -------------------------------------------------------------------------------------------------------------
+
+query("sliding_windows", "select window_idx, var_idx, count(*) n, min(t) first_t, max(t) last_t, round(avg(value), 6) + 0.0 mean from windowed group by 1, 2", "windowed")(
+    lambda s, d: fx.windowed(s, d).groupBy("window_idx", "var_idx").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.avg("value").alias("mean"))
+)
+
+
+def _ids(s, d):
+    return fx.edges(s, d).select("window_idx").distinct()
+
+
+query("window_meta", "select window_idx, cast(window_idx * 10 as bigint) t_start, cast(window_idx * 10 + 99 as bigint) t_end, cast(window_idx * 10 + 50 as bigint) t_center from w", "w")(lambda s, d: windows.window_meta(_ids(s, d)))
+query("window_first_meta", "select window_idx, round(coalesce(arg_min(value, t), window_idx), 6) + 0.0 as value from windowed where var_idx = 0 group by 1", "windowed")(lambda s, d: windows.first_meta(fx.windowed(s, d).where("var_idx = 0"), "value"))
+query("window_of_point", "select t, cast((t - 5) // 10 as int) window_idx from series where var = 'click' and t >= 5", "series")(
+    lambda s, d: fx.series(s, d).where("var = 'click' and t >= 5").select("t", windows.window_of(F.col("t"), 5).alias("window_idx"))
+)
+query("window_span", "select cast(42 as bigint) overlap_start, cast(122 as bigint) overlap_end, cast(22 as bigint) union_start, cast(142 as bigint) union_end")(lambda s, d: windows.common_span(values(s, [(20,), (30,), (40,)], "start long"), lag=2))
+query("windows_with_point", "select p.t, w.window_idx from (select unnest([7, 250]) t) p join w on p.t >= w.window_idx * 10 and p.t < w.window_idx * 10 + 100", "w")(
+    lambda s, d: windows.windows_with(values(s, [(7,), (250,)], "t int"), _ids(s, d)).select("t", "window_idx")
+)
+query("windows_not_done", "select window_idx from w where window_idx % 3 <> 0 order by 1 limit 10", "w")(lambda s, d: windows.not_done(_ids(s, d), _ids(s, d).where("window_idx % 3 = 0"), 10))
+query("tumbling_chunks", "select cast(window_idx // 20 as int) chunk, count(*) n from w group by 1", "w")(lambda s, d: windows.tumbling(_ids(s, d)).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")))
+
+# learning ------------------------------------------------------------------------------------------------------------
+
+E = "window_idx, i, j, lag, round(weight, 6) + 0.0 weight"
+query("corr_edges", f"select {E} from edges", "edges")(fx.edges)
+query("edge_threshold", f"select {E} from edges where abs(weight) >= 0.2", "edges")(lambda s, d: learn.threshold(fx.edges(s, d), 0.2))
+query("edge_sparse", "select count(*) n from edges where abs(weight) > 1e-8", "edges")(lambda s, d: learn.sparse(fx.edges(s, d)).agg(F.count(F.lit(1)).alias("n")))
+query("edge_tabu", f"select {E} from edges where i <> 2 and j <> 3 and not (i = 0 and j = 1 and lag = 0)", "edges")(
+    lambda s, d: learn.without_tabu(fx.edges(s, d), values(s, [(0, 1, 0)], "i int, j int, lag int"), [2], [3])
+)
+query("edge_no_diagonal", "select count(*) n from edges where lag > 0 or i <> j", "edges")(lambda s, d: learn.without_diagonal(fx.edges(s, d)).agg(F.count(F.lit(1)).alias("n")))
+query("edges_to_matrix", "select w.window_idx, l.lag, round(sum(coalesce(e.weight, 0) * (r.i * 5 + c.j + 1)), 5) checksum from w cross join (select unnest([0, 1, 2]) lag) l cross join (select unnest(range(5)) i) r cross join (select unnest(range(5)) j) c left join edges e on e.window_idx = w.window_idx and e.lag = l.lag and e.i = r.i and e.j = c.j group by 1, 2", "w", "edges")(
+    lambda s, d: learn.edges_to_matrix(fx.edges(s, d), 5).select("window_idx", "lag", F.round(F.aggregate(F.transform(F.flatten("m"), lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("checksum"))
+)
+query("matrix_to_edges", f"select {E} from edges where weight <> 0", "edges")(lambda s, d: learn.matrix_to_edges(learn.edges_to_matrix(fx.edges(s, d), 5)))
+
+
+def _names(s, d):
+    return fx.series(s, d).select("var_idx", "var").distinct()
+
+
+NAMED = "named as (select e.window_idx, a.var || '_lag' || e.lag parent_name, b.var || '_lag0' child_name, e.weight from edges e join types a on a.var_idx = e.i join types b on b.var_idx = e.j)"
+query("edges_named", f", {NAMED} select window_idx, parent_name, child_name, round(weight, 6) + 0.0 weight from named", "edges", "types")(lambda s, d: learn.named(fx.edges(s, d), _names(s, d)).select("window_idx", "parent_name", "child_name", "weight"))
+query("edges_from_names", f"select {E} from edges", "edges")(lambda s, d: learn.from_names(learn.named(fx.edges(s, d), _names(s, d)), _names(s, d)))
+query("edge_counts", "select window_idx, count(*) filter (abs(weight) > 0.15 and lag = 0) n_instant, count(*) filter (abs(weight) > 0.15 and lag > 0) n_lagged from edges group by 1", "edges")(lambda s, d: learn.edge_counts(fx.edges(s, d), 0.15))
+
+
+def _two_means(source: str, least: int) -> str:
+    return f"""
+, x as (select *, ln(1 + abs(weight)) x, row_number() over (partition by window_idx order by round(abs(weight), 12), i, j, lag) k, count(*) over (partition by window_idx) n from {source}),
+s as (select *, sum(x) over (partition by window_idx order by k rows unbounded preceding) s, sum(x) over (partition by window_idx) t, sum(x * x) over (partition by window_idx) q from x),
+c as (select window_idx, any_value(n) n, arg_min(k, (round(q - s * s / k - (t - s) * (t - s) / (n - k), 9), k)) cut from s where k < n group by 1),
+f as (select *, case when n - cut < {least} and n >= {least} then {least} else n - cut end kept from c)
+select s.window_idx, s.i, s.j, s.lag, round(s.weight, 6) + 0.0 weight from s join f using (window_idx) where s.k > s.n - f.kept"""
+
+
+query("two_means_threshold", _two_means("edges", 10), "edges")(lambda s, d: learn.two_means_threshold(fx.edges(s, d), 10))
+query("two_means_least", _two_means("edges", 60), "edges")(lambda s, d: learn.two_means_threshold(fx.edges(s, d), 60))
+query("merged_threshold", _two_means("edges", 10), "edges")(lambda s, d: learn.merged([fx.golden(s, d), fx.test(s, d)], 10))
+query("weight_histogram", "select cast(least(floor(round((weight - lo) / 0.02, 9)), bins - 1) as int) bin, round(any_value(lo) + cast(least(floor(round((weight - lo) / 0.02, 9)), bins - 1) as int) * 0.02, 6) + 0.0 as \"left\", count(*) n from (select weight, min(weight) over () lo, greatest(1, ceil(round((max(weight) over () - min(weight) over ()) / 0.02, 9))) bins from edges where weight <> 0) group by 1", "edges")(
+    lambda s, d: learn.histogram(fx.edges(s, d))
+)
+query("weight_kde", """
+, p as (select min(weight) lo, max(weight) hi, stddev_samp(weight) * power(count(*), -0.2) h, count(*) n from golden where weight <> 0 and lag = 0),
+g as (select k, lo + (hi - lo) * k / 99 x, h, n from p, unnest(range(0, 100)) u(k))
+select cast(g.k as int) k, round(g.x, 6) + 0.0 x, round(sum(exp(-power((g.x - e.weight) / g.h, 2) / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())), 6) density
+from g cross join (select weight from golden where weight <> 0 and lag = 0) e group by g.k, g.x""", "golden")(lambda s, d: learn.kde(fx.golden(s, d).where("lag = 0"), 100))
+GRID = [(0.01, 0.01, 30), (0.01, 0.1, 9), (0.1, 0.01, 6), (0.1, 0.1, 2)]
+query("pick_lambdas", "select 0.01::double lambda_w, 0.1::double lambda_a, cast(9 as int) n_edges, 2.25::double as cost")(lambda s, d: learn.pick_lambdas(values(s, GRID, "lambda_w double, lambda_a double, n_edges int"), 5))
+query("model_settings", "select * from (values (10, 0.05::double, 0.1::double), (50, 0.01, 0.1), (200, 0.001, 0.1), (600, 0.0001, round(0.1 * sqrt(6.0), 6))) v(d, lr, lam)")(
+    lambda s, d: values(s, [(n, learn.learning_rate(n), learn.scaled_lambda(0.1, n)) for n in (10, 50, 200, 600)], "d int, lr double, lam double")
+)
+query("tucker_compression", "select cast(2889 as int) d, cast(2889 as bigint) * 2889 * 7 * 21 as \"full\"")(lambda s, d: values(s, [(2889, learn.compression(2889, 20, 5, (20, 10, 5))["full"])], "d int, full long"))
+query("ridge_var_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.ridge_kernel(2)))
+query("dynotears_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d).where("window_idx < 8"), kernels.dynotears_kernel(1, lambda_w=0.05, lambda_a=0.05, steps=200)))
+query("tucker_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d).where("window_idx < 8"), kernels.tucker_kernel(1, least=0.0, steps=40)))
+
+
+@query("lambda_calibration")
+def _calibration(s, d):
+    import pandas as pd
+
+    pairs = values(s, [(a, b) for a in (0.01, 0.05, 0.1, 0.5) for b in (0.01, 0.05, 0.1, 0.5)], "lambda_w double, lambda_a double")
+    sample = fx.prepared(s, d).where("t < 300").select("t", "var_idx", "value").crossJoin(F.broadcast(pairs))
+
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.pivot(index="t", columns="var_idx", values="value").sort_index().to_numpy()
+        return pd.DataFrame(kernels.calibrate(x, 1, [key], steps=100), columns=["lambda_w", "lambda_a", "n_edges"])
+
+    return learn.pick_lambdas(sample.groupBy("lambda_w", "lambda_a").applyInPandas(one, "lambda_w double, lambda_a double, n_edges int"), 5)
+
+
+# graphs --------------------------------------------------------------------------------------------------------------
+
+
+def _graph(s, d):
+    """Strong lagged edges of the first window as one graph over variable-lag nodes: node = 5 * lag + i for sources."""
+    e = fx.edges(s, d).where("window_idx = 0 and abs(weight) > 0.12")
+    return e.select((F.col("lag") * 5 + F.col("i")).alias("src"), F.col("j").alias("dst"), F.col("weight"), F.when(F.col("lag") == 0, "learned").otherwise("expert").alias("origin")).where("src != dst")
+
+
+GRAPH = "graph as (select cast(lag * 5 + i as int) src, j dst, weight, case when lag = 0 then 'learned' else 'expert' end origin from edges where window_idx = 0 and abs(weight) > 0.12 and lag * 5 + i <> j)"
+G = "src, dst, round(weight, 6) + 0.0 weight, origin"
+query("graph_upsert", f", {GRAPH} select src, dst, round(case when src = 1 then 2 else weight end, 6) + 0.0 weight, case when src = 1 then 'expert' else origin end origin from graph", "edges")(
+    lambda s, d: graph.upsert_edges(_graph(s, d).withColumn("seq", F.lit(0)), _graph(s, d).where("src = 1").withColumns({"weight": F.lit(2.0), "origin": F.lit("expert"), "seq": F.lit(1)}))
+)
+query("graph_with_origin", f", {GRAPH} select {G} from graph where origin = 'expert'", "edges")(lambda s, d: graph.edges_with_origin(_graph(s, d), "expert"))
+query("graph_remove_below", f", {GRAPH} select {G} from graph where abs(weight) >= 0.15", "edges")(lambda s, d: graph.remove_below(_graph(s, d), 0.15))
+REACH = "both_ as (select src u, dst v from sparse_ union select dst, src from sparse_), reach(u, v) as (select u, u from both_ union select r.u, b.v from reach r join both_ b on b.u = r.v), label as (select u node, min(v) component from reach group by 1)"
+SPARSE = "sparse_ as (select * from (select cast(lag * 10 + i + 5 * (window_idx % 2) as int) src, cast(j + 5 * (window_idx % 2) as int) dst, max(weight) weight from edges where window_idx < 4 and abs(weight) > 0.2 group by 1, 2) where src <> dst)"
+
+
+def _sparse_graph(s, d):
+    e = fx.edges(s, d).where("window_idx < 4 and abs(weight) > 0.2")
+    e = e.select((F.col("lag") * 10 + F.col("i") + 5 * (F.col("window_idx") % 2)).alias("src"), (F.col("j") + 5 * (F.col("window_idx") % 2)).alias("dst"), "weight")
+    return e.groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("src != dst")
+
+
+query("graph_components")(lambda s, d: graph.reachable_labels(_sparse_graph(s, d)))
+query("largest_wcc")(lambda s, d: graph.largest_subgraph(_sparse_graph(s, d)))
+query("target_subgraph")(lambda s, d: graph.target_subgraph(_sparse_graph(s, d), _sparse_graph(s, d).agg(F.min("dst")).first()[0]))
+_head = "with recursive " + with_tables("", "edges").strip().removeprefix("with ") + f",\n{SPARSE}, {REACH}\n"
+ORACLE_SQL["graph_components"] = _head + "select cast(node as int) node, cast(component as int) component from label"
+ORACLE_SQL["largest_wcc"] = _head + "select src, dst, round(weight, 6) + 0.0 weight from sparse_ join label on node = src where component = (select component from sparse_ join label on node = src group by 1 order by count(*) desc, component limit 1)"
+ORACLE_SQL["target_subgraph"] = _head + "select src, dst, round(weight, 6) + 0.0 weight from sparse_ join label on node = src where component = (select component from label where node = (select min(dst) from sparse_))"
+query("markov_blanket", f", {GRAPH}, mb as (select 1 node union select src from graph where dst = 1 union select dst from graph where src = 1 union select g.src from graph g join graph c on c.src = 1 and g.dst = c.dst) select {G} from graph where src in (select node from mb) and dst in (select node from mb) and exists (select 1 from graph where src = 1 or dst = 1)", "edges")(
+    lambda s, d: graph.markov_blanket(_graph(s, d), [1])
+)
+query("dag_edges")(lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 0 and window_idx < 10 and abs(weight) > 0.05")))
+query("graph_recovery", """
+, p as (select distinct i, j from edges where window_idx = 1 and lag = 0 and abs(weight) > 0.1), t as (select distinct i, j from edges where window_idx = 2 and lag = 0 and weight > 0),
+c as (select count(*) filter (p.i is not null and t.i is not null) tp, count(*) filter (t.i is null) fp, count(*) filter (p.i is null) fn from p full join t on p.i = t.i and p.j = t.j)
+select tp, fp, fn, fp + fn shd, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) recall, round(case when tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) f1 from c""", "edges")(
+    lambda s, d: graph.recovery(*[fx.edges(s, d).where(f"window_idx = {k} and lag = 0").select(F.col("i").alias("src"), F.col("j").alias("dst"), "weight") for k in (1, 2)], eps=0.1)
+)
+query("causal_paths", """
+, e as (select i s, j t, abs(weight) w from edges where window_idx = 0 and lag = 0 and i <> j), p1 as (select [s, t] path, w score, s head from e where t = 2),
+p2 as (select list_prepend(e.s, p1.path) path, score + w score, e.s head from p1 join e on e.t = p1.head where not list_contains(path, e.s)),
+p3 as (select list_prepend(e.s, p2.path) path, score + w score, e.s head from p2 join e on e.t = p2.head where not list_contains(path, e.s))
+select path, round(score, 6) score, cast(rank as int) rank from (select path, score, row_number() over (order by round(score, 9) desc, path) rank from (select array_to_string(path, '>') path, score from (select * from p1 union all select * from p2 union all select * from p3))) where rank <= 5""", "edges")(
+    lambda s, d: graph.causal_paths(fx.edges(s, d).where("window_idx = 0 and lag = 0").select(F.col("i").alias("src"), F.col("j").alias("dst"), "weight"), 2)
+)
+
+# ensembles -----------------------------------------------------------------------------------------------------------
+
+
+def _voters(s, d):
+    return fx.runs(s, d).where("abs(weight) > 0.08")
+
+
+VOTERS = "voters as (select * from runs where abs(weight) > 0.08)"
+query("bag_mean_zero", f", {VOTERS} select window_idx, i, j, lag, round(sum(weight) / 5, 6) + 0.0 weight from voters group by all", "runs")(lambda s, d: bagging.mean_absent_zero(_voters(s, d), 5))
+query("bag_mean_present", f", {VOTERS} select window_idx, i, j, lag, round(avg(weight), 6) + 0.0 weight from voters group by all", "runs")(lambda s, d: bagging.mean_present(_voters(s, d)))
+query("bag_vote", f", {VOTERS} select window_idx, i, j, lag, round(avg(weight), 6) + 0.0 weight from voters group by all having count(*) >= 5 * 0.6", "runs")(lambda s, d: bagging.vote(_voters(s, d), 5, 0.6))
+query("bag_vote_eps", "select window_idx, i, j, lag, round(avg(weight), 6) + 0.0 weight from runs group by all having count(*) filter (abs(weight) > 0.1) >= 5 * 0.6", "runs")(lambda s, d: bagging.vote(fx.runs(s, d), 5, 0.6, 0.1))
+query("bag_support", "select window_idx, i, j, lag, round(count(*) filter (abs(weight) > 0.1) / 5, 6) as support from runs group by all", "runs")(lambda s, d: bagging.support(fx.runs(s, d), 5, 0.1))
+query("causal_stability", """
+, c as (select run_id, i, j, sum(abs(weight)) w from runs group by all), g as (select run_id, i, j from (select distinct run_id from runs) cross join (select unnest(range(5)) i) cross join (select unnest(range(5)) j)),
+v as (select g.i, g.j, var_pop(coalesce(c.w, 0)) v from g left join c on c.run_id = g.run_id and c.i = g.i and c.j = g.j group by all)
+select round(exp(-avg(v)), 6) stability, cast(5 as bigint) n_runs from v""", "runs")(lambda s, d: bagging.stability(fx.runs(s, d), 5))
+query("bagging_runs", "select cast(r.run_id as int) run_id, window_idx from w cross join (select unnest(range(0, 3)) run_id) r", "w")(lambda s, d: bagging.runs_of(_ids(s, d), 3).drop("seed"))
+
+# distances -----------------------------------------------------------------------------------------------------------
+
+
+def _lag0(s, d):
+    return fx.edges(s, d).where("lag = 0")
+
+
+def _pairs(s, d):
+    ids = _ids(s, d)
+    return ids.select(F.col("window_idx").alias("a"), (F.col("window_idx") - 1).alias("b")).where("b >= 0")
+
+
+def _cells(s, d):
+    return distance.pair_cells(_pairs(s, d), _lag0(s, d).where("abs(weight) > 0.05"), _lag0(s, d).where("abs(weight) > 0.05"))
+
+
+CELLS = "cells as (select * from (select window_idx a, window_idx - 1 b, i, j, case when abs(x) > 0.05 then x else 0 end x, case when abs(y) > 0.05 then y else 0 end y from prev) where x <> 0 or y <> 0)"
+query("dimension", "select cast(greatest(max(i), max(j)) + 1 as int) d from edges where lag = 0", "edges")(lambda s, d: distance.dimension(fx.edges(s, d), 0))
+query("matrix_slice", "select window_idx, i, j, round(arg_max(weight, lag), 6) + 0.0 weight from (select * from edges union all select window_idx, i, j, cast(0 as int) lag, weight from edges where false) where lag = 1 and i < 4 and j < 4 group by all", "edges")(
+    lambda s, d: distance.matrix_slice(fx.edges(s, d).withColumn("seq", F.col("lag")), 1, 4, "seq")
+)
+query("frobenius", f", {CELLS} select a, b, round(sqrt(sum(power(x - y, 2))), 6) distance from cells group by all", "prev")(lambda s, d: distance.distance(_cells(s, d), "frobenius"))
+query("weighted_edge", f", {CELLS} select a, b, round(sqrt(sum(power(x - y, 2))), 6) distance from cells where abs(x) > 0.1 or abs(y) > 0.1 group by all", "prev")(lambda s, d: distance.weighted_edges(_cells(s, d), 0.1))
+query("spectral")(lambda s, d: distance.distance(_cells(s, d), "spectral"))
+query("structural_hamming", f", {CELLS} select a, b, count(*) filter ((abs(x) > 0.1) <> (abs(y) > 0.1)) shd, round(max(abs(x - y)), 6) max_edge_change from cells group by all", "prev")(lambda s, d: distance.structural_hamming(_cells(s, d), 0.1))
+query("nn_abs_score", """
+, d as (select t.window_idx, g.window_idx nearest, sqrt(sum(power(t.weight - g.weight, 2))) dist from (select * from test where lag = 0) t join (select * from golden where lag = 0 and window_idx % 10 = 0) g on g.i = t.i and g.j = t.j group by all)
+select window_idx, cast(arg_min(nearest, (round(dist, 9), nearest)) as int) nearest, round(min(dist), 6) abs_score from d group by 1""", "test", "golden")(
+    lambda s, d: distance.nearest_golden(fx.test(s, d).where("lag = 0").select("window_idx", "i", "j", "weight"), fx.golden(s, d).where("lag = 0").select("window_idx", "i", "j", "weight"))
+)
+query("golden_sampled_mean", """
+, ids as (select distinct cast(floor(k * (n - 1) / 6.0) as int) window_idx from (select unnest(range(7)) k) cross join (select count(distinct window_idx) n from golden))
+select i, j, lag, round(sum(weight) / 7, 6) + 0.0 weight from golden join ids using (window_idx) group by all""", "golden")(lambda s, d: distance.golden_sampled_mean(fx.golden(s, d), 7))
+query("golden_sampled_zero_fill", """
+, ids as (select distinct cast(floor(k * 29 / 9.0) as int) window_idx from (select unnest(range(10)) k))
+select i, j, lag, round(sum(weight) / 10, 6) + 0.0 weight from golden join ids using (window_idx) group by all""", "golden")(lambda s, d: distance.golden_sampled_mean(fx.golden(s, d), 10, zero_fill_ids=30))
+query("golden_mean", "select i, j, round(weight, 6) + 0.0 weight from gmean", "gmean")(lambda s, d: distance.golden_mean(fx.golden(s, d)))
+query("baseline_abs_score", "select window_idx, round(abs_score, 6) abs_score from base_score", "base_score")(lambda s, d: distance.to_baseline(fx.edges(s, d), distance.golden_mean(fx.golden(s, d))))
+query("change_score", "select window_idx, round(change_score, 6) change_score from chg", "chg")(lambda s, d: distance.change_scores(_lag0(s, d)))
+query("change_score_by_id", """
+, o as (select * from e0 where window_idx % 4 <> 2), ids as (select distinct window_idx from o), ce as (select distinct i, j from e0)
+select ids.window_idx, round(case when ids.window_idx = 0 then 0 else sqrt(sum(power(coalesce(e.weight, 0) - coalesce(p.weight, 0), 2))) end, 6) change_score
+from ids cross join ce c left join o e on e.window_idx = ids.window_idx and e.i = c.i and e.j = c.j left join o p on p.window_idx = ids.window_idx - 1 and p.i = c.i and p.j = c.j group by 1""", "e0")(
+    lambda s, d: distance.change_scores(_lag0(s, d).where("window_idx % 4 != 2"), observed=False)
+)
+query("abs_trend", "select window_idx, round(abs_score, 6) abs_score, round(change_score, 6) change_score, round(abs_trend, 6) + 0.0 abs_trend from scores", "scores")(fx.scores)
+query("top_dims", "select window_idx, top_dims from \"top\"", "top")(fx.top)
+
+
+def _shifted(s, d):
+    """Golden windows beside test windows of the same id, as two runs of the same windows have."""
+    g = fx.golden(s, d).withColumn("window_idx", F.col("window_idx") + fx.GOLDEN)
+    return fx.test(s, d), g
+
+
+SHIFT = "g as (select window_idx + 20 window_idx, lag, i, j, weight from golden), jd as (select t.window_idx, t.lag, t.i, t.j, t.weight, g.weight golden, abs(t.weight - g.weight) diff from test t join g using (window_idx, lag, i, j)), st as (select window_idx, avg(diff) mean_diff, max(diff) max_diff, stddev_samp(diff) std_diff, count(*) n_edges, count(*) filter (diff > 0.1) n_large from jd group by 1)"
+query("edge_diff_stats", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff, round(max_diff, 6) max_diff, round(std_diff, 6) std_diff, n_edges, n_large from st", "golden", "test")(lambda s, d: distance.edge_difference_stats(*_shifted(s, d)))
+query("top_windows", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff from st order by st.mean_diff desc, window_idx limit 5", "golden", "test")(lambda s, d: distance.top_windows(distance.edge_difference_stats(*_shifted(s, d)), 5).select("window_idx", "mean_diff"))
+query("top_edges", f", {SHIFT} select window_idx, i, j, lag, round(diff, 6) diff, cast(rank as int) rank, round(weight / (abs(golden) + 1e-10), 3) + 0.0 ratio from (select *, row_number() over (partition by window_idx order by round(diff, 9) desc, lag, i, j) rank from jd) where rank <= 5", "golden", "test")(
+    lambda s, d: distance.top_edges(*_shifted(s, d)).select("window_idx", "i", "j", "lag", "diff", "rank", F.round("ratio", 3).alias("ratio"))
+)
+query("spike_ratio", f", {SHIFT} select round(spike, 6) spike, round(other, 6) other, round(spike / other, 6) ratio, case when spike / other > 2 then 'strong' when spike / other > 1.5 then 'moderate' else 'weak' end band from (select avg(mean_diff) filter (window_idx in (21, 25, 30)) spike, avg(mean_diff) filter (window_idx not in (21, 25, 30)) other from st)", "golden", "test")(
+    lambda s, d: distance.spike_ratio(distance.edge_difference_stats(*_shifted(s, d)), values(s, [(21,), (25,), (30,)], "window_idx int"))
+)
+query("normalised_score", "select window_idx, round(abs_score / (select sqrt(sum(weight * weight)) from gmean), 6) score from base_score", "base_score")(lambda s, d: distance.normalised_score(fx.edges(s, d), distance.golden_mean(fx.golden(s, d))))
+query("mad_threshold", """
+, l as (select window_idx, abs_score score, median(abs_score) over w m, list(abs_score) over w xs from scores window w as (order by window_idx rows between 50 preceding and 1 preceding))
+select window_idx, round(score, 6) score, round(m + 2 * list_median(list_transform(xs, lambda x: abs(x - m))), 6) threshold from l""".replace("list_median(", "list_aggregate(").replace("abs(x - m)))", "abs(x - m)), 'median')"), "scores")(
+    lambda s, d: distance.mad_threshold(fx.scores(s, d).select("window_idx", F.col("abs_score").alias("score")))
+)
+
+# detection -----------------------------------------------------------------------------------------------------------
+
+STATIC = (0.5, 0.6, 0.05)
+
+
+def _states(s, d):
+    return detect.fixed_states(fx.scores(s, d), STATIC).select("window_idx", "abs_score", "change_score", "abs_trend", "status")
+
+
+query("fixed_states", "select window_idx, status from states", "states")(lambda s, d: _states(s, d).select("window_idx", "status"))
+query("golden_thresholds", "select round(t, 6) threshold_normal, round(1.5 * t, 6) threshold_change, round(0.5 * t, 6) threshold_trend from (select greatest(avg(abs_score) + 3 * stddev_pop(abs_score), 0.001) t from scores where window_idx < 20)", "scores")(
+    lambda s, d: detect.golden_thresholds(fx.scores(s, d).where("window_idx < 20"))
+)
+query("static_states", """
+, th as (select greatest(avg(abs_score) + 1 * stddev_pop(abs_score), 0.001) t from scores where window_idx < 20)
+select window_idx, case when abs_score < t then 'NORMAL' when change_score > 1.5 * t and abs_trend > 0.5 * t then 'NEW_ANOMALY_ONSET' when change_score > 1.5 * t and abs_trend < -0.5 * t then 'RECOVERY_FLUCTUATION' when abs_score > t then 'CASCADE_OR_PERSISTENT' else 'NORMAL' end status
+from scores cross join th""", "scores")(lambda s, d: detect.static_states(fx.scores(s, d), detect.golden_thresholds(fx.scores(s, d).where("window_idx < 20"), 1.0)).select("window_idx", "status"))
+
+
+def _small(s, d):
+    """Scores brought down so that the fixed thresholds of the beginning let a history build up, and every state occurs."""
+    k = F.col("window_idx")
+    calm = F.when(k % 9 < 6, 0.04).otherwise(0.5)
+    return fx.scores(s, d).select("window_idx", F.round(F.col("abs_score") * calm, 9).alias("abs_score"), F.round(F.col("change_score") * calm, 9).alias("change_score"), F.round(F.when(k % 9 == 6, 0.2).when(k % 9 == 8, -0.2).otherwise(F.col("abs_trend") * 0.04), 9).alias("abs_trend"))
+
+
+ORACLE_SQL["adaptive_states"] = "with recursive " + with_tables("", "scores").strip().removeprefix("with ") + """,
+sm as (select window_idx, row_number() over (order by window_idx) k, round(abs_score * f, 9) a, round(change_score * f, 9) c, round(case when window_idx % 9 = 6 then 0.2 when window_idx % 9 = 8 then -0.2 else abs_trend * 0.04 end, 9) t
+  from (select *, case when window_idx % 9 < 6 then 0.04 else 0.5 end f from scores)),
+fold(k, window_idx, status, ha, hc, tn, tc, tt) as (
+  select cast(0 as bigint), cast(-1 as int), '', cast([] as double[]), cast([] as double[]), 0.0::double, 0.0::double, 0.0::double
+  union all
+  select k, window_idx, case when a < tn then 'NORMAL' when c > tc and t > tt then 'NEW_ANOMALY_ONSET' when c > tc and t < -tt then 'RECOVERY_FLUCTUATION' else 'CASCADE_OR_PERSISTENT' end,
+    case when a < tn then list_append(ha, a)[greatest(1, len(ha) - 98):] else ha end, case when a < tn then list_append(hc, c)[greatest(1, len(hc) - 98):] else hc end, tn, tc, tt
+  from (
+    select s.k, s.window_idx, cast(s.a as double) a, cast(s.c as double) c, cast(s.t as double) t, f.ha, f.hc,
+      case when len(f.ha) >= 5 then list_avg(f.ha) + 3 * list_stddev_pop(f.ha) else 0.05 end tn,
+      case when len(f.ha) >= 5 then list_avg(f.hc) + 3 * list_stddev_pop(f.hc) else 0.15 end tc,
+      case when len(f.ha) >= 5 then 0.2 * (list_avg(f.ha) + 3 * list_stddev_pop(f.ha)) else 0.1 end tt
+    from fold f join sm s on s.k = f.k + 1))
+select window_idx, status, round(tn, 6) threshold_normal, round(tc, 6) threshold_change, round(tt, 6) threshold_trend from fold where k > 0"""
+query("adaptive_states")(lambda s, d: detect.adaptive_states(_small(s, d)).select("window_idx", "status", "threshold_normal", "threshold_change", "threshold_trend"))
+query("status_summary", "select status, count(*) n, round(100.0 * count(*) / sum(count(*)) over (), 6) pct from states group by 1", "states")(lambda s, d: detect.status_histogram(_states(s, d)))
+query("anomaly_span", "select count(*) n, min(window_idx) as \"first\", max(window_idx) as \"last\" from states where status <> 'NORMAL'", "states")(lambda s, d: detect.anomaly_span(_states(s, d)))
+query("vote_k_of_metrics", """
+, l as (select avg(abs_score) + 0.5 * stddev_pop(abs_score) a, avg(change_score) + 0.5 * stddev_pop(change_score) c, avg(abs_trend) + 0.5 * stddev_pop(abs_trend) t from scores where window_idx < 20)
+select window_idx, cast((abs_score > a)::int + (change_score > c)::int + (abs_trend > t)::int as int) votes, (abs_score > a)::int + (change_score > c)::int + (abs_trend > t)::int >= 2 is_anomaly from scores cross join l""", "scores")(
+    lambda s, d: detect.vote_of_metrics(fx.scores(s, d), ["abs_score", "change_score", "abs_trend"], fx.scores(s, d).where("window_idx < 20"), 2, 0.5).select("window_idx", "votes", "is_anomaly")
+)
+query("label_taxonomy", "select * from (values ('point', 'spike'), ('contextual', 'drift,level_shift,trend_change,amplitude_change'), ('other', '')) v(class, types)")(
+    lambda s, d: detect.type_of_class(values(s, [("point",), ("contextual",), ("other",)], "class string")).select("class", F.array_join("types", ",").alias("types"))
+)
+
+# root causes ---------------------------------------------------------------------------------------------------------
+
+query("rca_top_anomalies", "select window_idx, status, round(abs_score, 6) abs_score from states where status <> 'NORMAL' order by states.abs_score desc, window_idx limit 5", "states")(lambda s, d: rca.top_anomalies(_states(s, d)).select("window_idx", "status", "abs_score"))
+query("rca_root_effect", """
+, k as (select window_idx from w where window_idx >= 20), ce as (select distinct i, j from (select i, j from e0 union all select i, j from gmean)),
+dl as (select k.window_idx, c.i, c.j, coalesce(e.weight, 0) - coalesce(g.weight, 0) delta from k cross join ce c left join e0 e on e.window_idx = k.window_idx and e.i = c.i and e.j = c.j left join gmean g on g.i = c.i and g.j = c.j),
+o as (select window_idx, i, round(sum(round(abs(delta), 12)), 9) s from dl group by all), n as (select window_idx, j, round(sum(round(abs(delta), 12)), 9) s from dl group by all)
+select a.window_idx, a.root, b.effect, c.edge, c.edge_change from (select window_idx, arg_min(i, (-s, i)) root from o group by 1) a join (select window_idx, arg_min(j, (-s, j)) effect from n group by 1) b using (window_idx)
+join (select window_idx, arg_min(i || '->' || j, (-round(abs(delta), 9), i, j)) edge, round(arg_min(delta, (-round(abs(delta), 9), i, j)), 6) + 0.0 edge_change from dl group by 1) c using (window_idx)""", "e0", "gmean", "w")(
+    lambda s, d: rca.root_effect(fx.edges(s, d), distance.golden_mean(fx.golden(s, d)), _ids(s, d).where("window_idx >= 20"))
+)
+
+
+def _ranking(s, d):
+    return rca.strength_ranking(fx.test(s, d), fx.golden(s, d), fx.test(s, d), 6, per_window=True)
+
+
+RANK = """
+gi as (select j node, sum(weight) / 20 s from golden group by 1), go as (select i node, sum(weight) / 20 s from golden group by 1), ti as (select window_idx, j node, sum(weight) s from test group by 1, 2), tz as (select window_idx, i node, sum(weight) s from test group by 1, 2),
+sc as (select w.window_idx, cast(n.node as int) node, abs(coalesce(ti.s, 0) - coalesce(gi.s, 0)) + abs(coalesce(tz.s, 0) - coalesce(go.s, 0)) score
+  from (select distinct window_idx from test) w cross join (select unnest(range(6)) node) n left join ti on ti.window_idx = w.window_idx and ti.node = n.node left join tz on tz.window_idx = w.window_idx and tz.node = n.node left join gi on gi.node = n.node left join go on go.node = n.node),
+rk as (select *, cast(row_number() over (partition by window_idx order by round(score, 9) desc, node) as int) rank from sc)"""
+query("rca_strength_rank", f", {RANK} select window_idx, node, round(score, 6) score, rank from rk", "golden", "test")(_ranking)
+query("rca_recall_at_k", f""", {RANK},
+cu as (select cast(floor(start / 10) as int) window_idx, unnest(dims) - 1 node from labelled), rr as (select coalesce(rk.rank, 999) rank from cu left join rk on rk.window_idx = cu.window_idx and rk.node = cu.node where cu.window_idx in (select window_idx from test))
+select count(*) n, round(avg((rank <= 1)::int), 6) recall_at_1, round(avg((rank <= 3)::int), 6) recall_at_3, round(avg((rank <= 5)::int), 6) recall_at_5, round(avg(rank), 6) mean_rank from rr""", "golden", "test", "labelled")(
+    lambda s, d: rca.recall_at(_ranking(s, d), fx.labelled(s, d))
+)
+
+
+def _roots(s, d):
+    return fx.top(s, d).select("window_idx", F.get(F.split("top_dims", ","), 0).cast("int").alias("root"))
+
+
+query("rca_top1_accuracy", """
+, p as (select window_idx, cast(split_part(top_dims, ',', 1) as int) root from "top"), h as (select p.window_idx, max(list_contains(n.dims, p.root + 1)::int) hit from p join near n using (window_idx) group by 1)
+select count(*) n, cast(sum(hit) as bigint) correct, round(avg(hit), 6) accuracy from h""", "top", "near")(lambda s, d: rca.top1_accuracy(_roots(s, d), fx.labelled(s, d)))
+query("rca_macro_accuracy", "select round(12 / 30, 6) global_accuracy, round((0.2 + 0.5) / 2, 6)::double macro_accuracy")(lambda s, d: rca.macro_accuracy(values(s, [("a", 10, 2), ("b", 20, 10)], "entity string, n int, correct int")))
+query("counterfactual")(lambda s, d: rca.counterfactual(fx.windowed(s, d).where("window_idx in (20, 21)"), fx.edges(s, d).where("window_idx in (20, 21)").withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
+
+# evaluation ----------------------------------------------------------------------------------------------------------
+
+
+def _window_labels(s, d):
+    return evaluate.window_labels(fx.points(s, d).select("t", "label"))
+
+
+def _scored_labels(s, d):
+    return _window_labels(s, d).join(fx.scores(s, d), "window_idx").select("window_idx", F.round("abs_score", 2).alias("score"), "label")
+
+
+SL = "sl as (select wl.window_idx, round(abs_score, 2) score, label from wl join scores using (window_idx))"
+PRF = "round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) f1"
+query("label_windows", "select window_idx, label from wl", "wl")(_window_labels)
+query("segments", "select a as start, b as \"end\" from segs", "segs")(lambda s, d: evaluate.segments(fx.points(s, d)))
+query("dense_scores", "select cast(k as int) window_idx, round(coalesce(s.abs_score, 0), 6) abs_score from unnest(range(0, 70)) u(k) left join (select * from scores where window_idx % 5 <> 1) s on s.window_idx = k", "scores")(lambda s, d: evaluate.dense_scores(fx.scores(s, d).where("window_idx % 5 != 1"), 70))
+query("prf_window", f"select *, {PRF} from (select count(*) filter (p and l) tp, count(*) filter (p and not l) fp, count(*) filter (not p and l) fn, count(*) filter (not p and not l) tn from (select status in ('NEW_ANOMALY_ONSET', 'CASCADE_OR_PERSISTENT') p, label = 1 l from wl join states using (window_idx)))", "wl", "states")(
+    lambda s, d: evaluate.window_prf(_states(s, d), _window_labels(s, d))
+)
+query("window_confusion", "select *, round((tp + tn) / (tp + fp + fn + tn), 6) accuracy from (select count(*) filter (p and l) tp, count(*) filter (p and not l) fp, count(*) filter (not p and l) fn, count(*) filter (not p and not l) tn from (select status <> 'NORMAL' p, label = 1 l from wl join states using (window_idx)))", "wl", "states")(
+    lambda s, d: evaluate.window_confusion(_states(s, d), _window_labels(s, d))
+)
+CURVE = f"{SL}, g as (select score, sum(label) p, count(*) n from sl group by 1), cv as (select score, sum(p) over w tp, sum(n) over w - sum(p) over w fp, sum(p) over w / sum(n) over w precision, sum(p) over w / sum(p) over () recall from g window w as (order by score desc))"
+query("pr_curve", f", {CURVE} select score, cast(tp as bigint) tp, cast(fp as bigint) fp, round(precision, 6) precision, round(recall, 6) recall from cv", "wl", "scores")(lambda s, d: evaluate.pr_curve(_scored_labels(s, d)))
+query("auc_pr_trapezoid", f", {CURVE} select round(sum((recall - r0) * (precision + p0) / 2), 6) auc_pr from (select *, coalesce(lag(recall) over (order by score desc), 0) r0, coalesce(lag(precision) over (order by score desc), 1) p0 from cv)", "wl", "scores")(lambda s, d: evaluate.auc_pr(_scored_labels(s, d)))
+query("average_precision", f", {CURVE} select round(sum((recall - r0) * precision), 6) average_precision from (select *, coalesce(lag(recall) over (order by score desc), 0) r0 from cv)", "wl", "scores")(lambda s, d: evaluate.average_precision(_scored_labels(s, d)))
+query("max_f1", f", {CURVE} select score, cast(tp as bigint) tp, cast(fp as bigint) fp, round(precision, 6) precision, round(recall, 6) recall, round(2 * precision * recall / (precision + recall + 1e-8), 6) f1 from cv order by round(2 * cv.precision * cv.recall / (cv.precision + cv.recall + 1e-8), 9) desc, score desc limit 1", "wl", "scores")(
+    lambda s, d: evaluate.max_f1(_scored_labels(s, d))
+)
+SEG = "sg as (select *, case when label = 1 then sum(b) over (order by t) end segment from (select *, case when label = 1 and coalesce(lag(label) over (order by t), 0) = 0 then 1 else 0 end b from points))"
+THR = "th as (select k, lo + (hi - lo) * k / 19 threshold from (select min(score) lo, max(score) hi from points), unnest(range(0, 20)) u(k))"
+ADJ = f"{SEG}, {THR}, aj as (select th.threshold, case when segment is null then score >= threshold else max(score) over (partition by th.threshold, segment) >= threshold end p, label = 1 l from sg cross join th), ac as (select threshold, count(*) filter (p and l) tp, count(*) filter (p and not l) fp, count(*) filter (not p and l) fn from aj group by 1)"
+
+
+def _adjusted(s, d):
+    return evaluate.adjusted(fx.points(s, d), evaluate.linear_thresholds(fx.points(s, d), 20).select("threshold"))
+
+
+query("point_adjusted_sweep", f", {ADJ} select round(threshold, 6) threshold, tp, fp, fn, {PRF} from ac", "points")(_adjusted)
+query("best_f1_sweep", f", {ADJ} select round(threshold, 6) threshold, tp, fp, fn, {PRF} from ac order by round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 9) desc, ac.threshold limit 1", "points")(
+    lambda s, d: evaluate.best_adjusted(fx.points(s, d), 20).drop("k")
+)
+query("point_adjust_latency", f""", {SEG}, x as (select *, min(case when score > 60 and segment is not null then t end) over (partition by segment) f from sg),
+y as (select *, segment is not null and f is not null and t < f and t > 0 back, segment is not null and f is not null and t >= f fwd from x),
+c as (select count(*) filter ((score > 60 or back or fwd) and label = 1) tp, count(*) filter ((score > 60 or back or fwd) and label = 0) fp, count(*) filter (not (score > 60 or back or fwd) and label = 1) fn, count(*) filter (back and not score > 60) late, count(distinct segment) filter (f is not null) ns from y)
+select tp, fp, fn, {PRF}, round(late / (ns + 1e-4), 6) latency from c""", "points")(lambda s, d: evaluate.adjusted_latency(fx.points(s, d), 60.0))
+
+
+def _thresholds(s, d, n=25):
+    return evaluate.linear_thresholds(fx.scores(s, d), n, "abs_score").select("threshold")
+
+
+STH = "sth as (select lo + (hi - lo) * k / 24 threshold from (select min(abs_score) lo, max(abs_score) hi from scores), unnest(range(0, 25)) u(k))"
+RW = "rg as (select event_id, greatest(0, cast(trunc((start - {size}) / 10) as bigint)) lo, cast(trunc(stop / 10) as bigint) + {extra} hi from labelled)"
+query("range_f1", f""", {STH}, {RW.format(size=250, extra=2)},
+r as (select threshold, avg(hit) recall from (select sth.threshold, rg.event_id, max(case when s.abs_score > sth.threshold then 1 else 0 end) hit from sth cross join rg left join scores s on s.window_idx between rg.lo and rg.hi group by all) group by 1),
+p as (select threshold, avg(t) precision from (select sth.threshold, s.window_idx, max(case when rg.event_id is not null then 1 else 0 end) t from sth join scores s on s.abs_score > sth.threshold left join rg on s.window_idx between rg.lo and rg.hi group by all) group by 1)
+select round(threshold, 6) threshold, round(recall, 6) recall, round(precision, 6) precision, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) f1 from r join p using (threshold)""", "scores", "labelled")(
+    lambda s, d: evaluate.range_f1(fx.scores(s, d), fx.labelled(s, d), _thresholds(s, d))
+)
+query("event_f1", """
+, od as (select window_idx from states where status <> 'NORMAL'),
+c as (select (select count(*) from labelled) n_events, (select count(*) from od) n_windows, (select count(distinct event_id) from near where window_idx in (select window_idx from od)) hits, (select count(*) from od where window_idx in (select window_idx from near)) as "true")
+select *, round(case when n_events > 0 then hits / n_events else 0 end, 6) recall, round(case when n_windows > 0 then "true" / n_windows else 0 end, 6) precision,
+  round(case when hits > 0 and "true" > 0 then 2 * (hits / n_events) * ("true" / n_windows) / (hits / n_events + "true" / n_windows) else 0 end, 6) f1 from c""", "states", "near")(lambda s, d: evaluate.event_f1(_states(s, d), fx.labelled(s, d)))
+query("truth_mask", "select distinct window_idx from near where window_idx < 40", "near")(lambda s, d: evaluate.truth_mask(fx.labelled(s, d), 40))
+query("detected_runs", """
+, od as (select window_idx, window_idx - row_number() over (order by window_idx) g from states where status <> 'NORMAL')
+select min(window_idx) as "first", max(window_idx) as "last", bool_or(window_idx in (select window_idx from near where event_id % 7 = 0)) is_true from od group by g""", "states", "near")(
+    lambda s, d: evaluate.detected_runs(_states(s, d), evaluate.truth_mask(fx.labelled(s, d).where("event_id % 7 = 0"), 10_000))
+)
+query("missed_events", "select event_id, start from labelled where event_id not in (select event_id from near where window_idx in (select window_idx from states where status <> 'NORMAL' and window_idx % 8 = 0))", "near", "states")(
+    lambda s, d: evaluate.missed_events(_states(s, d).where("window_idx % 8 = 0"), fx.labelled(s, d)).select("event_id", "start")
+)
+
+
+def _few(s, d):
+    return fx.labelled(s, d).where("event_id % 9 = 0")
+
+
+SWEEP = f"""{STH}, few as (select * from labelled where event_id % 9 = 0), tr as (select distinct window_idx from near where event_id % 9 = 0),
+rg as (select event_id, greatest(0, cast(trunc((start - 100) / 10) as bigint)) lo, cast(trunc(stop / 10) as bigint) + 1 hi from few),
+hi as (select threshold, sum(hit) hits, count(*) n from (select sth.threshold, rg.event_id, max(case when s.abs_score > sth.threshold then 1 else 0 end) hit from sth cross join rg left join scores s on s.window_idx between rg.lo and rg.hi group by all) group by 1),
+od as (select sth.threshold, s.window_idx, s.window_idx - row_number() over (partition by sth.threshold order by s.window_idx) g from sth join scores s on s.abs_score > sth.threshold),
+fr as (select threshold, count(*) filter (not t) false_runs from (select threshold, g, bool_or(window_idx in (select window_idx from tr)) t from od group by 1, 2) group by 1),
+sw as (select hi.threshold, cast(hits as bigint) hits, coalesce(false_runs, 0) false_runs, case when hits + coalesce(false_runs, 0) > 0 then hits / (hits + coalesce(false_runs, 0)) else 0 end precision, hits / n recall from hi left join fr using (threshold)),
+sf as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end f1 from sw)"""
+
+
+def _sweep(s, d):
+    return evaluate.event_sweep(fx.scores(s, d), _few(s, d), _thresholds(s, d), 10_000)
+
+
+SWEPT = "round(threshold, 6) threshold, hits, false_runs, round(precision, 6) precision, round(recall, 6) recall, round(f1, 6) f1"
+query("event_sweep", f", {SWEEP} select {SWEPT} from sf", "scores", "near")(_sweep)
+query("event_sweep_best", f", {SWEEP} select {SWEPT} from sf order by round(sf.f1, 9) desc, sf.threshold desc limit 1", "scores", "near")(lambda s, d: evaluate.best_of_sweep(_sweep(s, d)))
+query("event_sweep_area", f", {SWEEP} select round(coalesce(sum(a), 0), 6) auc_pr from (select (recall - lag(recall) over (order by recall, precision)) * (precision + lag(precision) over (order by recall, precision)) / 2 a from sf)", "scores", "near")(lambda s, d: evaluate.area_of_sweep(_sweep(s, d)))
+query("percentile_thresholds", "select distinct round(q, 6) threshold from (select unnest(quantile_cont(abs_score, [0.8, 0.85, 0.9, 0.95])) q from scores)", "scores")(lambda s, d: evaluate.percentile_thresholds(fx.scores(s, d), 80, 95, 4, "abs_score"))
+query("strict_percentile_sweep", f", {SL}, th as (select distinct unnest(quantile_cont(score, [0.0, 0.25, 0.5, 0.75])) threshold from sl), c as (select threshold, count(*) filter (score > threshold and label = 1) tp, count(*) filter (score > threshold and label = 0) fp, count(*) filter (score <= threshold and label = 1) fn from sl cross join th group by 1) select round(threshold, 6) threshold, tp, fp, fn, {PRF} from c", "wl", "scores")(
+    lambda s, d: evaluate.strict_percentile_sweep(_scored_labels(s, d), evaluate.percentile_thresholds(_scored_labels(s, d), 0, 75, 4))
+)
+HIT = f"{RW.format(size=100, extra=2)}, td as (select window_idx, list_transform(split(top_dims, ',')[1:{{k}}], lambda x: cast(x as int) + 1) dims from \"top\"), jn as (select l.event_id, l.dims, td.dims p from labelled l join rg using (event_id) left join td on td.window_idx >= rg.lo and td.window_idx < rg.hi)"
+query("ac_at_k", f", {HIT.format(k=1)} select count(*) n, count(*) filter (h) hits, round(count(*) filter (h) / count(*), 6) hit_rate from (select event_id, bool_or(coalesce(list_has_any(p, dims), false)) h from jn group by 1)", "top", "labelled")(lambda s, d: evaluate.hit_rate(fx.top(s, d), fx.labelled(s, d), 1))
+query("rca_dim_f1", f""", {HIT.format(k=2)}, u as (select event_id, any_value(dims) dims, coalesce(list_distinct(flatten(list(p) filter (p is not null))), []) p from jn group by 1),
+c as (select event_id, len(list_intersect(p, dims)) tp, len(p) np, len(dims) nd from u), r as (select event_id, case when np > 0 then tp / np else 0 end precision, tp / nd recall from c)
+select event_id, round(precision, 6) precision, round(recall, 6) recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) f1 from r""", "top", "labelled")(
+    lambda s, d: evaluate.dimension_f1(fx.top(s, d), fx.labelled(s, d), 2)
+)
+query("macro_average", "select count(*) n, round(avg(abs_score), 6) abs_score, round(avg(change_score), 6) change_score from scores", "scores")(lambda s, d: evaluate.macro(fx.scores(s, d), "abs_score", "change_score"))
+query("describe_scores", "select round(avg(abs_score), 6) abs_score_mean, round(min(abs_score), 6) abs_score_min, round(max(abs_score), 6) abs_score_max from scores", "scores")(lambda s, d: evaluate.described(fx.scores(s, d), "abs_score"))
+query("missing_entities", "select * from (values ('a', 0.5::double, 'ok'), ('b', 0.0, 'missing'), ('c', 0.0, 'ok')) v(entity, f1, status)")(
+    lambda s, d: evaluate.with_missing(values(s, [("a",), ("b",), ("c",)], "entity string"), values(s, [("a", 0.5), ("c", None)], "entity string, f1 double"), "f1")
+)
+query("mean_ci", "select var, count(*) n, round(avg(value), 6) + 0.0 mean, round(stddev_samp(value), 6) std, round(avg(value) - 2.093 * stddev_samp(value) / sqrt(20), 6) + 0.0 ci_low, round(avg(value) + 2.093 * stddev_samp(value) / sqrt(20), 6) + 0.0 ci_high from prepared where t < 20 group by 1", "prepared")(
+    lambda s, d: evaluate.mean_ci(fx.prepared(s, d).where("t < 20"), "value", ["var"])
+)
+query("paired_t", "select count(*) n, round(avg(abs_score - change_score), 6) mean_diff, round(avg(abs_score - change_score) / (stddev_samp(abs_score - change_score) / sqrt(count(*))), 6) t from scores", "scores")(lambda s, d: evaluate.paired_t(fx.scores(s, d), "abs_score", "change_score"))
+query("convergence", "select count(*) n, round(stddev_samp(w), 6) std, stddev_samp(w) < 1.0 converged from (select run_id, avg(abs(weight)) w from runs group by 1)", "runs")(
+    lambda s, d: evaluate.converged(fx.runs(s, d).groupBy("run_id").agg(F.avg(F.abs("weight")).alias("loss")), "loss", 1.0)
+)
+CURVE_POINTS = [(100, 0.7), (400, 0.86), (1600, 0.92)]
+query("sample_complexity", f"select round(sum((1 - f) / sqrt(n)) / sum(1.0 / n), 6) c from {sql_rows(CURVE_POINTS, 'n, f')}")(lambda s, d: evaluate.sample_complexity(values(s, CURVE_POINTS, "n int, mean_f1 double")))
+query("by_size", "select window_idx n, round(avg(abs(weight)), 6) mean_f1, round(stddev_pop(abs(weight)), 6) std_f1, count(*) seeds from edges group by 1", "edges")(lambda s, d: evaluate.by_size(fx.edges(s, d).select(F.col("window_idx").alias("n"), F.abs("weight").alias("f1"))))
+query("parameter_grid", "select * from (select unnest([0.1::double, 0.2]) a) cross join (select unnest([1::int, 2, 3]) b) cross join (select unnest(['x', 'y']) c)")(lambda s, d: evaluate.grid(s, a=[0.1, 0.2], b=[1, 2, 3], c=["x", "y"]))
+query("random_search")(lambda s, d: evaluate.grid(s, 5, a=[0.1, 0.2], b=[1, 2, 3], c=["x", "y"]))
+query("runtime_projection", "select round(36.0 * 100 / 3600, 6)::double as hours")(lambda s, d: s.range(1).select(evaluate.runtime_projection(F.lit(36.0)).alias("hours")))
+query("ablation_variants", f"select * from {sql_rows([(a['variant'],) for a in evaluate.ABLATIONS], 'variant')}")(lambda s, d: values(s, [(a["variant"],) for a in evaluate.ABLATIONS], "variant string"))
+
+# text formats --------------------------------------------------------------------------------------------------------
+
+LINES = ["15849-16368:1,9,10", "16963-17517: 2, 3", "no colon", "1-2:3:4", "5-9:38"]
+query("parse_interval_labels", "select * from (values (15849::bigint, 16368::bigint, '1,9,10'), (16963, 17517, '2,3'), (5, 9, '38')) v(start, \"end\", dims)")(
+    lambda s, d: values(s, [(x,) for x in LINES], "line string").select(X.interval_label(F.col("line")).alias("x")).where("x is not null").select("x.start", "x.end", F.array_join(F.transform("x.dims", lambda k: k.cast("string")), ",").alias("dims"))
+)
+query("parse_nested_list", "select * from (values ('a', 1::bigint, 5::bigint), ('a', 9, 12), ('b', 3, 4)) v(id, start, \"end\")")(
+    lambda s, d: values(s, [("a", "[[1, 5], [9, 12]]"), ("b", "[[3,4]]")], "id string, x string").select("id", F.explode(X.nested_list(F.col("x"))).alias("p")).select("id", "p.*")
+)
+query("parse_bare_list", "select * from (values ('a', 'point,contextual'), ('b', 'point'), ('c', '')) v(id, classes)")(
+    lambda s, d: values(s, [("a", "[point, contextual]"), ("b", "['point']"), ("c", "[]")], "id string, x string").select("id", F.array_join(X.bare_list(F.col("x")), ",").alias("classes"))
+)
+query("parse_report", "select * from (values (12::int, 0.75::double, 3::int, 14::int)) v(window_idx, score, root, effect)")(
+    lambda s, d: values(s, [("12 | 0.7500 | Var_3 | Var_14 | Var_3 -> Var_14 (+0.1)",), ("window | score | root | effect | edge",), ("----",)], "x string").select(X.report_row(F.col("x")).alias("r")).where("r is not null").select("r.*")
+)
+query("json_field", "select event_id, cast(json_extract_string(props, '$.k') as varchar) k, 'none' missing from events where event_id < 50")(
+    lambda s, d: fx.events(s, d).where("event_id < 50").select("event_id", X.json_field(F.col("props"), "absent // k").alias("k"), X.json_field(F.col("props"), "absent", "none").alias("missing"))
+)
+query("json_lambda", "select 0.3::double lambda_w, 0.1::double lambda_a")(lambda s, d: s.range(1).select(X.json_lambda(F.lit('{"lambda_w": 0.3}'), "lambda_w").alias("lambda_w"), X.json_lambda(F.lit('{"lambda_w": 0.3}'), "lambda_a").alias("lambda_a")))
+query("run_of_path", "select cast(12 as int) run_id")(lambda s, d: s.range(1).select(X.window_of_path(F.lit("file:/x/run_012/weights/weights_enhanced.csv")).alias("run_id")))
+query("last_window", "select max(window_idx) last_window from edges", "edges")(lambda s, d: fx.edges(s, d).agg(F.max("window_idx").alias("last_window")))
+
+# a second series, from sales, and the whole way ----------------------------------------------------------------------
+
+query("sales_detrended", """
+with dy as (select cast(l_shipdate as date) dt, l_returnflag var, sum(l_extendedprice) v from lineitem group by all),
+x as (select dt, var, ln(1 + v + 1e-10) v from dy)
+select cast(dt as varchar) dt, var, round(v - coalesce(median(v) over (partition by var order by dt rows between 60 preceding and 1 preceding), v), 6) + 0.0 as value from x""")(
+    lambda s, d: prep.detrend(prep.log_shift(s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("dt"), F.col("l_returnflag").alias("var")).agg(F.sum("l_extendedprice").alias("value")).withColumn("t", F.col("dt")))).select(F.col("dt").cast("string").alias("dt"), "var", "value")
+)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to anomaly states: fill, detrend, standardise, window, correlate, score against the golden mean, classify."""
+    s = fx.scores(spark, sf_dir)
+    return rounded(detect.static_states(s, detect.golden_thresholds(s.where(F.col("window_idx") < fx.GOLDEN))).select("window_idx", "abs_score", "change_score", "abs_trend", "status"))
+
+
+query("pipeline_states", """
+, th as (select greatest(avg(abs_score) + 3 * stddev_pop(abs_score), 0.001) t from scores where window_idx < 20)
+select window_idx, round(abs_score, 6) abs_score, round(change_score, 6) change_score, round(abs_trend, 6) + 0.0 abs_trend,
+  case when abs_score < t then 'NORMAL' when change_score > 1.5 * t and abs_trend > 0.5 * t then 'NEW_ANOMALY_ONSET' when change_score > 1.5 * t and abs_trend < -0.5 * t then 'RECOVERY_FLUCTUATION' when abs_score > t then 'CASCADE_OR_PERSISTENT' else 'NORMAL' end status
+from scores cross join th""", "scores")(flagship)
