@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Shuffle files of plans that nothing refers to any more go when the driver collects its garbage, which may be long
     after; steps that end in a written table let go of much, so it is asked to before the next one fills the disks."""
     gc.collect()
@@ -51,14 +51,14 @@ def durable(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no more
     than its own tasks."""
     checkpoint_dir(df.sparkSession)
-    _release(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``durable``, in Parquet: for wide rows of which later steps read a few columns each. The files go with the folder."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _release(df.sparkSession)
+    release(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

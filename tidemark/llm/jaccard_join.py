@@ -7,10 +7,10 @@
 3. The shingles of a representative stand in the order of their rarity. Two sets that are alike share one of
    their first n - ceil(t n) + 1 (prefix filter). Each of these puts the representative into the tiles (shingle, size
    band) of its own band and the next, as sizes of a pair lie within one band of another.
-4. Every member of a tile is compared with a few leaders of it: the least, and the least by some hashes. Where that
-   leaves a tile in several components, the pairs of its members from different components are compared too, block
-   by block, each pair in one tile; so nothing that could link is passed over, and a group of copies makes a
-   few stars, not all its pairs.
+4. Every member of a tile is compared with a few leaders of it: the first, and the least by some hashes. Pairs that this
+   leaves open are compared too, block by block, each in one tile: for components, members of different
+   components; for first occurrences, members that have no earlier match yet with all earlier ones. So nothing that
+   could matter is passed over, and a group of copies makes a few stars, not all its pairs.
 5. Of a pair, hashed bitmaps are compared first, in the tile a short one and then one as long as its band asks: a bit
    that one has and the other hasn't stands for a shingle that they don't share, so bit counts bound the intersection
    from above. What stays is decided exactly, on sorted arrays.
@@ -148,55 +148,63 @@ def signatures(sets: Sets, counts: np.ndarray, alike=ALIKE):
 
 
 def _representatives(found: DataFrame, alike) -> DataFrame:
-    """(unit, n, size, tokens, counts) -> those that share enough with other classes: short and long bitmap, the hashes in
+    """(unit, n, size, tokens, counts, p1, p2) -> those that share enough with other classes: short and long bitmap, the hashes in
     order, and of the prefix by rarity the hashes that others have, with their places."""
-    schema = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("places", pa.binary()), ("p1", pa.int64()), ("p2", pa.int64())])
 
     def made(batches):
         for batch in batches:
             rows = []
-            for unit, n, size, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for unit, n, size, tokens, counts, p1, p2 in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 h, c = np.frombuffer(tokens, np.uint64), unplaned(counts)
                 others = c > size
                 if others.sum() < least_common(n, alike):
                     continue
                 order = np.lexsort((h, c))[: n - least_common(n, alike) + 1]
                 places = np.flatnonzero(others[order])
-                rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes()))
+                rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes(), p1, p2))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return found.select("unit", "n", "size", "tokens", "counts").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary")
+    return found.select("unit", "n", "size", "tokens", "counts", "p1", "p2").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary, p1 long, p2 long")
 
 
-def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
-    """units: SIGNATURE columns and pos, each unit once, to be read several times ->
+def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame, DataFrame]:
+    """units, read several times: SIGNATURE columns, place p1, p2 of each, and copies, the units of its p1 that it stands for ->
 
-    classes (digest, rep, pos): of each set that isn't empty, the unit of the least pos; links (unit, to, common): pairs of
-    representatives that are alike, enough of them to connect whatever is connected.
+    classes (digest, rep, p1, p2): of each set that isn't empty, the unit of the first place; links (unit, to, common): pairs of
+    representatives that are alike. They connect whatever is connected, or if ``first``, name an earlier match for each
+    that has one.
     """
-    classes = units.where("n > 0").groupBy("digest").agg(F.min(F.struct("pos", "unit")).alias("f"), F.count(F.lit(1)).alias("size"))
-    classes = durable(classes.select("digest", F.col("f.unit").alias("rep"), F.col("f.pos").alias("pos"), "size"))
+    classes = units.where("n > 0 and copies > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"))
+    classes = durable(classes)
     found = units.where("tokens is not null").select("unit", "n", "tokens", "counts")
-    reps = durable(_representatives(found.join(classes.select(F.col("rep").alias("unit"), "size"), "unit"), alike))
+    reps = durable(_representatives(found.join(classes.select(F.col("rep").alias("unit"), "size", "p1", "p2"), "unit"), alike))
     classes = classes.drop("size")
-    tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places"), alike))
+    tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places", "p1"), alike))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
     fits = fits & alike_sets(most_common(F.col("place"), F.col("n"), F.col("place2"), F.col("m"), F.least), F.col("n"), F.col("m"), alike)
     # min_by of numbers is a hash aggregate, so members are combined before they are shuffled
-    leads = [(F.xxhash64("unit", F.lit(k)) if k else F.col("unit")) for k in range(LEADERS + 1)]
-    lead = [F.struct(*[F.min_by(c, h).alias(c) for c in ("unit", "n", "place")]) for h in leads]
-    first = tiles.groupBy("token", "at").agg(F.array(*lead).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
-    stars = tiles.join(first.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
+    orders = [(F.xxhash64("unit", F.lit(k)) if k else F.col("p1")) for k in range(LEADERS + 1)]
+    lead = [F.struct(*[F.min_by(c, h).alias(c) for c in ("unit", "n", "place")]) for h in orders]
+    led = tiles.groupBy("token", "at").agg(F.array(*lead).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
+    stars = tiles.join(led.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
     stars = stars.withColumn("m", F.col("lead.n")).withColumn("place2", F.col("lead.place")).where(fits & (F.col("unit") != F.col("lead.unit")))
     stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to")).distinct()
     links = durable(verified(stars, reps, alike))
-    joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
-    placed = tiles.join(joined.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    mixed = placed.groupBy("token", "at").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
+    if first:
+        gone = later_of(links, reps).withColumn("gone", F.lit(True))
+        placed = tiles.join(gone, "unit", "left").withColumn("gone", F.col("gone").isNotNull()).withColumn("component", F.col("unit"))
+        stays = F.when(~F.col("gone"), F.col("p1"))
+        open_ = (F.count(stays) > 1) | (F.min(F.when(F.col("gone"), F.col("p1"))) <= F.max(stays))
+    else:
+        joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
+        placed = tiles.join(joined.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")).withColumn("gone", F.lit(False))
+        open_ = F.min("component") < F.max("component")
+    mixed = placed.groupBy("token", "at").agg(open_.alias("open"), F.count(F.lit(1)).alias("size")).where("open and size > 1")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = placed.join(mixed.select("token", "at", "size", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "mark", "prefix"), "unit")
+    placed = placed.drop("p1").join(mixed.select("token", "at", "size", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "p1", "p2", "mark", "prefix"), "unit")
     placed = placed.withColumn("block", F.pmod(F.hash("unit"), "blocks")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # small tiles are compared many at a time
     small, many = F.col("size") <= SMALL, 8 * shuffle_partitions(units.sparkSession)
@@ -207,35 +215,43 @@ def class_links(units: DataFrame, alike=ALIKE) -> tuple[DataFrame, DataFrame]:
     return classes, links
 
 
+def later_of(links: DataFrame, places: DataFrame) -> DataFrame:
+    """(unit): of each pair the one whose place (p1, p2) is later."""
+    at = places.select("unit", F.struct("p1", "p2").alias("pos"))
+    pairs = links.select("unit", "to").join(at, "unit").join(at.toDF("to", "pos2"), "to")
+    return pairs.select(F.when(F.col("pos") > F.col("pos2"), F.col("unit")).otherwise(F.col("to")).alias("unit")).distinct()
+
+
 def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
     """The same units -> (unit, n, digest, rep, component): rep is the least unit of an equal set, component the least that
     it reaches over links; both null for an empty set."""
-    classes, links = class_links(units.withColumn("pos", F.col("unit")), alike)
+    classes, links = class_links(units.withColumns({"p1": F.col("unit"), "p2": F.lit(0).cast("long"), "copies": F.lit(1)}), alike)
     joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
-    classes = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = classes.drop("p1", "p2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return units.select("unit", "n", "digest").join(classes, "digest", "left").select(
         "unit", "n", "digest", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), F.when(F.col("n") > 0, F.col("component")).alias("component")
     )
 
 
 def _tiles(reps: DataFrame, alike) -> DataFrame:
-    """(token, at, unit, n, band, place): the unit in the tile of a prefix shingle and of its own band or the next."""
-    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("place", pa.int32())])
+    """(token, at, unit, n, band, p1, place): the unit in the tile of a prefix shingle and of its own band or the next."""
+    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("p1", pa.int64()), ("place", pa.int32())])
 
     def dealt(batches):
         for batch in batches:
             parts = []
-            for u, n, prefix, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for u, n, prefix, places, p1 in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 h, place, band = np.frombuffer(prefix, np.int64), np.frombuffer(places, np.int32), band_of(n, alike)
-                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band)), place) for at in (band, band + 1)]
+                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band, p1)), place) for at in (band, band + 1)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
 
-    return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int, place int")
+    return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int, p1 long, place int")
 
 
 def _compare(alike):
-    """Of two blocks of a tile, or of many small tiles: the pairs of different components that the bounds let be alike.
+    """Of two blocks of a tile, or of many small tiles: the pairs of different components, the later one without an earlier
+    match so far, that the bounds let be alike.
 
     A pair of one band is compared in the tile of that band, one of two in that of the greater, and of the shingles that both
     prefixes have only in the tile of the least: once in all.
@@ -249,6 +265,7 @@ def _compare(alike):
         order = np.lexsort((at, token)) if small else np.arange(len(rows))
         token, at = token[order], at[order]
         unit, n, band, place, component, block = (rows.column(c).to_numpy()[order] for c in ("unit", "n", "band", "place", "component", "block"))
+        p1, p2, gone = (rows.column(c).to_numpy()[order] for c in ("p1", "p2", "gone"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         marks = rows.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK)[order]
         prefix = rows.column("prefix").combine_chunks().take(pa.array(order))
@@ -260,6 +277,7 @@ def _compare(alike):
             keep &= alike[0] * np.maximum(n[x], n[y]) <= alike[1] * np.minimum(n[x], n[y])
             keep &= alike_sets(most_common(place[x], n[x], place[y], n[y], np.minimum), n[x], n[y], alike)
             keep &= True if one else block[x] != block[y]
+            keep &= ~gone[np.where((p1[x] > p1[y]) | ((p1[x] == p1[y]) & (p2[x] > p2[y])), x, y)]
             x, y = x[keep], y[keep]
             only = lambda p, q: np.bitwise_count(marks[p] & ~marks[q]).sum(1, dtype=np.int64)
             keep = alike_sets(np.minimum(n[x] - only(x, y), n[y] - only(y, x)), n[x], n[y], alike)

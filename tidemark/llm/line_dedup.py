@@ -14,8 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
-from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, occurrences, shingle_sets, signatures
+from tidemark.llm.common import durable, release, table, written
+from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, later_of, occurrences, shingle_sets, signatures
 from tidemark.llm.shared import Plan, words_of
 
 
@@ -23,7 +23,7 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
     """(g, doc_id, row, line): the lines of ``min_words`` words or more of which an earlier one, by doc_id and place, is alike
     enough: 100 I >= 75 U of the token sets. row tells rows of equal doc_id apart, by their texts."""
     counter, key_of = plan.counter(), plan.key_of()
-    schema = pa.schema([("g", pa.int64()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), *SIGNED.items()])
+    schema = pa.schema([("g", pa.int64()), ("unit", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("copies", pa.int32()), *SIGNED.items()])
 
     def lines_of(docs: pa.Table):
         w = words_of(docs.column("text"), lower=True)
@@ -46,26 +46,29 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
         sets = shingle_sets(w.hashes, ends, width)
         if not len(text):
             return schema.empty_table()
-        g, ids = docs.column("g")[0].as_py(), docs.column("doc_id").to_numpy()
+        g, ids = docs.column("g")[0].as_py(), docs.column("doc_id").to_numpy()[text]
         columns = [list(c) for c in zip(*signatures(sets, counter(answers)(sets.hashes), alike), strict=True)]
-        seen: set[bytes] = set()  # of lines of equal sets only the first of the group carries more than the digest
-        for k, digest in enumerate(columns[1]):
+        seen: set[bytes] = set()  # of lines of equal sets only the first of the group carries more than the digest,
+        head: dict[tuple[int, bytes], int] = {}  # and only the first of its document counts the others there
+        copies = np.zeros(len(text), np.int32)
+        for k, (doc_id, digest) in enumerate(zip(ids.tolist(), columns[1], strict=True)):
             if digest in seen:
                 for c in columns[2:]:
                     c[k] = None
             seen.add(digest)
-        own = [np.full(len(text), g), (g << 32) + np.arange(len(text)), ids[text], rows[text], line.astype(np.int32)]
+            copies[head.setdefault((doc_id, digest), k)] += 1
+        own = [np.full(len(text), g), (g << 32) + np.arange(len(text)), ids, (rows[text].astype(np.int64) << 32) + line, copies]
         return pa.table([pa.array(c, f.type) for c, f in zip([*own, *columns], schema, strict=True)], schema=schema)
 
-    lines = written(plan.with_answers(plan.shared(keys), sign, f"g long, unit long, doc_id long, row int, line int, {SIGNED_DDL}"))
-    lines = lines.withColumn("pos", F.struct("doc_id", "row", "line"))
-    classes, links = class_links(lines, alike)
-    place = classes.select(F.col("rep").alias("unit"), "pos")
-    pairs = links.join(place, "unit").join(place.select(F.col("unit").alias("to"), F.col("pos").alias("pos2")), "to")
-    gone = pairs.select(F.when(F.col("pos") > F.col("pos2"), F.col("unit")).otherwise(F.col("to")).alias("rep")).distinct().withColumn("gone", F.lit(True))
-    classes = classes.join(gone, "rep", "left").select("digest", F.col("pos").alias("first"), "gone")
-    found = lines.select("g", "doc_id", "row", "line", "pos", "digest").join(classes, "digest").where(F.col("gone").isNotNull() | (F.col("pos") != F.col("first")))
-    return found.select("g", "doc_id", "row", "line")
+    ddl = f"g long, unit long, p1 long, p2 long, copies int, {SIGNED_DDL}"
+    lines = written(plan.with_answers(plan.shared(keys), sign, ddl))
+    classes, links = class_links(lines, alike, first=True)
+    gone = later_of(links, classes.withColumnRenamed("rep", "unit")).select(F.col("unit").alias("rep"), F.lit(True).alias("gone"))
+    classes = classes.join(gone, "rep", "left").select("digest", F.col("p1").alias("first1"), F.col("p2").alias("first2"), "gone")
+    found = lines.select("g", "p1", "p2", "digest").join(classes, "digest").where("gone is not null or p1 != first1 or p2 != first2")
+    found = durable(found.select("g", F.col("p1").alias("doc_id"), F.shiftright("p2", 32).cast("int").alias("row"), F.col("p2").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("line")))
+    release(found.sparkSession)
+    return found
 
 
 def ordered(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
