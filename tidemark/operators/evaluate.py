@@ -12,8 +12,6 @@ from tidemark.operators.graph import scored
 from tidemark.operators.rca import event_windows
 from tidemark.operators.windows import SIZE, STRIDE, sliding
 
-WHOLE = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -68,7 +66,7 @@ def pr_curve(rows: DataFrame) -> DataFrame:
     """(score, label) -> per distinct score, downwards: tp, fp, precision, recall. Rows are summed by score before they are ranked."""
     by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = by.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all", F.sum("p").over(WHOLE))
+    out = by.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all", F.sum("p").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return out.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), ratio(F.col("tp"), F.col("all")).alias("recall"))
 
 
