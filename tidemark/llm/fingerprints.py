@@ -25,6 +25,8 @@ PRIMES, BASES = (2147483647, 2147483629), (1_000_003_919, 1_315_423_911)
 SPAN, KEPT = 16, 64
 #: Ranges of document ids, at most; each is a task that streams, so its memory doesn't depend on them.
 MOST_RANGES = 10_000
+#: Ranges are dealt to tasks by hash; several for each even out.
+RANGES_PER_TASK = 8
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -129,7 +131,8 @@ def with_following(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
     Ranges are quantiles of the ids, so they are even for any ids. Only their bounds and first ids reach the driver.
     """
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = min(MOST_RANGES, max(1, 2 * input_partitions(docs)))
+    tasks = max(1, 2 * input_partitions(docs))
+    n = min(MOST_RANGES, RANGES_PER_TASK * tasks)
     bounds = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
     bounds = np.unique(np.array(bounds, np.int64)) if n > 1 else np.empty(0, np.int64)
 
@@ -146,7 +149,7 @@ def with_following(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
     if to is None:
         return own
     extra = d.where(F.col("doc_id").isin(list(before))).select(F.element_at(to, F.col("doc_id")).cast("int").alias("range"), F.lit(1).alias("extra"), "doc_id", "text")
-    return own.unionByName(extra).repartition(n, "range").sortWithinPartitions("range", "extra", "doc_id", "text")
+    return own.unionByName(extra).repartition(min(n, tasks), "range").sortWithinPartitions("range", "extra", "doc_id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

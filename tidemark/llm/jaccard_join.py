@@ -148,39 +148,40 @@ def signatures(sets: Sets, counts: np.ndarray, alike=ALIKE):
 
 
 def _representatives(found: DataFrame, alike) -> DataFrame:
-    """(unit, n, size, tokens, counts, p1, p2) -> those that share enough with other classes: short and long bitmap, the hashes in
+    """(unit, n, size, tokens, counts, p1, p2, digest) -> those that share enough with other classes: short and long bitmap, the hashes in
     order, and of the prefix by rarity the hashes that others have, with their places."""
-    schema = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("places", pa.binary()), ("p1", pa.int64()), ("p2", pa.int64())])
+    schema = pa.schema([("unit", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("bits", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.binary()), ("places", pa.binary()), ("p1", pa.int64()), ("p2", pa.int64()), ("digest", pa.binary())])
 
     def made(batches):
         for batch in batches:
             rows = []
-            for unit, n, size, tokens, counts, p1, p2 in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for unit, n, size, tokens, counts, p1, p2, digest in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 h, c = np.frombuffer(tokens, np.uint64), unplaned(counts)
                 others = c > size
                 if others.sum() < least_common(n, alike):
                     continue
                 order = np.lexsort((h, c))[: n - least_common(n, alike) + 1]
                 places = np.flatnonzero(others[order])
-                rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes(), p1, p2))
+                rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes(), p1, p2, digest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return found.select("unit", "n", "size", "tokens", "counts", "p1", "p2").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary, p1 long, p2 long")
+    return found.select("unit", "n", "size", "tokens", "counts", "p1", "p2", "digest").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary, p1 long, p2 long, digest binary")
 
 
 def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame, DataFrame]:
     """units, read several times: SIGNATURE columns, place p1, p2 of each, and copies, the units of its p1 that it stands for ->
 
-    classes (digest, rep, p1, p2): of each set that isn't empty, the unit of the first place; links (unit, to, common): pairs of
-    representatives that are alike. They connect whatever is connected, or if ``first``, name an earlier match for each
-    that has one.
+    classes (digest, rep, p1, p2, size): of each set that isn't empty, the unit of the first place and how many units it has;
+    links (unit, to, common): pairs of representatives that are alike, which connect whatever is connected. If ``first``,
+    (digest) in place of links: the sets with an earlier match, as pairs that name one for each are looked for.
     """
-    classes = units.where("n > 0 and copies > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"))
+    classes = units.where("n > 0 and copies > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"), F.max(F.col("tokens").isNotNull()).alias("shares"))
     classes = durable(classes)
-    found = units.where("tokens is not null").select("unit", "n", "tokens", "counts")
-    reps = durable(_representatives(found.join(classes.select(F.col("rep").alias("unit"), "size", "p1", "p2"), "unit"), alike))
-    classes = classes.drop("size")
+    found = units.where("tokens is not null").select("unit", "n", "digest", "tokens", "counts")
+    own = classes.where("shares").select(F.col("rep").alias("unit"), "size", "p1", "p2")
+    classes = classes.drop("shares")
+    reps = durable(_representatives(found.join(own, "unit"), alike))
     tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places", "p1"), alike))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
@@ -211,8 +212,10 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
     placed = placed.withColumn("low", F.when(small, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(small, -1).otherwise(F.greatest("block", "beside")))
     placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("token", "at"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -1).otherwise(F.col("at")))
     rest = placed.drop("size", "blocks", "beside").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = durable(links.unionByName(verified(rest, reps, alike)).distinct())
-    return classes, links
+    links = links.unionByName(verified(rest, reps, alike))
+    if first:
+        return classes, later_of(links, reps).join(reps.select("unit", "digest"), "unit").select("digest")
+    return classes, durable(links.distinct())
 
 
 def later_of(links: DataFrame, places: DataFrame) -> DataFrame:
@@ -227,7 +230,7 @@ def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
     it reaches over links; both null for an empty set."""
     classes, links = class_links(units.withColumns({"p1": F.col("unit"), "p2": F.lit(0).cast("long"), "copies": F.lit(1)}), alike)
     joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
-    classes = classes.drop("p1", "p2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = classes.drop("p1", "p2", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     return units.select("unit", "n", "digest").join(classes, "digest", "left").select(
         "unit", "n", "digest", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), F.when(F.col("n") > 0, F.col("component")).alias("component")
     )

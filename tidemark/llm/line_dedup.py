@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, release, table, written
-from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, later_of, occurrences, shingle_sets, signatures
+from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, occurrences, shingle_sets, signatures
 from tidemark.llm.shared import Plan, words_of
 
 
@@ -62,10 +62,13 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
 
     ddl = f"g long, unit long, p1 long, p2 long, copies int, {SIGNED_DDL}"
     lines = written(plan.with_answers(plan.shared(keys), sign, ddl))
-    classes, links = class_links(lines, alike, first=True)
-    gone = later_of(links, classes.withColumnRenamed("rep", "unit")).select(F.col("unit").alias("rep"), F.lit(True).alias("gone"))
-    classes = classes.join(gone, "rep", "left").select("digest", F.col("p1").alias("first1"), F.col("p2").alias("first2"), "gone")
-    found = lines.select("g", "p1", "p2", "digest").join(classes, "digest").where("gone is not null or p1 != first1 or p2 != first2")
+    classes, gone = class_links(lines, alike, first=True)
+    # most lines are alone in their class and stay: only the other classes are looked up
+    some = classes.where("size > 1").select("digest", F.col("p1").alias("first1"), F.col("p2").alias("first2"), F.lit(False).alias("gone"))
+    none = F.lit(None).cast("long")
+    some = some.unionByName(gone.select("digest", none.alias("first1"), none.alias("first2"), F.lit(True).alias("gone")))
+    some = some.groupBy("digest").agg(F.max("first1").alias("first1"), F.max("first2").alias("first2"), F.max("gone").alias("gone"))
+    found = lines.select("g", "p1", "p2", "digest").join(some.hint("shuffle_hash"), "digest").where("gone or p1 != first1 or p2 != first2")
     found = durable(found.select("g", F.col("p1").alias("doc_id"), F.shiftright("p2", 32).cast("int").alias("row"), F.col("p2").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("line")))
     release(found.sparkSession)
     return found

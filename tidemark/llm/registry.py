@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm import fingerprints, jaccard_join, licence_scan, line_dedup, line_rules, mixing, packing, quality_model, substring_dedup, url_filter
+from tidemark.llm.oracles import ORACLE_SQL
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op10_mixing": mixing.OP10_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]

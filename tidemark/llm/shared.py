@@ -63,12 +63,12 @@ class Words:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the lines that have words: where each begins among the words and the last ends, its text, its place in it."""
-        breaks = np.append(0, np.cumsum(self.data == 10))
-        text = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
-        line = breaks[self.start]
-        new = np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1]))[: len(line)]
-        first = np.flatnonzero(new)
-        return np.append(first, len(line)), text[first], line[first] - breaks[self.edges[:-1]][text[first]]
+        breaks = np.flatnonzero(self.data == 10)
+        first = np.unique(np.concatenate([self.ends[:-1], np.searchsorted(self.start, breaks)]))
+        first = first[first < len(self.start)]
+        text = np.searchsorted(self.ends, first, side="right") - 1
+        line = np.searchsorted(breaks, self.start[first]) - np.searchsorted(breaks, self.edges[text])
+        return np.append(first, len(self.start)), text, line
 
 
 def words_of(column: pa.ChunkedArray, lower=False) -> Words:
