@@ -125,12 +125,23 @@ def occurrences(w: Words, ends: np.ndarray, key_of, width=SHINGLE) -> tuple[np.n
     at = np.flatnonzero(left >= width)
     found = [rolling(w.hashes, width)[at]]
     if (n < width).any():
-        short = shingle_sets(*_short(w.hashes, ends, n < width), width)
+        short = shingle_sets(*subset(w.hashes, ends, n < width), width)
         found.append(short.hashes)
     return np.unique(key_of(np.concatenate(found)), return_counts=True)
 
 
-def _short(h: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def may_share(w: Words, ends: np.ndarray, look_up, width=SHINGLE, alike=ALIKE) -> np.ndarray:
+    """Of each unit whether it may share enough. A shingle that a unit repeats occurs twice at least, so those that
+    occur once are as many among places as among shingles; and a unit has no more shingles than places."""
+    n = np.diff(ends)
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(np.repeat(ends[1:], n) - np.arange(len(w.hashes)) >= width)
+    alone = np.bincount(of[at], look_up(rolling(w.hashes, width)[at]) == 1, len(n))
+    return alone <= (n - width + 1) - least_common(np.maximum(n - width + 1, 0), alike) if len(n) else np.zeros(0, bool)
+
+
+def subset(h: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and ends of some of the units."""
     n = np.diff(ends)
     return h[np.repeat(which, n)], np.append(0, np.cumsum(n[which]))
 

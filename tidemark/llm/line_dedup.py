@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, release, table, written
-from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, occurrences, shingle_sets, signatures
-from tidemark.llm.shared import Plan, words_of
+from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, may_share, occurrences, shingle_sets, signatures, subset
+from tidemark.llm.shared import Plan, mixed, words_of
 
 
 def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFrame:
@@ -43,22 +43,32 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
             return schema.empty_table()
         docs, rows = ordered(docs)
         w, ends, text, line = lines_of(docs)
-        sets = shingle_sets(w.hashes, ends, width)
         if not len(text):
             return schema.empty_table()
-        g, ids = docs.column("g")[0].as_py(), docs.column("doc_id").to_numpy()[text]
-        columns = [list(c) for c in zip(*signatures(sets, counter(answers)(sets.hashes), alike), strict=True)]
-        seen: set[bytes] = set()  # of lines of equal sets only the first of the group carries more than the digest,
-        head: dict[tuple[int, bytes], int] = {}  # and only the first of its document counts the others there
-        copies = np.zeros(len(text), np.int32)
-        for k, (doc_id, digest) in enumerate(zip(ids.tolist(), columns[1], strict=True)):
-            if digest in seen:
-                for c in columns[2:]:
-                    c[k] = None
-            seen.add(digest)
-            copies[head.setdefault((doc_id, digest), k)] += 1
-        own = [np.full(len(text), g), (g << 32) + np.arange(len(text)), ids, (rows[text].astype(np.int64) << 32) + line, copies]
-        return pa.table([pa.array(c, f.type) for c, f in zip([*own, *columns], schema, strict=True)], schema=schema)
+        look_up, n_words = counter(answers), np.diff(ends)
+        # lines are told apart by their words in order: others of equal sets are found alike
+        place = np.arange(len(w.hashes), dtype=np.uint64) - np.repeat(ends[:-1], n_words).astype(np.uint64)
+        a, b = (np.add.reduceat(mixed(w.hashes + (place + np.uint64(1)) * np.uint64(odd)), ends[:-1]) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+        ids, pos = docs.column("doc_id").to_numpy()[text], np.arange(len(text))
+        order = np.lexsort((pos, ids, b, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+        first = np.zeros(len(text), bool)  # of equal lines only the first of the group carries more than the digest,
+        first[order[new]] = True
+        new |= np.append(True, ids[order][1:] != ids[order][:-1])
+        heads = np.flatnonzero(new)
+        copies = np.zeros(len(text), np.int32)  # and only the first of its document counts the others there
+        copies[order[heads]] = np.diff(np.append(heads, len(text)))
+        n = np.maximum(n_words - width + 1, 1).astype(np.int32)
+        which = (may_share(w, ends, look_up, width, alike) | (n_words < width)) & first
+        tokens: list = [None] * len(text)
+        counts: list = [None] * len(text)
+        sets = shingle_sets(*subset(w.hashes, ends, which), width)
+        for k, (size, _, own, own_counts) in zip(np.flatnonzero(which).tolist(), signatures(sets, look_up(sets.hashes), alike), strict=True):
+            n[k], tokens[k], counts[k] = size, own, own_counts
+        g = docs.column("g")[0].as_py()
+        digest = [x.tobytes() for x in np.stack([a, b], 1)]
+        columns = [np.full(len(text), g), (g << 32) + pos, ids, (rows[text].astype(np.int64) << 32) + line, copies, n, digest, tokens, counts]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     ddl = f"g long, unit long, p1 long, p2 long, copies int, {SIGNED_DDL}"
     lines = written(plan.with_answers(plan.shared(keys), sign, ddl))

@@ -28,11 +28,6 @@ MANY = 255
 LOW = np.uint64((1 << 32) - 1)
 _ONE = 0xD1342543DE82EF95  # odd: a base of polynomials modulo 2**64, with an inverse
 _BASES = (np.uint64(0x9E3779B97F4A7C17), np.uint64(0xC2B2AE3D27D4EB4B))
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
-_VALUES = np.arange(1, 257, dtype=np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -81,8 +76,9 @@ def words_of(column: pa.ChunkedArray, lower=False) -> Words:
     edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
     edges = edges - edges[0]
-    data = _LOWER[data] if lower else data
-    word = _WORD[data]
+    # plain arithmetic on bytes is several times as fast as looking them up
+    data = data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32) if lower else data
+    word = ((data - np.uint8(9)) > 4) & (data != 32)
     turns = np.flatnonzero(word[1:] != word[:-1]) + 1
     inner = edges[(edges > 0) & (edges < len(data))]
     inner = np.unique(inner[word[inner] & word[inner - 1]])  # a text ends in a word, the next begins with one
@@ -99,7 +95,8 @@ def words_of(column: pa.ChunkedArray, lower=False) -> Words:
         if len(piece) >= len(sums):
             sums = np.zeros(len(piece) + 1, np.uint64)
         power, inverse = _power_tables(len(piece))
-        terms = _VALUES[piece]
+        terms = piece.astype(np.uint64)
+        terms += np.uint64(1)
         terms *= power[: len(piece)]
         np.cumsum(terms, out=sums[1 : len(piece) + 1])
         own = start[at:to] - low

@@ -79,7 +79,8 @@ def remove_repeats(docs: DataFrame, width=13, with_text=False, id_col="doc_id",
         a, b, ids, part = pack40(a[order] & LOW), pack40(b[order]), ids[order], part[order]
         own, starts = np.unique(part, return_index=True)
         columns: list[list[bytes]] = [[], [], [], []]
-        for x, y in zip(starts.tolist(), [*starts.tolist()[1:], len(part)], strict=True):
+        cuts = [*starts.tolist(), len(part)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             each, n = np.unique(ids[x:y], return_counts=True)
             for c, data in zip(columns, (a[5 * x : 5 * y], b[5 * x : 5 * y], each.tobytes(), n.astype(np.uint32).tobytes()), strict=True):
                 c.append(data)
