@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 import tempfile
 import uuid
 
@@ -73,3 +75,18 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     share = min(1.0, 4.0 * most / max(1, rows.count()))
     near = rows if share == 1.0 else rows.where(h <= F.lit(int(-(2**63) + share * 2**64)).cast("long"))
     return near.withColumn("_h", h).orderBy("_h", key).limit(most).drop("_h")
+
+
+def trim(most=192 << 20) -> None:
+    """Gives memory that is free but still held back to the system, if this Python worker holds more than ``most``: workers
+    live on between tasks, beside the executor's heap and one another."""
+    import pyarrow as pa
+
+    try:
+        with open("/proc/self/statm") as f:
+            if int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") < most:
+                return
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such system or library: nothing to give back
+        return

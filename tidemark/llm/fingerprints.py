@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, input_partitions, table
+from tidemark.llm.common import MAX_ID, input_partitions, table, trim
 
 PRIMES, BASES = (2147483647, 2147483629), (1_000_003_919, 1_315_423_911)
 SPAN, KEPT = 16, 64
@@ -178,6 +178,7 @@ def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") ->
                 last = None if extra else (r, doc_id, text, own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        trim()
 
     return with_following(docs, id_col, text_col).mapInArrow(measured, ", ".join(f"{n} {t}" for n, t in columns))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sampled, table
+from tidemark.llm.common import sampled, table, trim
 
 SAMPLE_DOCS, WIDTH, WINDOW, LEAST, CONFIRM, EPOCHS = 1500, 1 << 15, 64, 0.5, 0.7, 12
 UNKNOWN = "unknown"
@@ -225,6 +225,8 @@ def scan(docs: DataFrame, model: Licences, id_col="doc_id", text_col="text") ->
                 counts.append(len(lines))
                 hits.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, schema.field(2).type)], schema=schema)
+        _known.clear()
+        trim()
 
     ddl = "doc_id long, n_paragraphs long, hits array<struct<paragraph:long,family:string,probability:double,template_share:double,confirmed:boolean>>"
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(scanned, ddl)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, trim
 
 END_ID = 2
 CACHED_WORDS = 600_000
@@ -184,7 +184,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens=409
                     made += 1
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces_ids, pa.list_(pa.int32()))] * with_ids, schema=schema)
-        encoder.known.clear()  # workers live on between tasks, and what they hold is the executor's memory
+        encoder.known.clear()
+        trim()
 
     ddl = ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(packed, ddl)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sampled, table
+from tidemark.llm.common import sampled, table, trim
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE = 48, 12, 150, 60, 8, 4, 0.08
@@ -183,6 +183,7 @@ def score_documents(docs: DataFrame, model: Model, score_col="score", text_col="
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column(at)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)] + [pa.array(model.score(x))], schema=arrow)
+        trim()
 
     return kept.mapInArrow(scored, out)
 

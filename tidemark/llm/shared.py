@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions
+from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions, trim
 
 GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 16, 4, 1 << 16
 #: A group's count of a key goes no further; the sum of such counts is as great as can be.
@@ -162,7 +162,7 @@ class Plan:
             columns = [bucket[starts].astype(np.int32), np.full(len(starts), docs.column("g")[0].as_py()), [_packed_keys(key[a:b]) for a, b in pairs], [n[a:b].tobytes() for a, b in pairs]]
             return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        return self.docs.groupBy("g").applyInArrow(ask, "bucket int, g long, low binary, n binary")
+        return self.docs.groupBy("g").applyInArrow(_lean(ask), "bucket int, g long, low binary, n binary")
 
     def shared(self, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         """(g, bucket, low, n): per group and bucket, the keys that two documents or more have, rising, and how many
@@ -189,7 +189,7 @@ class Plan:
             columns = [groups[of[starts]], np.full(len(starts), asked.column("bucket")[0].as_py()), [_packed_keys(low[a:b]) for a, b in pairs], [planes(back[a:b]) for a, b in pairs]]
             return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        return self.asked(keys).groupBy("bucket").applyInArrow(answer, "g long, bucket int, low binary, n binary")
+        return self.asked(keys).groupBy("bucket").applyInArrow(_lean(answer), "g long, bucket int, low binary, n binary")
 
     def counter(self) -> Callable[[pa.Table], Callable[[np.ndarray], np.ndarray]]:
         """Of a group's answers: a function from hashes to their numbers of documents, 1 if not shared."""
@@ -213,7 +213,22 @@ class Plan:
 
     def with_answers(self, answers: DataFrame, made: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
         """made gets the documents of a group and what was answered to it."""
-        return self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(made, schema)
+
+        def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+            out = made(docs, found)
+            trim()
+            return out
+
+        return self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(run, schema)
+
+
+def _lean(made: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        out = made(rows)
+        trim()
+        return out
+
+    return run
 
 
 def pack40(low: np.ndarray) -> bytes:
