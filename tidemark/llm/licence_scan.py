@@ -85,6 +85,12 @@ def _word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
+def _forget() -> None:
+    """In the worker, where the function is looked up by name."""
+    _known.clear()
+    trim()
+
+
 def _grams(h: np.ndarray) -> list[np.ndarray]:
     """Hashes of the 1-, 2- and 3-grams; those of size k start at each of the first len(h) - k + 1 words."""
     out = [h]
@@ -225,8 +231,7 @@ def scan(docs: DataFrame, model: Licences, id_col="doc_id", text_col="text") ->
                 counts.append(len(lines))
                 hits.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, schema.field(2).type)], schema=schema)
-        _known.clear()
-        trim()
+        _forget()
 
     ddl = "doc_id long, n_paragraphs long, hits array<struct<paragraph:long,family:string,probability:double,template_share:double,confirmed:boolean>>"
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(scanned, ddl)
