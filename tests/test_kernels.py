@@ -99,3 +99,11 @@ def test_chi2_tail():
 def test_lag_order_must_be_less_than_the_rows():
     with pytest.raises(ValueError):
         k.design(np.zeros((3, 2)), 3)
+
+
+def test_a_fit_goes_on_from_its_state():
+    x, *_ = k.synthetic_dbn(200, 3, 1, seed=8)
+    whole = k.dynotears(x, 1, steps=40)
+    half = k.dynotears(x, 1, steps=20, log_every=10)
+    rest = k.dynotears(x, 1, steps=20, warm=half)
+    assert np.allclose(whole.w, rest.w) and np.allclose(whole.a, rest.a) and {r[0] for r in half.log} == {10, 20}

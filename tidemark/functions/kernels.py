@@ -69,13 +69,16 @@ class LinearFit:
     a: np.ndarray
     losses: list[float] = field(default_factory=list)
     h: float = 0.0
+    state: dict = field(default_factory=dict)  # of the optimiser, to go on from
+    log: list[tuple] = field(default_factory=list)  # (step, matrix, i, j, lag, value)
 
 
-def dynotears(x: np.ndarray, p: int, lambda_w=0.1, lambda_a=0.1, steps=1000, lr: float | None = None, tabu: np.ndarray | None = None, warm: LinearFit | None = None, h_tol=1e-8, loss_tol=1e-6, rho_max=1e6, dual_every=50) -> LinearFit:
+def dynotears(x: np.ndarray, p: int, lambda_w=0.1, lambda_a=0.1, steps=1000, lr: float | None = None, tabu: np.ndarray | None = None, warm: LinearFit | None = None, h_tol=1e-8, loss_tol=1e-6, rho_max=1e6, dual_every=50, log_every=0) -> LinearFit:
     """Linear structure learning: X = X W + lags A + noise, W acyclic by an augmented Lagrangian, L1 on both.
 
     Works on Gram matrices, so a step costs nothing in the length of the window. tabu: (p + 1, d, d) of forbidden edges,
-    lag 0 first; they stay 0. Proximal steps set small weights to exact zeros.
+    lag 0 first; they stay 0. Proximal steps set small weights to exact zeros. warm: a fit to go on from, with its state of the
+    optimiser if it has one. log_every: steps between copies of the weights in the log.
     """
     from tidemark.operators.learn import learning_rate
 
@@ -90,6 +93,9 @@ def dynotears(x: np.ndarray, p: int, lambda_w=0.1, lambda_a=0.1, steps=1000, lr:
     a = (warm.a.reshape(p * d, d).copy() if warm else np.full((p * d, d), 1e-3)) * free_a
     rate = lr or learning_rate(d)
     opt, alpha, rho, out, last = Adam(rate, [w.shape, a.shape]), 0.0, 1.0, LinearFit(w, a), np.inf
+    if warm and warm.state:
+        opt.t, alpha, rho = warm.state["t"], warm.state["alpha"], warm.state["rho"]
+        opt.m, opt.v = [m.copy() for m in warm.state["m"]], [v.copy() for v in warm.state["v"]]
     for it in range(1, steps + 1):
         r_w, r_a = xx @ w + xl @ a - xx, xl.T @ w + ll @ a - xl.T
         h, gh = acyclicity(w)
@@ -100,11 +106,14 @@ def dynotears(x: np.ndarray, p: int, lambda_w=0.1, lambda_a=0.1, steps=1000, lr:
         shrink = rate * 0.1
         w[:] = np.sign(w) * np.maximum(np.abs(w) - shrink * lambda_w, 0) * free[0]
         a[:] = np.sign(a) * np.maximum(np.abs(a) - shrink * lambda_a, 0) * free_a
+        if log_every and it % log_every == 0:
+            out.log += [(it, "W" if lag == 0 else "A", i, j, lag, v) for i, j, lag, v in edges_of(w, a.reshape(p, d, d))]
         if it % dual_every == 0:
             if abs(last - loss) <= loss_tol * max(1.0, abs(loss)) and abs(h) <= max(h_tol, 1e-8):
                 break
             alpha, rho, last = alpha + rho * h, min(rho * 10, rho_max) if h > h_tol else rho, loss
     out.w, out.a, out.h = w, a.reshape(p, d, d), acyclicity(w)[0]
+    out.state = {"t": opt.t, "alpha": alpha, "rho": rho, "m": opt.m, "v": opt.v}
     return out
 
 

@@ -300,8 +300,8 @@ def grid(spark, n_random: int | None = None, seed=42, **axes: Sequence) -> DataF
     return out if n_random is None else out.orderBy(F.xxhash64(*axes, F.lit(seed))).limit(n_random)
 
 
-#: The variants of an ablation, as what each switches off or sets.
+#: The variants of an ablation, as what each switches off.
 ABLATIONS = (
-    {"variant": "full"}, {"variant": "single_metric", "metrics": 1}, {"variant": "no_tucker", "tucker": False}, {"variant": "no_adaptive", "adaptive": False},
-    {"variant": "no_smoothness", "lambda_smooth": 0.0}, {"variant": "l1_threshold", "threshold": "l1"},
+    {"variant": "full"}, {"variant": "no_tucker", "tucker": False}, {"variant": "linear", "splines": False}, {"variant": "single_metric", "multi_metric": False},
+    {"variant": "l1_sparsity", "top_k": False}, {"variant": "fixed_threshold", "adaptive_threshold": False},
 )

@@ -12,6 +12,7 @@ from tidemark.functions import kernels, stats
 from tidemark.functions import text as X
 from tidemark.operators import bagging, detect, distance, evaluate, graph, learn, prep, rca, windows
 from tidemark.plans import fixtures as fx
+from tidemark.plans import workflow
 from tidemark.plans.fixtures import with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,6 +368,7 @@ def _shifted(s, d):
 
 SHIFT = "g as (select window_idx + 20 window_idx, lag, i, j, weight from golden), jd as (select t.window_idx, t.lag, t.i, t.j, t.weight, g.weight golden, abs(t.weight - g.weight) diff from test t join g using (window_idx, lag, i, j)), st as (select window_idx, avg(diff) mean_diff, max(diff) max_diff, stddev_samp(diff) std_diff, count(*) n_edges, count(*) filter (diff > 0.1) n_large from jd group by 1)"
 query("edge_diff_stats", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff, round(max_diff, 6) max_diff, round(std_diff, 6) std_diff, n_edges, n_large from st", "golden", "test")(lambda s, d: distance.edge_difference_stats(*_shifted(s, d)))
+query("pairwise_summary")(lambda s, d: workflow.pairwise(_shifted(s, d)[1], _shifted(s, d)[0]))
 query("top_windows", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff from st order by st.mean_diff desc, window_idx limit 5", "golden", "test")(lambda s, d: distance.top_windows(distance.edge_difference_stats(*_shifted(s, d)), 5).select("window_idx", "mean_diff"))
 query("top_edges", f", {SHIFT} select window_idx, i, j, lag, round(diff, 6) diff, cast(rank as int) rank, round(weight / (abs(golden) + 1e-10), 3) + 0.0 ratio from (select *, row_number() over (partition by window_idx order by round(diff, 9) desc, lag, i, j) rank from jd) where rank <= 5", "golden", "test")(
     lambda s, d: distance.top_edges(*_shifted(s, d)).select("window_idx", "i", "j", "lag", "diff", "rank", F.round("ratio", 3).alias("ratio"))
