@@ -65,6 +65,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(table: DataFrame) -> None:
+    """Deletes the files of a table made by ``written``, when nothing reads it any more."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/table-" in path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     """The rows with the ``most`` smallest hashes of their key, all if there are no more.
 

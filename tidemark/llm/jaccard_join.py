@@ -183,25 +183,25 @@ def _representatives(found: DataFrame, alike) -> DataFrame:
 def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame, DataFrame]:
     """units, read several times: SIGNATURE columns, place p1, p2 of each, and copies, the units of its p1 that it stands for ->
 
-    classes (digest, rep, p1, p2, size): of each set that isn't empty, the unit of the first place and how many units it has;
+    classes (digest, rep, p1, p2, size): of each set that may be in a pair or belongs to several units, the unit of the first
+    place and how many units it has;
     links (unit, to, common): pairs of representatives that are alike, which connect whatever is connected. If ``first``,
     (digest) in place of links: the sets with an earlier match, as pairs that name one for each are looked for.
     """
     classes = units.where("n > 0 and copies > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"), F.max(F.col("tokens").isNotNull()).alias("shares"))
-    classes = durable(classes)
+    classes = durable(classes.where("shares").drop("shares"))  # what several units have, all of them share
     found = units.where("tokens is not null").select("unit", "n", "digest", "tokens", "counts")
-    own = classes.where("shares").select(F.col("rep").alias("unit"), "size", "p1", "p2")
-    classes = classes.drop("shares")
+    own = classes.select(F.col("rep").alias("unit"), "size", "p1", "p2")
     reps = durable(_representatives(found.join(own, "unit"), alike))
     tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places", "p1"), alike))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
     fits = fits & alike_sets(most_common(F.col("place"), F.col("n"), F.col("place2"), F.col("m"), F.least), F.col("n"), F.col("m"), alike)
     # min_by of numbers is a hash aggregate, so members are combined before they are shuffled
-    orders = [(F.xxhash64("unit", F.lit(k)) if k else F.col("p1")) for k in range(LEADERS + 1)]
+    orders = [(F.xxhash64("unit", F.lit(k)) if k else F.col("p1")) for k in range((1 if first else LEADERS) + 1)]
     lead = [F.struct(*[F.min_by(c, h).alias(c) for c in ("unit", "n", "place")]) for h in orders]
     led = tiles.groupBy("token", "at").agg(F.array(*lead).alias("leads"), F.min("unit").alias("a"), F.max("unit").alias("b")).where("a < b")
-    stars = tiles.join(led.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode(F.array_distinct("leads")).alias("lead"))
+    stars = tiles.join(led.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode("leads").alias("lead"))
     stars = stars.withColumn("m", F.col("lead.n")).withColumn("place2", F.col("lead.place")).where(fits & (F.col("unit") != F.col("lead.unit")))
     stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to")).distinct()
     links = durable(verified(stars, reps, alike))
@@ -242,9 +242,8 @@ def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
     classes, links = class_links(units.withColumns({"p1": F.col("unit"), "p2": F.lit(0).cast("long"), "copies": F.lit(1)}), alike)
     joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
     classes = classes.drop("p1", "p2", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return units.select("unit", "n", "digest").join(classes, "digest", "left").select(
-        "unit", "n", "digest", F.when(F.col("n") > 0, F.col("rep")).alias("rep"), F.when(F.col("n") > 0, F.col("component")).alias("component")
-    )
+    full = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.col("unit")))
+    return units.select("unit", "n", "digest").join(classes, "digest", "left").select("unit", "n", "digest", full(F.col("rep")).alias("rep"), full(F.col("component")).alias("component"))
 
 
 def _tiles(reps: DataFrame, alike) -> DataFrame:

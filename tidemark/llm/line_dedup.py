@@ -14,7 +14,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, release, table, written
+from tidemark.llm.common import durable, release, remove, table, written
 from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, may_share, occurrences, shingle_sets, signatures, subset
 from tidemark.llm.shared import Plan, mixed, words_of
 
@@ -80,6 +80,8 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
     some = some.groupBy("digest").agg(F.max("first1").alias("first1"), F.max("first2").alias("first2"), F.max("gone").alias("gone"))
     found = lines.select("g", "p1", "p2", "digest").join(some.hint("shuffle_hash"), "digest").where("gone or p1 != first1 or p2 != first2")
     found = durable(found.select("g", F.col("p1").alias("doc_id"), F.shiftright("p2", 32).cast("int").alias("row"), F.col("p2").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("line")))
+    remove(lines)
+    del lines, classes, gone, some
     release(found.sparkSession)
     return found
 
