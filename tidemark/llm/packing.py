@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table, trim
 
 END_ID = 2
-CACHED_WORDS = 600_000
+CACHED_WORDS, SHORT = 600_000, 6
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 
 
@@ -63,8 +63,8 @@ class WordIds:
         words = set(chain.from_iterable(split))
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
+            self.shed()
+            new = [w for w in words if w not in self.known]
         # letters before one mark: the ids of the letters, then those of the mark
         ends = {w: w[:-1] for w in new if w[-1:] in b".,;:!?" and w[:-1].isalpha()}
         self._learn([w for w in {*(w for w in new if w not in ends), *ends.values(), *(w[-1:] for w in ends)} if w not in self.known])
@@ -72,6 +72,12 @@ class WordIds:
             self.known[w] = self.known[letters] + self.known[w[-1:]]
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
+    def shed(self) -> None:
+        """Keeps short words only, which are the frequent ones; none if these are many too."""
+        self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known = {}
+
     def _learn(self, words: list[bytes], at_once=400) -> None:
         mark, sep = np.frombuffer(self.mark, "<u4"), f" {self.MARK} "
         odd = [w for w in words if self.MARK.encode() in w or b"<|" in w] if len(mark) == 1 else words
@@ -184,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens=409
                     made += 1
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(pieces_ids, pa.list_(pa.int32()))] * with_ids, schema=schema)
-        encoder.known.clear()
+        encoder.shed()
         trim()
 
     ddl = ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids
