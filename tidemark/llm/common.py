@@ -86,7 +86,7 @@ def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return near.withColumn("_h", h).orderBy("_h", key).limit(most).drop("_h")
 
 
-def trim(most=192 << 20) -> None:
+def trim(most=128 << 20) -> None:
     """Gives memory that is free but still held back to the system, if this Python worker holds more than ``most``: workers
     live on between tasks, beside the executor's heap and one another."""
     import pyarrow as pa

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, durable, shuffle_partitions, table, written
+from tidemark.llm.common import MAX_ID, durable, shuffle_partitions, table, trim, written
 from tidemark.llm.components import components
 from tidemark.llm.shared import Plan, Words, planes, rolling, unplaned, words_of
 
@@ -176,6 +176,7 @@ def _representatives(found: DataFrame, alike) -> DataFrame:
                 rows.append((unit, n, mark(h), bitmap(h, n), tokens, h[order[places]].tobytes(), places.astype(np.int32).tobytes(), p1, p2, digest))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        trim()
 
     return found.select("unit", "n", "size", "tokens", "counts", "p1", "p2", "digest").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary, p1 long, p2 long, digest binary")
 
@@ -258,6 +259,7 @@ def _tiles(reps: DataFrame, alike) -> DataFrame:
                 parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band, p1)), place) for at in (band, band + 1)]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
+        trim()
 
     return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int, p1 long, place int")
 
@@ -319,6 +321,7 @@ def _compare(alike):
                 first = ~(before[x] & before[y]).any(1)
                 found.append((unit[x[first]], unit[y[first]]))
         x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        trim()
         return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=schema)
 
     return compare
@@ -348,6 +351,7 @@ def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE) -> DataFrame:
                     rows.append((x, y, common))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        trim()
 
     possible = bounded.mapInArrow(bound, "unit long, to long")
     sets = reps.select("unit", "tokens")

@@ -200,7 +200,7 @@ def train(paragraphs: list[str], seed=7) -> Licences:
 def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, id_col="doc_id", text_col="text") -> Licences:
     own = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     picked = sampled(own.select("_id"), F.col("_id"), sample_docs)
-    rows = own.join(F.broadcast(picked.distinct()), "_id").select(F.substring_index("_text", "\n", 4)).limit(2 * sample_docs).collect()
+    rows = own.join(F.broadcast(picked.distinct()), "_id").select(F.substring_index("_text", "\n", 4).alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()
     rows = sorted(rows)
     return train([p[:2000] for r in rows for p in r[0].split("\n") if p.strip()])
 

@@ -164,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS, id_col="doc
     an id, a label or a document are left aside."""
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("_id is not null and label is not null")
     picked = sampled(picked.where(~held_out(F.col("_id"))), F.col("_id"), sample_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("label", "text").limit(2 * sample_rows)
-    found = sorted((r[0], tuple(r[1])) for r in _measured(rows).collect())
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("label", "text")
+    # the features, not the texts, come together in one place
+    found = sorted((r[0], tuple(r[1])) for r in _measured(rows).orderBy(F.xxhash64("label", "x")).limit(2 * sample_rows).collect())
     return train(np.array([r[1] for r in found]).reshape(-1, len(FEATURES)), np.array([float(r[0]) for r in found]))
 
 
