@@ -194,7 +194,7 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
     found = units.where("tokens is not null").select("unit", "n", "digest", "tokens", "counts")
     own = classes.select(F.col("rep").alias("unit"), "size", "p1", "p2")
     reps = durable(_representatives(found.join(own, "unit"), alike))
-    tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places", "p1"), alike))
+    tiles = durable(_tiles(reps.select("unit", "n", "prefix", "places", "p1"), alike, banded=not first))
     fits = F.col("n") * alike[0] <= F.col("m") * alike[1]
     fits = fits & (F.col("m") * alike[0] <= F.col("n") * alike[1])
     fits = fits & alike_sets(most_common(F.col("place"), F.col("n"), F.col("place2"), F.col("m"), F.least), F.col("n"), F.col("m"), alike)
@@ -205,7 +205,7 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
     stars = tiles.join(led.drop("a", "b"), ["token", "at"]).select("unit", "n", "place", F.explode("leads").alias("lead"))
     stars = stars.withColumn("m", F.col("lead.n")).withColumn("place2", F.col("lead.place")).where(fits & (F.col("unit") != F.col("lead.unit")))
     stars = stars.select(F.greatest("unit", "lead.unit").alias("unit"), F.least("unit", "lead.unit").alias("to")).distinct()
-    links = durable(verified(stars, reps, alike))
+    links = durable(verified(stars, reps, alike, bitmaps=not first))
     if first:
         gone = later_of(links, reps).withColumn("gone", F.lit(True))
         placed = tiles.join(gone, "unit", "left").withColumn("gone", F.col("gone").isNotNull()).withColumn("component", F.col("unit"))
@@ -224,7 +224,7 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
     placed = placed.withColumn("low", F.when(small, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(small, -1).otherwise(F.greatest("block", "beside")))
     placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("token", "at"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -1).otherwise(F.col("at")))
     rest = placed.drop("size", "blocks", "beside").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = links.unionByName(verified(rest, reps, alike))
+    links = links.unionByName(verified(rest, reps, alike, bitmaps=not first))
     if first:
         return classes, later_of(links, reps).join(reps.select("unit", "digest"), "unit").select("digest")
     return classes, durable(links.distinct())
@@ -247,8 +247,9 @@ def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
     return units.select("unit", "n", "digest").join(classes, "digest", "left").select("unit", "n", "digest", full(F.col("rep")).alias("rep"), full(F.col("component")).alias("component"))
 
 
-def _tiles(reps: DataFrame, alike) -> DataFrame:
-    """(token, at, unit, n, band, p1, place): the unit in the tile of a prefix shingle and of its own band or the next."""
+def _tiles(reps: DataFrame, alike, banded=True) -> DataFrame:
+    """(token, at, unit, n, band, p1, place): the unit in the tile of a prefix shingle and of its own band or the next, or of the
+    shingle alone, at -1."""
     schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("unit", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("p1", pa.int64()), ("place", pa.int32())])
 
     def dealt(batches):
@@ -256,7 +257,7 @@ def _tiles(reps: DataFrame, alike) -> DataFrame:
             parts = []
             for u, n, prefix, places, p1 in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 h, place, band = np.frombuffer(prefix, np.int64), np.frombuffer(places, np.int32), band_of(n, alike)
-                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band, p1)), place) for at in (band, band + 1)]
+                parts += [(h, *(np.full(len(h), x) for x in (at, u, n, band, p1)), place) for at in ((band, band + 1) if banded else (-1,))]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
         trim()
@@ -288,7 +289,7 @@ def _compare(alike):
 
         def bounded(x, y):
             """The pairs that sizes, places and bitmaps don't rule out."""
-            keep = (component[x] != component[y]) & (np.maximum(band[x], band[y]) == at[x])
+            keep = (component[x] != component[y]) & ((at[x] == -1) | (np.maximum(band[x], band[y]) == at[x]))
             keep &= alike[0] * np.maximum(n[x], n[y]) <= alike[1] * np.minimum(n[x], n[y])
             keep &= alike_sets(most_common(place[x], n[x], place[y], n[y], np.minimum), n[x], n[y], alike)
             keep &= True if one else block[x] != block[y]
@@ -327,8 +328,8 @@ def _compare(alike):
     return compare
 
 
-def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE) -> DataFrame:
-    """The pairs (unit, to) that are alike, with their common count: bitmaps first, then sorted arrays."""
+def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE, bitmaps=True) -> DataFrame:
+    """The pairs (unit, to) that are alike, with their common count: bitmaps first if asked, then sorted arrays."""
     schema = pa.schema([("unit", pa.int64()), ("to", pa.int64()), ("common", pa.int32())])
     light = reps.select("unit", "n", "bits")
     bounded = pairs.join(light, "unit").join(light.toDF("to", "m", "other"), "to").select("unit", "to", "n", "m", "bits", "other")
@@ -353,7 +354,7 @@ def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         trim()
 
-    possible = bounded.mapInArrow(bound, "unit long, to long")
+    possible = bounded.mapInArrow(bound, "unit long, to long") if bitmaps else pairs.select("unit", "to")
     sets = reps.select("unit", "tokens")
     both = possible.join(sets, "unit").join(sets.toDF("to", "others"), "to").select("unit", "to", "tokens", "others")
     return both.mapInArrow(exact, "unit long, to long, common int")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions, trim
 
-GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 16, 4, 1 << 16
+GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 8, 2, 1 << 16
 #: A group's count of a key goes no further; the sum of such counts is as great as can be.
 MANY = 255
 LOW = np.uint64((1 << 32) - 1)
