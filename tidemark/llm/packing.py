@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import table, trim
 
 END_ID = 2
-CACHED_WORDS, SHORT = 600_000, 6
+CACHED_WORDS, OFTEN = 1_000_000, 400_000
 BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 
 
@@ -50,7 +50,7 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.often = Tokenizer.from_file(path), {}, set()
         self.mark = self._ids([self.MARK])[0]
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -62,6 +62,7 @@ class WordIds:
         split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         words = set(chain.from_iterable(split))
         new = [w for w in words if w not in self.known]
+        self.often |= words.difference(new)
         if len(self.known) + len(new) > CACHED_WORDS:
             self.shed()
             new = [w for w in words if w not in self.known]
@@ -73,10 +74,10 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
     def shed(self) -> None:
-        """Keeps short words only, which are the frequent ones; none if these are many too."""
-        self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
-        if len(self.known) > CACHED_WORDS // 2:
-            self.known = {}
+        """Keeps words that were met in several blocks; none if these are many too."""
+        if len(self.often) > OFTEN:
+            self.often = set()
+        self.known = {w: self.known[w] for w in self.often if w in self.known}
 
     def _learn(self, words: list[bytes], at_once=400) -> None:
         mark, sep = np.frombuffer(self.mark, "<u4"), f" {self.MARK} "
