@@ -245,6 +245,14 @@ def test_line_rules(spark):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_line_rules_judge_whole_lines(spark):
+    good = ["A sentence that ends." + " " * 40, "He said (as \"always\" so).\"" + "')" * 20 + "\t" * 30, "Who, what? And why! Indeed so.", "A NOTE! of the many words that follow it.", "no need to read\u3000more of it."]
+    bad = ["No sentence" + " " * 40, "Wow?! really!? so** fine.", "GREAT! CLICK! SALE! now.", "One!!\ttwo??\tthree.", "So!!, new??, is.", "See our privacy \t policy here.", "All  rights\treserved.", "x.y " + ")" * 20 + "z"]
+    lines = spark.createDataFrame(list(enumerate(good + bad)), "i int, line string")
+    failed = {r.i for r in lines.where(line_rules.line_fails(F.col("line"))).collect()}
+    assert failed == set(range(len(good), len(good + bad)))
+
+
 def test_fingerprints(spark):
     texts, ids = corpus(0, 30), None
     got = fingerprints.fingerprint_documents(table(spark, texts, ids)).toPandas().set_index("doc_id")

@@ -3,9 +3,10 @@
 Each line with a word is judged by itself:
 
 - punctuation: it doesn't end as a sentence does, or more than ``symbol_share`` of its characters are symbols,
-  or it has a doubled mark to more than ``shout_share`` of its words;
+  or more than ``shout_share`` of its words end in several marks, mixed or not, or in capitals
+  and a mark, or it has a doubled mark to more than that share of its words;
 - navigation: ``bars`` or more separators as menus and breadcrumbs have them;
-- boilerplate: a phrase that notices and widgets consist of.
+- boilerplate: a phrase that notices and widgets consist of, whatever blanks are between its words.
 
 A document is kept if the lines that stay hold at least ``1 - lost_share`` of the characters of its lines, and its base measures don't fail. Everything is counted within the row, so nothing is shuffled.
 """
@@ -15,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, table, words
+from tidemark.llm.common import table, words
 
 #: Marks that end a sentence, with closing quotes and brackets after them.
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+#: What may follow the mark: the whole line is looked at only if its last characters are nothing else.
+CLOSING = r"""^["'”’»)\]\x20\x09-\x0D\x85\u2028\u2029]*$"""
+SHOUTED = r"(?:[!?*]{2,}|[A-Z]{4,}!)(?=[\x20\x09-\x0D]|$)"
 SEPARATORS = "|›»→•·"
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices and widgets, lower case.
@@ -34,18 +38,36 @@ def _count(text: Column, *marks: str) -> Column:
     return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(m), F.lit(""))) for m in marks[1:]), F.octet_length(text) - F.octet_length(F.replace(text, F.lit(marks[0]), F.lit("")))) / len(marks[0].encode())
 
 
+def _shouts(line: Column, share: float) -> Column:
+    """Words that end so, or doubled marks anywhere. Neither is there without a mark, so most lines are settled by counting those."""
+    marks, pairs, n_words = _count(line, "!", "?", "*"), _count(line, "!!", "??"), F.size(words(line))
+    ends = (marks > share * n_words) & (F.size(F.split(line, SHOUTED, -1)) - 1 > share * n_words)
+    return (marks > 0) & (ends | ((pairs > 0) & (pairs > share * F.size(F.split(F.trim(line), " ")))))
+
+
+def _boilerplate(line: Column) -> Column:
+    runs = line.contains("  ")
+    for blank in "\t\x0b\f\r":
+        runs = runs | line.contains(blank)
+    low = F.lower(F.when(runs, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+
+    def found(x):
+        phrase = x.contains(BOILERPLATE[0])
+        for p in BOILERPLATE[1:]:
+            phrase = phrase | x.contains(p)
+        return phrase
+
+    return F.exists(F.array(low), found)  # of an array, so that it is made once
+
+
 def line_fails(line: Column, symbol_share=0.1, shout_share=0.5, bars=3) -> Column:
-    low = F.lower(line)
-    phrase = low.contains(BOILERPLATE[0])
-    for p in BOILERPLATE[1:]:
-        phrase = phrase | low.contains(p)
-    n_words = F.size(F.split(F.trim(line), " "))
+    tail = F.substring(line, -12, 12)
     return (
-        ~F.substring(line, -12, 12).rlike(SENTENCE_END)
+        ~(tail.rlike(SENTENCE_END) | (tail.rlike(CLOSING) & line.rlike(SENTENCE_END)))
         | (_count(line, *SYMBOLS) > symbol_share * F.char_length(line))
-        | (_count(line, "!!", "??") > shout_share * n_words)
+        | _shouts(line, shout_share)
         | (sum((_count(line, m) for m in SEPARATORS[1:]), _count(line, SEPARATORS[0])) >= bars)
-        | phrase
+        | _boilerplate(line)
     )
 
 
