@@ -286,6 +286,14 @@ def test_additive_model_learns_an_interaction():
     assert np.isfinite(quality_model.train(x[:0], y[:0]).score(x[:3])).all()
 
 
+def test_repeated_fives_of_any_length():
+    at, r = quality_model.FEATURES.index("repeated_fives"), random.Random(0)
+    for text in [None, "", "a b c d", "a b c d e", *corpus(0, 20), "a b c d e f g " * 30_000, " ".join(r.choice("abcdefgh") for _ in range(200_000))]:
+        w = split(text)
+        fives = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        assert np.isclose(quality_model.features(text)[at], 1 - len(set(fives)) / len(fives) if fives else 0.0)
+
+
 def test_quality_scores_of_any_text(spark):
     r = random.Random(0)
     good = [" ".join(f"word{r.randrange(99)}" for _ in range(60)) + "." for _ in range(60)]

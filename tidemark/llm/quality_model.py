@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import sampled, table, trim
+from tidemark.llm.shared import rolling
 
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, LEAVES, RATE = 48, 12, 150, 60, 8, 4, 0.08
@@ -41,14 +42,14 @@ def features(text: str | None) -> tuple[float, ...]:
     dropped = lambda chars: (len(dense) - len(dense.translate(None, chars))) / size
     lines = [x for x in raw.split(b"\n") if x.strip()]
     counts = Counter(words)
-    fives = [hash(tuple(words[i : i + 5])) for i in range(0, max(0, n - 4))] if n < 200_000 else []
+    fives = np.sort(rolling(np.fromiter(map(hash, words), np.int64, n).view(np.uint64), 5))
     per_word, per_line = 1 / max(1, n), 1 / max(1, len(lines))
     return (
         math.log1p(n), size * per_word, dropped(b"#*$%&|<>"), dropped(_UPPER), dropped(b"!"), dropped(b"|"), dropped(_DIGITS),
         len(dense.translate(None, _ASCII)) / size, len(counts) * per_word, max(counts.values(), default=0) * per_word,
         1 - len(set(lines)) * per_line, sum(x.rstrip()[-1:] in b".!?:;" for x in lines) * per_line, n * per_line,
         sum(w[-1:] in b"#*$%&" for w in words) * per_word, sum(w.isupper() for w in words) * per_word,
-        1 - len(set(fives)) / max(1, len(fives)) if fives else 0.0, sum(len(w) > 24 for w in words) * per_word,
+        np.count_nonzero(fives[1:] == fives[:-1]) / max(1, len(fives)), sum(len(w) > 24 for w in words) * per_word,
     )
 
 
