@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import detect, distance, evaluate, graph, learn, prep, rca, windows
+from tidemark.plans import fixtures as fx
+from tidemark.plans import registry
 
 
 def rows(df, *order):
@@ -123,3 +125,11 @@ def test_absent_culprits_rank_999(spark):
     ranking = spark.createDataFrame([(0, 0, 1)], "window_idx int, node int, rank int")
     e = spark.createDataFrame([(0, 3, 9, [1, 7])], "event_id int, start long, end long, dims array<int>")
     assert rca.recall_at(ranking, e).first()["mean_rank"] == 500.0
+
+
+@pytest.mark.parametrize("name", ["dynotears_edges", "tucker_edges", "dag_edges", "counterfactual"])
+def test_queries_cover_every_window(spark, name):
+    sf = "/root/testdata/sf0.001"
+    of = lambda df: {r[0] for r in df.select("window_idx").distinct().collect()}
+    source = fx.edges(spark, sf).where("lag = 0 and abs(weight) > 0.05") if name == "dag_edges" else fx.windowed(spark, sf)
+    assert of(registry.QUERIES[name](spark, sf)) == of(source)

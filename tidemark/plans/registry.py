@@ -223,8 +223,8 @@ query("model_settings", "select * from (values (10, 0.05::double, 0.1::double),
 )
 query("tucker_compression", "select cast(2889 as int) d, cast(2889 as bigint) * 2889 * 7 * 21 as \"full\"")(lambda s, d: values(s, [(2889, learn.compression(2889, 20, 5, (20, 10, 5))["full"])], "d int, full long"))
 query("ridge_var_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.ridge_kernel(2)))
-query("dynotears_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d).where("window_idx < 8"), kernels.dynotears_kernel(1, lambda_w=0.05, lambda_a=0.05, steps=200)))
-query("tucker_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d).where("window_idx < 8"), kernels.tucker_kernel(1, least=0.0, steps=40)))
+query("dynotears_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.dynotears_kernel(1, lambda_w=0.05, lambda_a=0.05, steps=200)))
+query("tucker_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.tucker_kernel(1, least=0.0, steps=40)))
 
 
 @query("lambda_calibration")
@@ -277,7 +277,7 @@ ORACLE_SQL["target_subgraph"] = _head + "select src, dst, round(weight, 6) + 0.0
 query("markov_blanket", f", {GRAPH}, mb as (select 1 node union select src from graph where dst = 1 union select dst from graph where src = 1 union select g.src from graph g join graph c on c.src = 1 and g.dst = c.dst) select {G} from graph where src in (select node from mb) and dst in (select node from mb) and exists (select 1 from graph where src = 1 or dst = 1)", "edges")(
     lambda s, d: graph.markov_blanket(_graph(s, d), [1])
 )
-query("dag_edges")(lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 0 and window_idx < 10 and abs(weight) > 0.05")))
+query("dag_edges")(lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 0 and abs(weight) > 0.05")))
 query("graph_recovery", """
 , p as (select distinct i, j from edges where window_idx = 1 and lag = 0 and abs(weight) > 0.1), t as (select distinct i, j from edges where window_idx = 2 and lag = 0 and weight > 0),
 c as (select count(*) filter (p.i is not null and t.i is not null) tp, count(*) filter (t.i is null) fp, count(*) filter (p.i is null) fn from p full join t on p.i = t.i and p.j = t.j)
@@ -474,7 +474,7 @@ query("rca_top1_accuracy", """
 , p as (select window_idx, cast(split_part(top_dims, ',', 1) as int) root from "top"), h as (select p.window_idx, max(list_contains(n.dims, p.root + 1)::int) hit from p join near n using (window_idx) group by 1)
 select count(*) n, cast(sum(hit) as bigint) correct, round(avg(hit), 6) accuracy from h""", "top", "near")(lambda s, d: rca.top1_accuracy(_roots(s, d), fx.labelled(s, d)))
 query("rca_macro_accuracy", "select round(12 / 30, 6) global_accuracy, round((0.2 + 0.5) / 2, 6)::double macro_accuracy")(lambda s, d: rca.macro_accuracy(values(s, [("a", 10, 2), ("b", 20, 10)], "entity string, n int, correct int")))
-query("counterfactual")(lambda s, d: rca.counterfactual(fx.windowed(s, d).where("window_idx in (20, 21)"), fx.edges(s, d).where("window_idx in (20, 21)").withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
+query("counterfactual")(lambda s, d: rca.counterfactual(fx.windowed(s, d), fx.edges(s, d).withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
 
 # evaluation ----------------------------------------------------------------------------------------------------------
 
