@@ -325,6 +325,18 @@ def test_licence_scan_of_documents(spark):
     assert len(found) == 4 and [h.family for h in found[2].hits if h.confirmed] == ["MIT"] and not any(h.confirmed for h in found[3].hits)
 
 
+def test_licences_of_long_lines_and_wrapped_notices(spark):
+    r = random.Random(0)
+    plain = lambda n: " ".join(f"tok{r.randrange(300)}" for _ in range(n))
+    mit, bsd, gpl = licence_scan.TEMPLATES["MIT"], licence_scan.TEMPLATES["BSD-3-Clause"], licence_scan.TEMPLATES["GPL-3.0"]
+    wrap = lambda t: "\n".join(" ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6))
+    texts = [f"{plain(300)} {mit[1]} {plain(200)} {gpl[1]} {plain(90)}", *map(wrap, (mit[1], bsd[0], gpl[1])), f"{plain(9)}\n\n{wrap(bsd[0])}\n\n{plain(30)}\n{wrap(gpl[1])}", plain(500)]
+    docs = table(spark, texts)
+    model = licence_scan.train([plain(30) for _ in range(300)])
+    found = {x.doc_id: sorted({h.family for h in x.hits if h.confirmed}) for x in licence_scan.scan(docs, model).collect()}
+    assert [found[i] for i in range(6)] == [["GPL-3.0", "MIT"], ["MIT"], ["BSD-3-Clause"], ["GPL-3.0"], ["BSD-3-Clause", "GPL-3.0"], []]
+
+
 def targets_by_rounds(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
     """Shares by weight; what passes a cap goes to the others by weight, until none does."""
     names = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -114,19 +115,28 @@ class Licences:
             logits = (np.add.reduce(self.weights.take(slots, 0), 0) / np.sqrt(max(1, 3 * len(h))) + self.bias) / self.temperature
             e = np.exp(logits - logits.max())
             return (e / e.sum())[None, :]
-        starts = list(range(0, max(1, len(h) - WINDOW // 2), WINDOW // 2))
-        total = np.zeros((len(starts), len(FAMILIES)))
+        return self.of_windows(h, *_windows(0, len(h)))
+
+    def of_windows(self, h: np.ndarray, starts: list[int], ends: list[int]) -> np.ndarray:
+        """Of the words from each start to its end."""
+        first, stop = np.array(starts), np.array(ends)
+        total = np.zeros((len(first), len(FAMILIES)))
         for k, g in enumerate(_grams(h)):
             if len(g):
                 sums = np.concatenate([np.zeros((1, len(FAMILIES))), np.cumsum(self.weights[_slots(g)], 0, dtype=np.float64)])
-                ends = np.minimum(np.array(starts) + WINDOW - k, len(g))
-                total += sums[np.maximum(ends, 0)] - sums[np.minimum(starts, len(g))] * (ends > np.array(starts))[:, None] - sums[np.maximum(ends, 0)] * (ends <= np.array(starts))[:, None]
-        size = np.minimum(len(h) - np.array(starts), WINDOW)
-        logits = (total / np.sqrt(np.maximum(1, 3 * size))[:, None] + self.bias) / self.temperature
+                last = np.maximum(stop - k, first)
+                total += sums[np.minimum(last, len(g))] - sums[np.minimum(first, len(g))]
+        logits = (total / np.sqrt(np.maximum(1, 3 * (stop - first)))[:, None] + self.bias) / self.temperature
         e = np.exp(logits - logits.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
+def _windows(a: int, b: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of windows of WINDOW words of a part of a text, half overlapping."""
+    starts = list(range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2))
+    return starts, [min(x + WINDOW, b) for x in starts]
+
+
 @lru_cache(1)
 def _template_pairs() -> dict[str, list[frozenset]]:
     return {f: [frozenset(_pairs(_word_hashes(t))) for t in ts] for f, ts in TEMPLATES.items()}
@@ -205,10 +215,60 @@ def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, id_col="doc_id", text_col="tex
     return train([p[:2000] for r in rows for p in r[0].split("\n") if p.strip()])
 
 
+def _hits(model: Licences, text: str) -> tuple[int, list[dict]]:
+    """Lines with a word, and what is found in them and across the lines of a block between blank lines: a hit per line and
+    family, and per block and family if none of its lines has one, or only the block is confirmed."""
+    words, parts, blocks, n, at = [], [], [[]], 0, 0
+    for line in text.split("\n"):
+        if not line.strip():
+            blocks.append([])
+            continue
+        h = _word_hashes(line)
+        if len(h):
+            words.append(h)
+            blocks[-1].append((at, at + len(h), n))
+            at += len(h)
+        n += 1
+    if not words:
+        return n, []
+    h, lines_of = np.concatenate(words), {}
+    line_starts, line_at = [a for block in blocks for a, *_ in block], [i for block in blocks for *_, i in block]
+    for block in blocks:
+        for a, b, i in block:
+            parts.append((a, b, [i]))
+        if len(block) > 1:
+            parts.append((block[0][0], block[-1][1], [i for *_, i in block]))
+    starts, ends, owner = [], [], []
+    for k, (a, b, _) in enumerate(parts):
+        x, y = _windows(a, b)
+        starts += x
+        ends += y
+        owner += [k] * len(x)
+    p = model.of_windows(h, starts, ends)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for w, y in zip(*np.nonzero((p[:, 1:] >= LEAST) & (p[:, 1:] > p[:, :1])), strict=True):
+        best[owner[w], int(y) + 1] = max(best.get((owner[w], int(y) + 1), (0.0, 0)), (float(p[w, y + 1]), -starts[w]))
+    found = []
+    for (k, y), (prob, start) in sorted(best.items()):  # the lines of a block come before it
+        a, b, lines = parts[k]
+        share = template_share(h[a:b], FAMILIES[y])
+        if len(lines) > 1:
+            own = [lines_of[i, y] for i in lines if (i, y) in lines_of]
+            if any(own) or own and share < CONFIRM:
+                continue
+            i = line_at[bisect_right(line_starts, -start) - 1]
+        else:
+            i = lines[0]
+            lines_of[i, y] = share >= CONFIRM
+        found.append({"paragraph": i, "family": FAMILIES[y], "probability": round(prob, 4), "template_share": share, "confirmed": share >= CONFIRM})
+    return n, sorted(found, key=lambda x: x["paragraph"])
+
+
 def scan(docs: DataFrame, model: Licences, id_col="doc_id", text_col="text") -> DataFrame:
     """Per document: doc_id, n_paragraphs (lines with a word), and hits: an array of (paragraph, family, probability,
     template_share, confirmed) in the order of the text. Null and empty texts have no paragraphs; repeated rows are
-    scanned alike; every line is read whole, in windows."""
+    scanned alike. Every line is read whole, in windows, and so are blocks of lines, where a hit has the number of the line that
+    its window begins in."""
     hit = pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64()), ("confirmed", pa.bool_())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("hits", pa.list_(hit))])
 
@@ -216,19 +276,8 @@ def scan(docs: DataFrame, model: Licences, id_col="doc_id", text_col="text") ->
         for b in batches:
             counts, hits = [], []
             for text in b.column(1):
-                lines = [x for x in (text.as_py() or "").split("\n") if x.strip()]
-                found = []
-                for i, line in enumerate(lines):
-                    h = _word_hashes(line)
-                    if not len(h):
-                        continue
-                    p = model.probabilities(h)
-                    w, y = np.unravel_index(int(p[:, 1:].argmax()), (len(p), len(FAMILIES) - 1))
-                    prob = float(p[w, y + 1])
-                    if prob >= LEAST and prob > p[w, 0]:
-                        share = template_share(h, FAMILIES[y + 1])
-                        found.append({"paragraph": i, "family": FAMILIES[y + 1], "probability": round(prob, 4), "template_share": share, "confirmed": share >= CONFIRM})
-                counts.append(len(lines))
+                n, found = _hits(model, text.as_py() or "")
+                counts.append(n)
                 hits.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, schema.field(2).type)], schema=schema)
         _forget()
