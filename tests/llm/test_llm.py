@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common, components, fingerprints, jaccard_join, licence_scan, line_dedup, line_rules, mixing, packing, quality_model, shared, substring_dedup, url_filter
 
-ODD = "doc_id long, text string, source string, g int, bucket string, unit int, _lines int, key int, size int"
+ODD = "doc_id long, text string, source string, g int, bucket string, unit int, _lines int, key int, size int, _none int, _gone int, score int, _m_key int, _m_size int"
+CLASH = ("g", "bucket", "unit", "_lines", "key", "size", "_none", "_gone", "score", "_m_key", "_m_size")
 
 
 def corpus(seed=0, n=120, words=40):
@@ -40,7 +41,7 @@ def corpus(seed=0, n=120, words=40):
 
 
 def table(spark, texts, ids=None):
-    rows = [(i if ids is None else ids[i], t, f"s{i % 3}" if i % 7 else None, 1, "x", 2, 3, 4, 5) for i, t in enumerate(texts)]
+    rows = [(i if ids is None else ids[i], t, f"s{i % 3}" if i % 7 else None, 1, "x", 2, 3, 4, 5, 6, 7, 8, 9, 10) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, ODD)
 
 
@@ -114,11 +115,32 @@ def test_jaccard_components(spark, seed):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     for i in range(len(texts)):
-        assert (got[i].n_shingles, got[i].component_id) == (len(sets[i]), find(i))
+        links = sum(i != j and bool(sets[i]) and bool(sets[j]) and alike(sets[i], sets[j]) for j in range(len(texts)))
+        assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), find(i), links)
     kept = {r.doc_id for r in jaccard_join.keep_one(table(spark, texts)).select("doc_id", "bucket").collect()}
     assert kept == {i for i in range(len(texts)) if find(i) == i}
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    a, p = " ".join(f"a{i}" for i in range(30)), " ".join(f"p{i}" for i in range(30))
+    got = sorted(tuple(r) for r in jaccard_join.similar_documents(table(spark, [a, p, a, p, None, ""], [1, 1, 2, 3, None, None])).collect() if r.doc_id)
+    assert got == [(1, 26, 1, 1, 1), (1, 26, 1, 1, 1), (2, 26, 1, 1, 1), (3, 26, 1, 1, 1)]
+    kept = jaccard_join.keep_one(table(spark, [a, p, a, p, None, ""], [1, 1, 2, 3, None, None]))
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 1]
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_links_within_a_component(blocks):
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(120) > q], r.integers(0, 2**63, r.integers(0, 12)).astype(np.uint64)])) for q in r.random(150) * 0.3]
+    size, block = r.integers(1, 9, 150), r.integers(0, 2, 150) if blocks else None
+    got = jaccard_join._linked(sets, size, block)
+    for i, x in enumerate(sets):
+        want = sum(int(size[j]) for j, y in enumerate(sets) if i != j and (not blocks or block[i] != block[j]) and jaccard_join.alike_sets(len(np.intersect1d(x, y)), len(x), len(y)))
+        assert got[i] == want
+
+
 def test_bounds_never_rule_out_a_pair():
     r = np.random.default_rng(0)
     for _ in range(300):
@@ -133,8 +155,9 @@ def test_bounds_never_rule_out_a_pair():
             assert both >= jaccard_join.least_common(max(len(base), len(other)))
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
-def test_line_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "width"), [(0, 5), (1, 5), (2, 5), (3, 1), (4, 1)])
+def test_line_dedup(spark, seed, width):
+    shingles = lambda w: frozenset(w) if width == 1 else globals()["shingles"](w)
     r = random.Random(seed)
     base = [[f"w{r.randrange(60)}" for _ in range(r.randint(1, 30))] for _ in range(12)]
     texts: list = [None, ""]
@@ -146,8 +169,8 @@ def test_line_dedup(spark, seed):
                 w[r.randrange(len(w))] = f"w{r.randrange(60)}"
             lines.append(r.choice(["", " "]) if r.random() < 0.15 else " ".join(w))
         texts.append("\n".join(lines))
-    out = line_dedup.dedup_lines(table(spark, texts))
-    assert set(out.columns) == {"doc_id", "text", "source", "g", "bucket", "unit", "key", "size", "_lines"}
+    out = line_dedup.dedup_lines(table(spark, texts), width)
+    assert out.columns == ["doc_id", "text", "source", *CLASH, "__lines"]
     got = {x.doc_id: x for x in out.collect()}
     seen: list = []
     for i, t in enumerate(texts):
@@ -163,7 +186,7 @@ def test_line_dedup(spark, seed):
             else:
                 kept.append(line)
             seen.append(s)
-        assert (got[i].text, got[i]._lines.n_lines, got[i]._lines.n_removed) == (None if t is None else "\n".join(kept), n, removed)
+        assert (got[i].text, got[i]["__lines"].n_lines, got[i]["__lines"].n_removed) == (None if t is None else "\n".join(kept), n, removed)
 
 
 def test_components(spark):

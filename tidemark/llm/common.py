@@ -25,6 +25,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it differ from every column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def input_partitions(df: DataFrame) -> int:
     """Tasks that the scan below has: a measure of the input that costs no job."""
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
@@ -35,10 +43,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; only where none is set (tests) one is made."""
+    """The session's shared folder. Where none is set one is made, if driver and executors are one process (tests); a cluster must name
+    one that all its machines see."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 

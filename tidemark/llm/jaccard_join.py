@@ -11,6 +11,9 @@
    leaves open are compared too, block by block, each in one tile: for components, members of different
    components; for first occurrences, members that have no earlier match yet with all earlier ones. So nothing that
    could matter is passed over, and a group of copies makes a few stars, not all its pairs.
+   Where the number of links is asked for, the members of each component are then compared with one another, block by
+   block, as every link lies within a component: each representative counts the classes that are alike by their sizes,
+   and no pair is written down.
 5. Of a pair, hashed bitmaps are compared first, in the tile a short one and then one as long as its band asks: a bit
    that one has and the other hasn't stands for a shingle that they don't share, so bit counts bound the intersection
    from above. What stays is decided exactly, on sorted arrays.
@@ -23,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MAX_ID, durable, shuffle_partitions, table, trim, written
+from tidemark.llm.common import MAX_ID, durable, shuffle_partitions, table, trim, unused, written
 from tidemark.llm.components import components
 from tidemark.llm.shared import Plan, Words, planes, rolling, unplaned, words_of
 
@@ -35,6 +39,8 @@ SHINGLE, ALIKE = 5, (75, 100)
 #: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once,
 #: members of a tile that is compared along with others.
 LEADERS, MARK, BLOCK, AT_ONCE, SMALL = 3, 16, 4096, 1 << 17, 64
+#: Hashes of a block in which links are counted, and of the small components that are counted together.
+BLOCK_HASHES, TOGETHER = 1 << 20, 1 << 18
 
 
 @dataclass
@@ -111,10 +117,13 @@ def alike_sets(common, na, nb, alike=ALIKE):
     return alike[1] * common >= alike[0] * (na + nb - common)
 
 
-#: What signatures() gives, after the unit.
-SIGNED = {"n": pa.int32(), "digest": pa.binary(), "tokens": pa.binary(), "counts": pa.binary()}
-SIGNED_DDL = "n int, digest binary, tokens binary, counts binary"
-SIGNATURE, _SIGNATURE = f"unit long, {SIGNED_DDL}", pa.schema([("unit", pa.int64()), *SIGNED.items()])
+#: A head stands for the units of its group that have one set: the first of them by (p1, p2), how many they are, what signatures()
+#: gives, and the p1 and p2 of each. So a set that a third of all units have is a row per group wherever it is joined.
+HEAD = "g long, unit long, p1 long, p2 long, copies int, members1 array<long>, members2 array<long>, n int, digest binary, tokens binary, counts binary"
+HEADS = pa.schema([
+    ("g", pa.int64()), ("unit", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("copies", pa.int32()), ("members1", pa.list_(pa.int64())), ("members2", pa.list_(pa.int64())),
+    ("n", pa.int32()), ("digest", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary()),
+])
 
 
 def occurrences(w: Words, ends: np.ndarray, key_of, width=SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +190,27 @@ def _representatives(found: DataFrame, alike) -> DataFrame:
     return found.select("unit", "n", "size", "tokens", "counts", "p1", "p2", "digest").mapInArrow(made, "unit long, n int, mark array<long>, bits binary, tokens binary, prefix binary, places binary, p1 long, p2 long, digest binary")
 
 
-def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame, DataFrame]:
-    """units, read several times: SIGNATURE columns, place p1, p2 of each, and copies, the units of its p1 that it stands for ->
+def heads_of(g: int, digest: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, list]:
+    """Units of a group (digest: two numbers of each) -> per head its first unit, and the columns of HEADS up to the members."""
+    order = np.lexsort((p2, p1, digest[:, 1], digest[:, 0]))
+    p1, p2, digest = p1[order], p2[order], digest[order]
+    starts = np.flatnonzero(np.append(True, (digest[1:] != digest[:-1]).any(1))[: len(order)])
+    ends = np.append(starts, len(order)).astype(np.int32)
+    own = order[starts]
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(p, pa.int64())) for p in (p1, p2)]
+    return own, [np.full(len(own), g), (g << 32) + own, p1[starts], p2[starts], np.diff(ends).astype(np.int32), *lists]
+
+
+def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """units, a table of HEAD, read several times ->
 
     classes (digest, rep, p1, p2, size): of each set that may be in a pair or belongs to several units, the unit of the first
     place and how many units it has;
     links (unit, to, common): pairs of representatives that are alike, which connect whatever is connected. If ``first``,
-    (digest) in place of links: the sets with an earlier match, as pairs that name one for each are looked for.
+    (digest) in place of links: the sets with an earlier match, as pairs that name one for each are looked for;
+    reps: the representatives that may be in a pair.
     """
-    classes = units.where("n > 0 and copies > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"), F.max(F.col("tokens").isNotNull()).alias("shares"))
+    classes = units.where("n > 0").groupBy("digest").agg(F.min_by("unit", "p1").alias("rep"), F.min("p1").alias("p1"), F.min_by("p2", "p1").alias("p2"), F.sum("copies").alias("size"), F.max(F.col("tokens").isNotNull()).alias("shares"))
     classes = durable(classes.where("shares").drop("shares"))  # what several units have, all of them share
     found = units.where("tokens is not null").select("unit", "n", "digest", "tokens", "counts")
     own = classes.select(F.col("rep").alias("unit"), "size", "p1", "p2")
@@ -215,19 +236,19 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
         joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
         placed = tiles.join(joined.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit")).withColumn("gone", F.lit(False))
         open_ = F.min("component") < F.max("component")
-    mixed = placed.groupBy("token", "at").agg(open_.alias("open"), F.count(F.lit(1)).alias("size")).where("open and size > 1")
+    mixed = placed.groupBy("token", "at").agg(open_.alias("open"), F.count(F.lit(1)).alias("size"), F.min("unit").alias("least")).where("open and size > 1")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = placed.drop("p1").join(mixed.select("token", "at", "size", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "p1", "p2", "mark", "prefix"), "unit")
+    placed = placed.drop("p1").join(mixed.select("token", "at", "size", "least", blocks.alias("blocks")), ["token", "at"]).join(reps.select("unit", "p1", "p2", "mark"), "unit")
     placed = placed.withColumn("block", F.pmod(F.hash("unit"), "blocks")).withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # small tiles are compared many at a time
-    small, many = F.col("size") <= SMALL, 8 * shuffle_partitions(units.sparkSession)
+    # small tiles are compared many at a time, those of one least member together: most of their pairs are the same
+    small, many = F.col("size") <= SMALL, max(8 * shuffle_partitions(units.sparkSession), reps.count() // 512)
     placed = placed.withColumn("low", F.when(small, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(small, -1).otherwise(F.greatest("block", "beside")))
-    placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("token", "at"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -1).otherwise(F.col("at")))
-    rest = placed.drop("size", "blocks", "beside").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = links.unionByName(verified(rest, reps, alike, bitmaps=not first))
+    placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("least"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -2).otherwise(F.col("at")))
+    rest = placed.drop("size", "blocks", "beside", "least").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
+    links = links.unionByName(verified(rest.distinct(), reps, alike, bitmaps=not first))
     if first:
-        return classes, later_of(links, reps).join(reps.select("unit", "digest"), "unit").select("digest")
-    return classes, durable(links.distinct())
+        return classes, later_of(links, reps).join(reps.select("unit", "digest"), "unit").select("digest"), reps
+    return classes, durable(links.distinct()), reps
 
 
 def later_of(links: DataFrame, places: DataFrame) -> DataFrame:
@@ -237,14 +258,98 @@ def later_of(links: DataFrame, places: DataFrame) -> DataFrame:
     return pairs.select(F.when(F.col("pos") > F.col("pos2"), F.col("unit")).otherwise(F.col("to")).alias("unit")).distinct()
 
 
-def similar_units(units: DataFrame, alike=ALIKE) -> DataFrame:
-    """The same units -> (unit, n, digest, rep, component): rep is the least unit of an equal set, component the least that
-    it reaches over links; both null for an empty set."""
-    classes, links = class_links(units.withColumns({"p1": F.col("unit"), "p2": F.lit(0).cast("long"), "copies": F.lit(1)}), alike)
-    joined = components(links.select(F.col("unit").alias("u"), F.col("to").alias("v")))
-    classes = classes.drop("p1", "p2", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    full = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.col("unit")))
-    return units.select("unit", "n", "digest").join(classes, "digest", "left").select("unit", "n", "digest", full(F.col("rep")).alias("rep"), full(F.col("component")).alias("component"))
+def similar_units(heads: DataFrame, alike=ALIKE, count_links=True) -> DataFrame:
+    """A table of HEAD -> (p1, n, class_id, component_id, n_links), a row per unit: the least p1 of its set and the least that it
+    reaches, and how many other units are alike (null if they aren't counted). A unit without hashes is alone."""
+    classes, links, reps = class_links(heads, alike)
+    joined = durable(components(links.select(F.col("unit").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "rep"))
+    linked = classes.join(joined, "rep")
+    least = linked.groupBy("component").agg(F.min("p1").alias("component_id"))
+    linked = linked.join(least, "component").select("rep", "component_id")
+    if count_links:
+        members = reps.select("unit", "n", "tokens").join(classes.select(F.col("rep").alias("unit"), "size"), "unit").join(joined.withColumnRenamed("rep", "unit"), "unit")
+        linked = linked.join(link_counts(members, alike).withColumnRenamed("unit", "rep"), "rep", "left")
+    else:
+        linked = linked.withColumn("links", F.lit(None).cast("long"))
+    classes = classes.join(linked, "rep", "left").select("digest", F.col("p1").alias("class_id"), F.coalesce("component_id", "p1").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # heads, not units, are joined: as many rows of one set as there are groups
+    out = heads.select("digest", "n", "members1").join(classes, "digest", "left").select("n", "class_id", "component_id", "n_links", F.explode("members1").alias("p1"))
+    some = F.col("n") > 0
+    return out.select(
+        "p1", "n", F.when(some, F.coalesce("class_id", "p1")).otherwise(F.col("p1")).alias("class_id"), F.when(some, F.coalesce("component_id", "p1")).otherwise(F.col("p1")).alias("component_id"),
+        (F.when(some, F.coalesce("n_links", F.lit(0))).otherwise(0) if count_links else F.lit(None)).cast("long").alias("n_links"),
+    )
+
+
+def link_counts(members: DataFrame, alike=ALIKE) -> DataFrame:
+    """members (unit, n, tokens, size, component) -> (unit, links): the sizes of the other members of its component that are alike,
+    summed. A component of many members or long sets is dealt into blocks, and each two blocks are one task's; small
+    components are many in one."""
+    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("hashes")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / F.lit(BLOCK // 2)), F.ceil(F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
+    whole = durable(whole.withColumn("blocks", blocks))
+    many = max(shuffle_partitions(members.sparkSession), int(whole.where("blocks = 1").agg(F.sum("hashes")).first()[0] or 0) // TOGETHER)
+    rows = members.join(whole.select("component", "blocks"), "component").withColumn("block", F.pmod(F.hash("unit"), "blocks"))
+    rows = rows.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = F.col("blocks") == 1
+    rows = rows.withColumn("of", F.when(one, F.pmod(F.xxhash64("component"), F.lit(many))).otherwise(F.col("component")))
+    rows = rows.withColumn("low", F.when(one, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(one, -1).otherwise(F.greatest("block", "beside")))
+    schema = pa.schema([("unit", pa.int64()), ("links", pa.int64())])
+
+    def count(rows: pa.Table) -> pa.Table:
+        component, unit, size, block = (rows.column(c).to_numpy() for c in ("component", "unit", "size", "block"))
+        tokens, across = rows.column("tokens").combine_chunks(), rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+        order = np.argsort(component, kind="stable")
+        cuts = np.flatnonzero(np.append(True, component[order][1:] != component[order][:-1]))
+        units, links = [], []
+        for at in np.split(order, cuts[1:]):
+            sets = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in at.tolist()]
+            units.append(unit[at])
+            links.append(_linked(sets, size[at].astype(np.int64), block[at] if across else None, alike))
+        trim()
+        return pa.table([pa.array(np.concatenate(units)), pa.array(np.concatenate(links))], schema=schema)
+
+    counted = rows.select("of", "low", "high", "component", "unit", "size", "block", "tokens").groupBy("of", "low", "high").applyInArrow(count, "unit long, links long")
+    return counted.groupBy("unit").agg(F.sum("links").alias("links"))
+
+
+def _linked(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray | None, alike=ALIKE) -> np.ndarray:
+    """Per set the sizes of the others that are alike, summed; of those of other blocks only, if blocks are given. Hashes that few sets
+    have are counted off their lists of sets, those that many have as bits."""
+    n, k = np.array([len(x) for x in sets]), len(sets)
+    if k == 2:
+        both = alike_sets(len(np.intersect1d(*sets, assume_unique=True)), n[0], n[1], alike) and (block is None or block[0] != block[1])
+        return size[::-1] * int(both)
+    of, h = np.repeat(np.arange(k), n), np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, of = h[order], of[order]
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    length = np.diff(np.append(starts, len(h)))
+    length_of = np.repeat(length, length)
+    bits = np.zeros((k, 1), np.uint64)
+    many = length_of > max(8, k // 16)
+    if many.any():
+        column = np.unique(np.repeat(np.arange(len(length)), length)[many], return_inverse=True)[1]
+        bits = np.zeros((k, int(column.max()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (of[many], column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    few = np.flatnonzero((length_of > 1) & ~many)
+    by_set = few[np.argsort(of[few], kind="stable")]
+    begin, own = np.repeat(starts, length)[by_set], length_of[by_set]
+    edges = np.searchsorted(of[by_set], np.arange(k + 1))
+    out = np.zeros(k, np.int64)
+    for x in range(k):
+        common = np.bitwise_count(bits & bits[x]).sum(1, dtype=np.int64)
+        a, b = edges[x], edges[x + 1]
+        if b > a:
+            runs = own[a:b]
+            at = np.arange(int(runs.sum())) + np.repeat(begin[a:b] - np.append(0, np.cumsum(runs)[:-1]), runs)
+            common += np.bincount(of[at], minlength=k)
+        linked = alike_sets(common, n[x], n, alike)
+        linked[x] = False
+        if block is not None:
+            linked &= block != block[x]
+        out[x] = size[linked].sum()
+    return out
 
 
 def _tiles(reps: DataFrame, alike, banded=True) -> DataFrame:
@@ -269,13 +374,13 @@ def _compare(alike):
     """Of two blocks of a tile, or of many small tiles: the pairs of different components, the later one without an earlier
     match so far, that the bounds let be alike.
 
-    A pair of one band is compared in the tile of that band, one of two in that of the greater, and of the shingles that both
-    prefixes have only in the tile of the least: once in all.
+    A pair of one band is compared in the tile of that band, one of two in that of the greater. What comes of several tiles
+    is made one afterwards, so a row carries nothing of its set but its bitmap.
     """
     schema = pa.schema([("unit", pa.int64()), ("to", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.Table:
-        small = rows.column("of_at")[0].as_py() == -1
+        small = rows.column("of_at")[0].as_py() == -2
         one = small or rows.column("low")[0].as_py() == rows.column("high")[0].as_py()
         token, at = rows.column("token").to_numpy(), rows.column("at").to_numpy()
         order = np.lexsort((at, token)) if small else np.arange(len(rows))
@@ -284,8 +389,7 @@ def _compare(alike):
         p1, p2, gone = (rows.column(c).to_numpy()[order] for c in ("p1", "p2", "gone"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         marks = rows.column("mark").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, MARK)[order]
-        prefix = rows.column("prefix").combine_chunks().take(pa.array(order))
-        found = [(np.empty(0, np.int64),) * 2]
+        found = [np.empty((0, 2), np.int64)]
 
         def bounded(x, y):
             """The pairs that sizes, places and bitmaps don't rule out."""
@@ -297,33 +401,24 @@ def _compare(alike):
             x, y = x[keep], y[keep]
             only = lambda p, q: np.bitwise_count(marks[p] & ~marks[q]).sum(1, dtype=np.int64)
             keep = alike_sets(np.minimum(n[x] - only(x, y), n[y] - only(y, x)), n[x], n[y], alike)
-            return x[keep], y[keep]
+            x, y = unit[x[keep]], unit[y[keep]]
+            found.append(np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0))
 
         if small:
-            lesser = lambda k: (p := np.frombuffer(prefix[k].as_py(), np.int64))[p < token[k]]
             for step in range(1, len(unit)):
                 x = np.flatnonzero((token[step:] == token[:-step]) & (at[step:] == at[:-step]))
                 if not len(x):
                     break
-                x, y = bounded(x, x + step)
-                first = np.array([not np.isin(lesser(i), lesser(j)).any() for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
-                found.append((unit[x[first]], unit[y[first]]))
+                for k in range(0, len(x), AT_ONCE):
+                    bounded(x[k : k + AT_ONCE], x[k : k + AT_ONCE] + step)
         else:
-            prefixes = [np.frombuffer(x.as_py(), np.int64) for x in prefix]
-            of, lesser = np.repeat(np.arange(len(unit)), [len(x) for x in prefixes]), np.concatenate(prefixes)
-            of, lesser = of[lesser < token[0]], lesser[lesser < token[0]]
-            values, bit = np.unique(lesser, return_inverse=True)
-            before = np.zeros((len(unit), len(values) // 64 + 1), np.uint64)
-            np.bitwise_or.at(before, (of, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
             step = max(1, AT_ONCE // len(unit))
             for a in range(0, len(unit), step):
                 x, y = np.nonzero(np.arange(len(unit)) > np.arange(a, min(a + step, len(unit)))[:, None])
-                x, y = bounded(x + a, y)
-                first = ~(before[x] & before[y]).any(1)
-                found.append((unit[x[first]], unit[y[first]]))
-        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+                bounded(x + a, y)
+        pairs = np.unique(np.concatenate(found), axis=0)
         trim()
-        return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=schema)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
     return compare
 
@@ -360,18 +455,16 @@ def verified(pairs: DataFrame, reps: DataFrame, alike=ALIKE, bitmaps=True) -> Da
     return both.mapInArrow(exact, "unit long, to long, common int")
 
 
-def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (least doc_id of an equal set), component_id (least doc_id reachable by
-    links, itself included).
+def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_id", text_col="text", count_links=True) -> DataFrame:
+    """Per row: doc_id, n_shingles, class_id (least doc_id of an equal set), component_id (least doc_id reachable by
+    links, itself included), n_links (other rows whose sets are alike, those of equal sets among them; null if not counted).
 
-    Null and empty texts have no shingles and are their own class and component. Rows that repeat a doc_id count as one
-    document if their sets are equal; else the last by its digest stands for it. Null doc_ids are one document.
+    Null and empty texts have no shingles and are their own class and component, without links. Rows that repeat a doc_id are
+    each for itself, and null doc_ids come last. Ids are integers. Counting compares each two sets of a component: its cost is the square of the
+    different texts of a family.
     """
     plan = Plan(docs, id_col, text_col)
     counter, key_of = plan.counter(), plan.key_of()
-    def sets_of(docs: pa.Table) -> Sets:
-        w = words_of(docs.column("text"), lower=True)
-        return shingle_sets(w.hashes, w.ends, width)
 
     def keys(docs: pa.Table):
         w = words_of(docs.column("text"), lower=True)
@@ -379,29 +472,28 @@ def similar_documents(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_i
 
     def sign(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
-            return _SIGNATURE.empty_table()
-        sets = sets_of(docs)
-        rows: dict[int, tuple] = {}
-        for u, s in zip(docs.column("doc_id").to_pylist(), signatures(sets, counter(answers)(sets.hashes), alike), strict=True):
-            if u not in rows or rows[u][1] < s[1]:
-                rows[u] = s
-        return pa.table([pa.array(list(rows), pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows.values(), strict=True), list(_SIGNATURE)[1:], strict=True))], schema=_SIGNATURE)
-
-    units = written(plan.with_answers(plan.shared(keys), sign, SIGNATURE))
-    found = similar_units(units, alike)
-    back = lambda c: F.when(c != MAX_ID, c)
-    return found.select(
-        back(F.col("unit")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
-        back(F.coalesce("rep", "unit")).alias("class_id"), back(F.coalesce("component", "unit")).alias("component_id"),
-    )
+            return HEADS.empty_table()
+        docs = docs.take(pa.compute.sort_indices(docs.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")]))
+        w = words_of(docs.column("text"), lower=True)
+        sets = shingle_sets(w.hashes, w.ends, width)
+        n, digest, tokens, counts = (list(x) for x in zip(*signatures(sets, counter(answers)(sets.hashes), alike), strict=True))
+        ids = docs.column("doc_id").to_numpy()
+        own, columns = heads_of(docs.column("g")[0].as_py(), np.array([np.frombuffer(x, np.uint64) for x in digest]).reshape(-1, 2), ids, np.zeros(len(ids), np.int64))
+        columns += [[x[i] for i in own.tolist()] for x in (n, digest, tokens, counts)]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, HEADS, strict=True)], schema=HEADS)
+
+    heads = written(plan.with_answers(plan.shared(keys), sign, HEAD))
+    back = lambda c: F.when(F.col(c) != MAX_ID, F.col(c)).alias("doc_id" if c == "p1" else c)
+    return similar_units(heads, alike, count_links).select(back("p1"), F.col("n").cast("long").alias("n_shingles"), back("class_id"), back("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, width=SHINGLE, alike=ALIKE, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents, all columns kept, of which each group of similar ones keeps the one of least doc_id (null counts as
-    the greatest). Documents without words are no group and stay; of rows that repeat a doc_id all stay or go."""
-    found = similar_documents(docs, width, alike, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    the greatest). Documents without words are no group and stay; of rows that repeat a doc_id all stay if one of them does."""
+    found = similar_documents(docs, width, alike, id_col, text_col, count_links=False)
+    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("not stays")
+    mark = unused(docs, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(mark)), F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, release, remove, table, written
-from tidemark.llm.jaccard_join import ALIKE, SHINGLE, SIGNED, SIGNED_DDL, class_links, may_share, occurrences, shingle_sets, signatures, subset
+from tidemark.llm.common import durable, release, remove, table, unused, written
+from tidemark.llm.jaccard_join import ALIKE, HEAD, HEADS, SHINGLE, class_links, heads_of, may_share, occurrences, shingle_sets, signatures, subset
 from tidemark.llm.shared import Plan, mixed, words_of
 
 
@@ -23,7 +23,6 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
     """(g, doc_id, row, line): the lines of ``min_words`` words or more of which an earlier one, by doc_id and place, is alike
     enough: 100 I >= 75 U of the token sets. row tells rows of equal doc_id apart, by their texts."""
     counter, key_of = plan.counter(), plan.key_of()
-    schema = pa.schema([("g", pa.int64()), ("unit", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("copies", pa.int32()), *SIGNED.items()])
 
     def lines_of(docs: pa.Table):
         w = words_of(docs.column("text"), lower=True)
@@ -40,48 +39,44 @@ def later_matches(plan: Plan, width=SHINGLE, alike=ALIKE, min_words=1) -> DataFr
 
     def sign(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
-            return schema.empty_table()
+            return HEADS.empty_table()
         docs, rows = ordered(docs)
         w, ends, text, line = lines_of(docs)
         if not len(text):
-            return schema.empty_table()
-        look_up, n_words = counter(answers), np.diff(ends)
+            return HEADS.empty_table()
+        look_up = counter(answers)
+        # a line that is too much alone has a token that no other has, so it has no copy either and is left out
+        which, short = may_share(w, ends, look_up, width, alike), np.diff(ends) < width
+        if short.any():
+            which[short] = look_up(shingle_sets(*subset(w.hashes, ends, short), width).hashes) > 1
+        if not which.any():
+            return HEADS.empty_table()
+        h, ends = subset(w.hashes, ends, which)
+        text, line, n_words = text[which], line[which], np.diff(ends)
         # lines are told apart by their words in order: others of equal sets are found alike
-        place = np.arange(len(w.hashes), dtype=np.uint64) - np.repeat(ends[:-1], n_words).astype(np.uint64)
-        a, b = (np.add.reduceat(mixed(w.hashes + (place + np.uint64(1)) * np.uint64(odd)), ends[:-1]) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-        ids, pos = docs.column("doc_id").to_numpy()[text], np.arange(len(text))
-        order = np.lexsort((pos, ids, b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        first = np.zeros(len(text), bool)  # of equal lines only the first of the group carries more than the digest,
-        first[order[new]] = True
-        new |= np.append(True, ids[order][1:] != ids[order][:-1])
-        heads = np.flatnonzero(new)
-        copies = np.zeros(len(text), np.int32)  # and only the first of its document counts the others there
-        copies[order[heads]] = np.diff(np.append(heads, len(text)))
-        n = np.maximum(n_words - width + 1, 1).astype(np.int32)
-        which = (may_share(w, ends, look_up, width, alike) | (n_words < width)) & first
-        tokens: list = [None] * len(text)
-        counts: list = [None] * len(text)
-        sets = shingle_sets(*subset(w.hashes, ends, which), width)
-        for k, (size, _, own, own_counts) in zip(np.flatnonzero(which).tolist(), signatures(sets, look_up(sets.hashes), alike), strict=True):
-            n[k], tokens[k], counts[k] = size, own, own_counts
-        g = docs.column("g")[0].as_py()
-        digest = [x.tobytes() for x in np.stack([a, b], 1)]
-        columns = [np.full(len(text), g), (g << 32) + pos, ids, (rows[text].astype(np.int64) << 32) + line, copies, n, digest, tokens, counts]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    ddl = f"g long, unit long, p1 long, p2 long, copies int, {SIGNED_DDL}"
-    lines = written(plan.with_answers(plan.shared(keys), sign, ddl))
-    classes, gone = class_links(lines, alike, first=True)
-    # most lines are alone in their class and stay: only the other classes are looked up
+        place = np.arange(len(h), dtype=np.uint64) - np.repeat(ends[:-1], n_words).astype(np.uint64)
+        digest = np.stack([np.add.reduceat(mixed(h + (place + np.uint64(1)) * np.uint64(odd)), ends[:-1]) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], 1)
+        own, columns = heads_of(docs.column("g")[0].as_py(), digest, docs.column("doc_id").to_numpy()[text], (rows[text].astype(np.int64) << 32) + line)
+        head = np.zeros(len(text), bool)
+        head[own] = True
+        sets = shingle_sets(*subset(h, ends, head), width)
+        signed = dict(zip(np.flatnonzero(head).tolist(), signatures(sets, look_up(sets.hashes), alike), strict=True))
+        signed = [signed[i] for i in own.tolist()]
+        columns += [[x[0] for x in signed], [x.tobytes() for x in digest[own]], [x[2] for x in signed], [x[3] for x in signed]]
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, HEADS, strict=True)], schema=HEADS)
+
+    heads = written(plan.with_answers(plan.shared(keys), sign, HEAD))
+    classes, gone, _ = class_links(heads, alike, first=True)
+    # a class is looked up if it has several lines or goes as a whole
     some = classes.where("size > 1").select("digest", F.col("p1").alias("first1"), F.col("p2").alias("first2"), F.lit(False).alias("gone"))
     none = F.lit(None).cast("long")
     some = some.unionByName(gone.select("digest", none.alias("first1"), none.alias("first2"), F.lit(True).alias("gone")))
     some = some.groupBy("digest").agg(F.max("first1").alias("first1"), F.max("first2").alias("first2"), F.max("gone").alias("gone"))
-    found = lines.select("g", "p1", "p2", "digest").join(some.hint("shuffle_hash"), "digest").where("gone or p1 != first1 or p2 != first2")
-    found = durable(found.select("g", F.col("p1").alias("doc_id"), F.shiftright("p2", 32).cast("int").alias("row"), F.col("p2").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("line")))
-    remove(lines)
-    del lines, classes, gone, some
+    found = heads.select("g", "digest", F.arrays_zip("members1", "members2").alias("at")).join(some, "digest")
+    found = found.select("g", "first1", "first2", "gone", F.explode("at").alias("at")).where("gone or at.members1 != first1 or at.members2 != first2")
+    found = durable(found.select("g", F.col("at.members1").alias("doc_id"), F.shiftright("at.members2", 32).cast("int").alias("row"), F.col("at.members2").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("line")))
+    remove(heads)
+    del heads, classes, gone, some
     release(found.sparkSession)
     return found
 
@@ -94,21 +89,23 @@ def ordered(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return docs, (np.arange(len(ids)) - np.repeat(new, np.diff(np.append(new, len(ids))))).astype(np.int32)
 
 
-def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col="doc_id", text_col="text") -> DataFrame:
+def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col="doc_id", text_col="text", lines_col="_lines") -> DataFrame:
     """The documents, all columns kept, their texts without the lines that match an earlier one, and as ``n_lines`` and
-    ``n_removed`` in a struct ``_lines`` the numbers of lines with words before and of those removed.
+    ``n_removed`` in a struct ``lines_col`` the numbers of lines with words before and of those removed; the struct is the last column and gets
+    underscores before its name while another column is called so. ``width`` is the number of words of a token: 1 compares the sets of words themselves.
 
     Lines without words stay. A null text stays null; a null doc_id comes last; rows that repeat a doc_id follow one another by
-    their texts. An empty table gives no rows.
+    their texts. Ids are integers. An empty table gives no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
-    docs = docs.drop("_lines")
-    own = docs.columns
-    docs = docs.withColumn("_none", F.col(text_col).isNull())
-    plan = Plan(docs, id_col, text_col, [*(c for c in own if c != text_col), "_none"])
-    out = StructType([f for f in docs.schema.fields if f.name != "_none"]).add("_lines", StructType().add("n_lines", LongType()).add("n_removed", LongType()))
+    lines_col = unused(docs, lines_col)
+    own, none_col = docs.columns, unused(docs, "_none")
+    out = docs.schema
+    docs = docs.withColumn(none_col, F.col(f"`{text_col}`").isNull())
+    plan = Plan(docs, id_col, text_col, [*(c for c in own if c != text_col), none_col])
+    out = StructType([*out.fields]).add(lines_col, StructType().add("n_lines", LongType()).add("n_removed", LongType()))
     arrow = to_arrow_schema(out)
     at = own.index(text_col)
 

@@ -30,9 +30,10 @@ with recursive units as (select doc_id u, {_WORDS.format(f"translate(coalesce(te
 both_ as (select a, b from linked union select b, a from linked),
 reach(a, b) as (select a, a from both_ union select r.a, e.b from reach r join both_ e on e.a = r.b),
 least as (select a, min(b) c from reach group by 1),
-same as (select u, min(u) over (partition by h) c from (select u, md5(string_agg(k, '|' order by k)) h from sets group by 1))
-select units.u doc_id, coalesce(n.n, 0) n_shingles, coalesce(same.c, units.u) class_id, coalesce(least.c, units.u) component_id
-from units left join n using (u) left join least on least.a = units.u left join same on same.u = units.u
+same as (select u, min(u) over (partition by h) c from (select u, md5(string_agg(k, '|' order by k)) h from sets group by 1)),
+deg as (select a, count(*) c from both_ group by 1)
+select units.u doc_id, coalesce(n.n, 0) n_shingles, coalesce(same.c, units.u) class_id, coalesce(least.c, units.u) component_id, coalesce(deg.c, 0) n_links
+from units left join n using (u) left join least on least.a = units.u left join same on same.u = units.u left join deg on deg.a = units.u
 """
 
 OP3 = f"""
