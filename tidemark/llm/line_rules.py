@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, words
 
 #: Marks that end a sentence, with closing quotes and brackets after them.
-SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 #: What may follow the mark: the whole line is looked at only if its last characters are nothing else.
-CLOSING = r"""^["'”’»)\]\x20\x09-\x0D\x85\u2028\u2029]*$"""
-SHOUTED = r"(?:[!?*]{2,}|[A-Z]{4,}!)(?=[\x20\x09-\x0D]|$)"
+CLOSING = r"""\A["'”’»)\]\x20\x09-\x0D]*\z"""
+SHOUTED = r"(?:[!?*]{2,}|[A-Z]{4,}!)(?=[\x20\x09-\x0D]|\z)"
 SEPARATORS = "|›»→•·"
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices and widgets, lower case.
