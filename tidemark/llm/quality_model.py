@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sampled, table, trim
+from tidemark.llm.common import sampled, table, trim, unused
 from tidemark.llm.shared import rolling
 
 SAMPLE_ROWS = 20_000
@@ -157,7 +157,8 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """False for a null doc_id, which has no remainder."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS, id_col="doc_id", text_col="text", label_col="quality") -> Model:
@@ -172,13 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows=SAMPLE_ROWS, id_col="doc
 
 
 def score_documents(docs: DataFrame, model: Model, score_col="score", text_col="text") -> DataFrame:
-    """The rows, all columns kept, and their score. A null text scores as an empty one."""
+    """The rows, all columns kept, and as the last column their score, with underscores before its name while another column is called
+    so. A null text scores as an empty one; repeated rows score alike; an empty table gives no rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructType
 
-    kept = docs.drop(score_col)
-    out = StructType([*kept.schema.fields]).add(score_col, DoubleType())
-    at = kept.columns.index(text_col)
+    out = StructType([*docs.schema.fields]).add(unused(docs, score_col), DoubleType())
+    at = docs.columns.index(text_col)
     arrow = to_arrow_schema(out)
 
     def scored(batches):
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame, model: Model, score_col="score", text_col="
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)] + [pa.array(model.score(x))], schema=arrow)
         trim()
 
-    return kept.mapInArrow(scored, out)
+    return docs.mapInArrow(scored, out)
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
