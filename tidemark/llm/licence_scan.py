@@ -1,8 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
 Features are word 1- to 3-grams, hashed; the model is a multinomial logistic regression over licence families
-and an unknown class, trained on variations of the templates and on a bounded sample of paragraphs
-(``SAMPLE_DOCS`` documents, those with the smallest hash of their id). Its probabilities are calibrated by a
+and an unknown class, trained on variations of the templates and on a bounded sample of the corpus: of ``SAMPLE_DOCS`` documents, those with
+the smallest hash of their id, every line is cut into windows of ``WINDOW`` words, and the ``SAMPLE_WINDOWS`` different windows with the
+smallest hash are taken, wherever in their texts they stand. Its probabilities are calibrated by a
 temperature on variations held back. A paragraph is predicted to be of a family if that beats the unknown class and
 ``LEAST``; a prediction is confirmed if the paragraph holds ``CONFIRM`` of the 2-grams of a template sentence of it.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import sampled, table, trim
 
-SAMPLE_DOCS, WIDTH, WINDOW, LEAST, CONFIRM, EPOCHS = 1500, 1 << 15, 64, 0.5, 0.7, 12
+SAMPLE_DOCS, SAMPLE_WINDOWS, WIDTH, WINDOW, LEAST, CONFIRM, EPOCHS = 1500, 4000, 1 << 15, 64, 0.5, 0.7, 12
 UNKNOWN = "unknown"
 #: Notices by which publicly known licences are named and granted, one sentence each.
 TEMPLATES = {
@@ -207,12 +208,22 @@ def train(paragraphs: list[str], seed=7) -> Licences:
     return model
 
 
-def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, id_col="doc_id", text_col="text") -> Licences:
+def fit(docs: DataFrame, sample_docs=SAMPLE_DOCS, sample_windows=SAMPLE_WINDOWS, id_col="doc_id", text_col="text") -> Licences:
     own = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     picked = sampled(own.select("_id"), F.col("_id"), sample_docs)
-    rows = own.join(F.broadcast(picked.distinct()), "_id").select(F.substring_index("_text", "\n", 4).alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()
-    rows = sorted(rows)
-    return train([p[:2000] for r in rows for p in r[0].split("\n") if p.strip()])
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for text in b.column(0):
+                for line in text.as_py().split("\n"):
+                    words = line.split()
+                    if words:
+                        out += [" ".join(words[x:y]) for x, y in zip(*_windows(0, len(words)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
+
+    windows = own.join(F.broadcast(picked.distinct()), "_id").select("_text").mapInArrow(cut, "t string").distinct()
+    return train(sorted(r[0] for r in windows.orderBy(F.xxhash64("t"), "t").limit(sample_windows).collect()))
 
 
 def _hits(model: Licences, text: str) -> tuple[int, list[dict]]:
