@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, trim
 
@@ -52,6 +53,10 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.mark = self._ids([self.MARK])[0]
+        whole, *parts = self._ids([" Some  WORDS, don't\n\tmerge. (Ünder) x=1! ", "some", "words,", "don't", "merge.", "(ünder)", "x=1!"])
+        stop, letters, mark = self._ids(["merge.", "merge", "."])
+        if whole != b"".join(parts) or stop != letters + mark:
+            raise ValueError(f"{path}: ids of a text must be those of its lower-case, blank-separated words")
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -155,15 +160,20 @@ def _by_powers(pieces: list[tuple[int, int, int]], total: int) -> list[list[tupl
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens=4096, max_segments=64, max_loss=4096, with_ids=False, keep_words=True, id_col="doc_id", text_col="text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str | None = None, max_tokens=4096, max_segments=64, max_loss: int | None = None, with_ids=False, keep_words=True, id_col="doc_id", text_col="text", prompt_col: str | None = None,
+) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (and ids).
 
-    All of a document's tokens bear loss. A null text is empty, and an empty one is the end id alone;
-    repeated rows are packed each for itself; an empty table gives no rows. sequence_id holds the input
+    With ``prompt_col``, for instruction data, an example is its prompt and then its text, whose tokens and end id alone bear loss, and a
+    sequence holds at most ``max_loss`` of these (by default half of ``max_tokens``). Without it all tokens bear loss, so only ``max_tokens``
+    limits them unless ``max_loss`` is given. A null text or prompt is empty, and an empty example is the end id alone;
+    repeated rows are packed each for itself; an empty table gives no rows. Ids are integers. sequence_id holds the input
     partition in its upper bits. keep_words: whether a Python worker keeps the words that it has met (CACHED_WORDS at most, some
-    250 MB) for its next task, which spares a third of the time.
+    250 MB) for its next task, which spares a third of the time. The tokenizer must give a text the ids of its words; others are refused.
     """
     path = tokenizer or default_tokenizer()
+    most = max_loss or (max_tokens // 2 if prompt_col else max_tokens)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
     schema = pa.schema([(x, pa.int64()) for x in names] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
@@ -171,15 +181,17 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens=409
         encoder, task, made = _encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for ids, texts in _blocks(batch):
-                coded = [x + end for x in encoder.encode(texts)]
-                lengths = np.array([len(x) // 4 for x in coded])
+            for ids, texts, prompts in _blocks(batch):
+                answers = [x + end for x in encoder.encode(texts)]
+                coded = [p + a for p, a in zip(encoder.encode(prompts), answers, strict=True)] if prompt_col else answers
+                lengths, loss = (np.array([len(x) // 4 for x in c]) for c in (coded, answers))
                 rows, pieces_ids = [], []
-                for seq in pack_block(lengths, lengths, max_tokens, max_segments, max_loss):
+                for seq in pack_block(lengths, loss, max_tokens, max_segments, most):
                     at = 0
                     for i, s, length in seq:
                         own = coded[i][4 * s : 4 * (s + length)]
-                        rows.append((ids[i], s, length, zlib.crc32(own), int(lengths[i]), (task << 40) + made, at, length))
+                        bears = max(0, s + length - max(s, int(lengths[i] - loss[i])))
+                        rows.append((ids[i], s, length, zlib.crc32(own), int(lengths[i]), (task << 40) + made, at, bears))
                         pieces_ids.append(np.frombuffer(own, "<i4")) if with_ids else None
                         at += length
                     made += 1
@@ -190,22 +202,32 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, max_tokens=409
             trim()
 
     ddl = ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(packed, ddl)
+    prompt = [f"`{prompt_col}` prompt"] if prompt_col else []
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text", *prompt).mapInArrow(packed, ddl)
+
+
+def instruction_examples(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) -> (conv_id, turn, prompt, text): every turn of the assistant, and as its prompt the turn before it. Turns are
+    matched by equality, so that no conversation is one task's; without a turn before, the prompt is null."""
+    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return conversations.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "prompt", "text")
 
 
 def _blocks(batch: pa.RecordBatch):
-    """(ids, texts as bytes) of runs of rows, BLOCK_ROWS and about BLOCK_BYTES at most."""
-    ids, texts, size = [], [], 0
-    for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-        text = text.as_py() or b""
+    """(ids, texts, prompts as bytes) of runs of rows, BLOCK_ROWS and about BLOCK_BYTES at most."""
+    ids, texts, prompts, size = [], [], [], 0
+    others = batch.column(2).cast(pa.binary()) if batch.num_columns > 2 else [None] * batch.num_rows
+    for i, text, prompt in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), others, strict=True):
+        text, prompt = text.as_py() or b"", (prompt.as_py() or b"") if prompt is not None else b""
         ids.append(i)
         texts.append(text)
-        size += len(text)
+        prompts.append(prompt)
+        size += len(text) + len(prompt)
         if len(ids) == BLOCK_ROWS or size >= BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+            yield ids, texts, prompts
+            ids, texts, prompts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, texts, prompts
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
