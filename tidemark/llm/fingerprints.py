@@ -23,10 +23,8 @@ from tidemark.llm.common import MAX_ID, input_partitions, table, trim
 
 PRIMES, BASES = (2147483647, 2147483629), (1_000_003_919, 1_315_423_911)
 SPAN, KEPT = 16, 64
-#: Ranges of document ids, at most; each is a task that streams, so its memory doesn't depend on them.
-MOST_RANGES = 10_000
-#: Ranges are dealt to tasks by hash; several for each even out.
-RANGES_PER_TASK = 8
+#: Ranges of documents for each input partition; each is a task that streams, so its memory doesn't depend on its length.
+RANGES_PER_PARTITION = 2
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -124,39 +122,52 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _ranges(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The last of the sorted bounds (id, hash) that isn't after each document."""
+    low, high = (np.searchsorted(bounds[:, 0], ids, side) for side in ("left", "right"))
+    out = low.copy()
+    # only where an id is a bound itself do hashes decide, bound by bound of that id
+    tied = np.flatnonzero(high > low)
+    for a in np.unique(low[tied]):
+        own = tied[low[tied] == a]
+        out[own] = a + np.searchsorted(bounds[a : high[own[0]], 1], hashes[own], "right")
+    return np.maximum(out - 1, 0)
+
+
 def with_following(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(range, extra, doc_id, text), partitioned by range and sorted: in each range the documents of a span of
-    ids, and as the extra one the document that follows the last of them (after the very last, the first).
+    (id, hash of the text), and as extra ones those that follow the last of them (after the very last, the first).
 
-    Ranges are quantiles of the ids, so they are even for any ids. Only their bounds and first ids reach the driver.
+    Ranges are those of a sort of ids and hashes alone, as many as the input needs, so they are even for any ids, and texts of one id are
+    split too. Only the first id and hash of each reach the driver and the tasks: 16 bytes a range.
     """
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(MAX_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tasks = max(1, 2 * input_partitions(docs))
-    n = min(MOST_RANGES, RANGES_PER_TASK * tasks)
-    bounds = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = np.unique(np.array(bounds, np.int64)) if n > 1 else np.empty(0, np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids):
+    d = d.withColumn("h", F.xxhash64("text"))
+    n = RANGES_PER_PARTITION * input_partitions(docs)
+    keys = d.select("doc_id", "h").repartitionByRange(n, "doc_id", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    bounds = np.array(sorted((r[0], r[1]) for r in keys.select("k.doc_id", "k.h").collect()), np.int64).reshape(-1, 2)
+
+    @F.pandas_udf("array<int>")
+    def places(ids, hashes):
+        """The document's range, and, as -1 - range, the one that it is the extra of."""
         import pandas as pd
 
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype("int32"))
+        ids, hashes = ids.to_numpy(), hashes.to_numpy()
+        r = _ranges(bounds, ids, hashes)
+        first = (bounds[r] == np.stack([ids, hashes], 1)).all(1)
+        return pd.Series([[x, -1 - (x - 1) % len(bounds)] if f else [x] for x, f in zip(r.tolist(), first.tolist(), strict=True)], dtype=object)
 
-    firsts = sorted((r[0], r[1]) for r in d.select(range_of("doc_id").alias("r"), "doc_id").groupBy("r").agg(F.min("doc_id")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    own = d.select(range_of("doc_id").alias("range"), F.lit(0).alias("extra"), "doc_id", "text")
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else None
-    if to is None:
-        return own
-    extra = d.where(F.col("doc_id").isin(list(before))).select(F.element_at(to, F.col("doc_id")).cast("int").alias("range"), F.lit(1).alias("extra"), "doc_id", "text")
-    return own.unionByName(extra).repartition(min(n, tasks), "range").sortWithinPartitions("range", "extra", "doc_id", "text")
+    at = d.select("doc_id", "text", "h", F.explode(places("doc_id", "h")).alias("at"))
+    own = at.select(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range"), (F.col("at") < 0).cast("int").alias("extra"), "doc_id", "text", "h")
+    return own.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("range", "extra", "doc_id", "h", "text").drop("h")
 
 
 def fingerprint_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id,
     next_common (code points that it and the next document share from their beginnings).
 
-    A null text is empty; a null doc_id comes last; rows that repeat a doc_id follow one another in the order of their texts.
+    A null text is empty; a null doc_id comes last; rows that repeat a doc_id follow one another in the order of a hash of their texts. Ids
+    are integers. An empty table gives no rows.
     """
     columns = [("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"),
                ("near_edited", "double"), ("near_next", "double"), ("next_id", "long"), ("next_common", "long")]
