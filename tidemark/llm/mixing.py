@@ -105,7 +105,7 @@ def mix_sizes(docs: DataFrame, weights=(3, 1, 2), share=1.5, epochs=2, seed="mix
     """doc_id, size, source_size, target, taken: what the mix takes of every document, in words.
 
     Null texts and texts without words have size 0 and are taken 0 times; a null source is a source.
-    An empty table gives no rows.
+    Rows that repeat a doc_id share one place in the order. An empty table gives no rows.
     """
     sized = durable(_sized(docs, seed, id_col, text_col, source_col))
     plan = mix_plan(sized, 8 * input_partitions(docs), weights, share, epochs)
@@ -117,20 +117,28 @@ def mix_sizes(docs: DataFrame, weights=(3, 1, 2), share=1.5, epochs=2, seed="mix
 def mix_documents(docs: DataFrame, weights=(3, 1, 2), share=1.5, epochs=2, seed="mix", id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mixed documents, all columns kept: a row for each epoch that takes a document.
 
-    The document at a source's cut keeps its first words only, up to the budget. Documents of no
+    The document at a source's cut keeps its first words only, up to the budget, with the line breaks between them. Documents of no
     words and those that the budget doesn't reach are left out. Texts are not shuffled.
     """
     sized = durable(_sized(docs, seed, id_col, text_col, source_col))
     plan = mix_plan(sized, 8 * input_partitions(docs), weights, share, epochs)
-    own, text = docs.columns, F.col(text_col)
-    size = F.size(words(text)).cast("long")
-    rows = _with_plan(docs.withColumn("_m_key", _key(F.col(id_col), seed)), plan, source_col).withColumn("_m_size", size)
-    rows = rows.withColumn("_m_part", _part(F.col("_m_key"), F.col(id_col), F.col("_m_size")))
+    # the row travels as one struct, so that its columns may have any names
+    text, doc_id = F.col(f"_m_row.`{text_col}`"), F.col(f"_m_row.`{id_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_m_row"))
+    rows = _with_plan(rows.withColumn("_m_key", _key(doc_id, seed)), plan, f"_m_row.`{source_col}`").withColumn("_m_size", F.size(words(text)).cast("long"))
+    rows = rows.withColumn("_m_part", _part(F.col("_m_key"), doc_id, F.col("_m_size")))
     whole = F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("_m_size") > 0, F.col("_m_epochs")).otherwise(0).cast("int"))
     part = F.when(F.col("_m_part") > 0, F.array(F.when(F.col("_m_part") >= F.col("_m_size"), F.lit(-1).cast("long")).otherwise(F.col("_m_part"))))
     rows = rows.withColumn("_m_take", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<long>")))))
-    first = F.array_join(F.slice(words(text), F.lit(1), F.col("_m_take").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("_m_take") < 0, text).otherwise(first)).select(*own)
+    taken = F.when(F.col("_m_take") < 0, text).otherwise(first_words(text, F.col("_m_take")))
+    return rows.select(*[taken.alias(c) if c == text_col else F.col(f"_m_row.`{c}`") for c in docs.columns])
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, what is between the words as it was."""
+    pieces = F.split(text, rf"(?<={BLANK[:-1]})(?!{BLANK[:-1]})")  # each a word and the blanks after it, but for blanks at the beginning
+    led = text.rlike(rf"\A{BLANK}").cast("int")
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), n.cast("int") + led), ""), rf"{BLANK}\z", "")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
