@@ -47,32 +47,53 @@ select doc_id, n_lines, n_removed, sha256(coalesce(t, '')) kept_sha256 from kept
 """
 
 
+def _node(url: str) -> str:
+    """As url_filter.node_of."""
+    head = f"translate(regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1), '{_UP}', '{_LOW}')"
+    head = f"regexp_replace(regexp_replace({head}, '^(http://.*):(?:80)?$', '{chr(92)}1'), '^(https://.*):(?:443)?$', '{chr(92)}1')"
+    tail = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"case when regexp_matches({url}, '(?s)^.*?://[^/?#]') then {head} || case when starts_with({tail}, '/') then {tail} else '/' || {tail} end end"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}')"
+
+
 def _op5() -> str:
     order = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][0] + RULES[i][1]), RULES[i]))
     fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
     case = lambda k: "case " + " ".join(f"when {fits(*RULES[i][:2])} then '{k(RULES[i])}'" for i in order) + " end"
+    link = lambda tag, has, to: rf"""regexp_extract(list_filter(regexp_extract_all(html, '(?is)<{tag}\b[^>]*'), lambda x: regexp_matches(x, '(?is)\b{has}\b') and regexp_matches(x, '(?is)\b{to}\s*=\s*["'']?[^"''\s>]'))[1], '(?is)\b{to}\s*=\s*["'']?([^"''\s>]+)', 1)"""
+    scheme, folder = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)", "regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+    root = f"{scheme} || '://' || {_host('url')}"
     return rf"""
-with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}') host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path,
-  list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(?:utm_\w+|ref|fbclid|gclid|mc_eid|igshid|msclkid)(?:=|$)')) q from pages),
-r as (select page_id, host, path, {case(lambda x: x[0] + x[1])} as rule, {case(lambda x: x[2])} own,
-  case when host <> '' then regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end node from p),
-n as (select node from r where node is not null group by 1 having bool_or(coalesce(own = 'block', false)) and not bool_or(coalesce(own = 'allow', false)))
--- the tables name no canonical links or redirects, so every node is its own component
-select page_id, host, path, rule, coalesce(own, case when node in (select node from n) then 'block' end, 'allow') verdict, own is null and coalesce(node in (select node from n), false) alias from r
+with recursive p as (select page_id, {_host("url")} host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path, {_node("url")} node from pages),
+r as (select page_id, host, path, {case(lambda x: x[0] + x[1])} as rule, {case(lambda x: x[2])} own, node from p),
+l as (select url, unnest([{link("link", "rel" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) * 2 + "]?canonical", "href")}, {link("meta", "http-equiv" + chr(92) + "s*=" + chr(92) + "s*[" + chr(34) + chr(39) * 2 + "]?refresh", "url")}]) t from pages where url is not null),
+ab as (select url, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t when starts_with(t, '//') then {scheme} || ':' || t when starts_with(t, '/') then {root} || t
+  else {root} || case when {folder} = '' then '/' else {folder} end || t end a from l where t <> ''),
+ed as (select {_node("url")} u, {_node("a")} v from ab),
+both_ as (select u, v from ed where u <> v union select v, u from ed where u <> v),
+reach(a, b) as (select u, u from both_ union select r.a, e.v from reach r join both_ e on e.u = r.b),
+comp as (select a node, min(b) c from reach group by 1),
+n as (select coalesce(c, r.node) c from r left join comp using (node) where r.node is not null group by 1 having bool_or(coalesce(own = 'block', false)) and not bool_or(coalesce(own = 'allow', false)))
+select page_id, host, path, rule, coalesce(own, case when n.c is not null then 'block' end, 'allow') verdict, own is null and n.c is not null alias
+from r left join comp using (node) left join n on n.c = coalesce(comp.c, r.node)
 """
 
 
 def _op7() -> str:
-    phrases = " or ".join(f"contains(lower(l), '{p}')" for p in line_rules.BOILERPLATE)
+    phrases = " or ".join(f"contains(plain, '{p}')" for p in line_rules.BOILERPLATE)
     marks = " + ".join(f"(length(l) - length(replace(l, '{s}', '')))" for s in line_rules.SEPARATORS)
     return rf"""
 with d as (select doc_id, coalesce(text, '') text, {_WORDS.format("coalesce(text, '')")} w from documents),
 five as (select doc_id, p, array_to_string(w[p:p + 4], ' ') k from (select doc_id, w, unnest(range(1, len(w) - 3)) p from d where len(w) >= 5)),
 twice as (select doc_id, p from five join (select doc_id, k from five group by all having count(*) > 1) using (doc_id, k)),
 rep as (select doc_id, count(distinct p + s.s) n from twice cross join (select unnest(range(5)) s) s group by 1),
-line as (select doc_id, l from (select doc_id, unnest(string_split(text, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
-judged as (select doc_id, l, not regexp_matches(right(l, 12), '[.!?:;…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$')
+line as (select doc_id, l, lower(regexp_replace(l, '[ \t\n\x0B\f\r]+', ' ', 'g')) plain from (select doc_id, unnest(string_split(text, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
+judged as (select doc_id, l, not regexp_matches(l, '[.!?:;…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$')
   or length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > 0.1 * length(l)
+  or len(regexp_extract_all(l, '(?:[!?*]{{2,}}|[A-Z]{{4,}}!)(?:[\x20\x09-\x0D]|$)')) > 0.5 * len({_WORDS.format("l")})
   or (length(l) - length(replace(l, '!!', ''))) / 2 + (length(l) - length(replace(l, '??', ''))) / 2 > 0.5 * len(string_split(trim(l), ' '))
   or {marks} >= 3 or {phrases} fails from line),
 lines as (select doc_id, count(*) n, count(distinct l) nd, count(*) filter (fails) nf, sum(length(l)) c, sum(case when fails then 0 else length(l) end) g from judged group by 1),

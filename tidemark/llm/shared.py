@@ -6,12 +6,13 @@ answers every group with those of its hashes that two documents or more have. So
 documents share costs one entry per group, not one per document, and no task holds more than a bucket or a group.
 The exchange of documents by group is the same wherever it is used in a plan, so Spark runs it once.
 
-A hash travels as its bucket and 32 bits. Two that fall together look shared, which costs work further
+Words are told apart by 64-bit hashes of their bytes, and runs of words by hashes of these. A hash travels as its bucket and 32 bits. Two that fall together look shared, which costs work further
 on but changes no result: whoever asks verifies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import MAX_ID, input_partitions, shuffle_partitions, trim
 
-GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE = 8, 2, 1 << 16
+GROUPS_PER_PARTITION, BUCKETS_PER_PARTITION, AT_ONCE, LONG_WORD = 8, 2, 1 << 16, 512
 #: A group's count of a key goes no further; the sum of such counts is as great as can be.
 MANY = 255
 LOW = np.uint64((1 << 32) - 1)
@@ -67,7 +68,8 @@ class Words:
 
 
 def words_of(column: pa.ChunkedArray, lower=False) -> Words:
-    """All in array operations: a word's hash is that of its bytes, read off prefix sums of a polynomial."""
+    """All in array operations: a word's hash is that of its bytes, read off prefix sums of a polynomial. Words of more than LONG_WORD
+    bytes are hashed one by one: there are long words that no polynomial modulo a power of two tells apart."""
     texts = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     texts = texts.cast(pa.large_binary())
     if not len(texts):
@@ -102,7 +104,10 @@ def words_of(column: pa.ChunkedArray, lower=False) -> Words:
         own = start[at:to] - low
         hashes[at:to] = (sums[stop[at:to] - low] - sums[own]) * inverse[own]
         at = to
-    return Words(mixed(hashes), np.searchsorted(start, edges), start, stop, data, edges)
+    hashes = mixed(hashes)
+    for k in np.flatnonzero(stop - start > LONG_WORD).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(data[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return Words(hashes, np.searchsorted(start, edges), start, stop, data, edges)
 
 
 def rolling(h: np.ndarray, width: int, base=0) -> np.ndarray:
