@@ -24,12 +24,13 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of the input; labels of documents that aren't in it count for nothing."""
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score_documents(docs, model, "_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality_model.score_documents(docs, model)
+    return scored.where(F.col(scored.columns[-1]) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(docs)
-    emptied = (F.col("_lines.n_removed") > 0) & (F.size(words(F.col("text"))) == 0)
+    emptied = (F.col(f"{kept.columns[-1]}.n_removed") > 0) & (F.size(words(F.col("text"))) == 0)
     return kept.where(~emptied).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
