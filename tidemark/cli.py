@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
@@ -17,6 +19,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     parser.add_argument("step", choices=["prepare", "learn", "detect", "explain"])
     for name in ("data", "output", "config", "golden", "test", "states", "lags"):
         parser.add_argument(f"--{name}")
+    parser.add_argument("--ensemble", nargs="+", help="edge tables of several runs, whose mean stands for --test")
     parser.add_argument("--metric")
     parser.add_argument("--lookback", type=int)
     parser.add_argument("--lag", type=int)
@@ -49,17 +52,21 @@ def main(argv: list[str] | None = None, spark=None) -> None:
         p = config.get("learn.p") or read(args.lags or f"{args.data}/lags").agg(F.max("optimal_lag")).first()[0]
         if args.resume:
             try:
-                done = read(args.output)
+                done = read(f"{args.output}_status").where("error is null")
             except Exception as e:  # noqa: BLE001
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
                 done = None
         else:
             done = None
-        edges = workflow.learn_windows(read(f"{args.data}/series"), p, config, done)
-        edges.write.mode("append" if done is not None else "overwrite").parquet(args.output)
+        edges, status = workflow.learn_with_status(read(f"{args.data}/series"), p, config, done)
+        mode = "append" if done is not None else "overwrite"
+        edges.write.mode(mode).parquet(args.output)
+        status.write.mode(mode).parquet(f"{args.output}_status")  # last, so that a run that stops before is repeated
     elif args.step == "detect":
-        scores = workflow.score(read(args.golden), read(args.test), config)
+        runs = [read(path).withColumn("run_id", F.lit(k)) for k, path in enumerate(args.ensemble or [])]
+        runs = reduce(DataFrame.unionByName, runs) if runs else None
+        scores = workflow.score(read(args.golden), read(args.test) if runs is None else None, config, runs=runs, n_runs=len(args.ensemble or []))
         workflow.classify(scores, config).write.mode("overwrite").parquet(args.output)
     else:
         out = workflow.explain(read(args.test), read(args.golden), read(args.states), lag=config.get("detect.lag"))

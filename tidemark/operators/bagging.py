@@ -33,12 +33,14 @@ def stability(runs: DataFrame, d: int, least_runs=5, most_runs=20) -> DataFrame:
 
     Cells that no run has vary by 0, so they only enter the count; no dense grid is made.
     """
-    used = runs.where(F.col("run_id") < most_runs)
-    n = used.agg(F.countDistinct("run_id").alias("n"))
+    first = runs.select("run_id").distinct().orderBy("run_id").limit(most_runs)
+    used = runs.join(first, "run_id", "left_semi")
+    n = first.agg(F.count(F.lit(1)).alias("n"))
     cells = used.groupBy("run_id", "i", "j").agg(F.sum(F.abs("weight")).alias("w"))
-    sums = cells.groupBy("i", "j").agg(F.sum("w").alias("s"), F.sum(F.col("w") ** 2).alias("q")).crossJoin(F.broadcast(n))
-    var = F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2
-    return sums.agg(F.exp(-F.sum(var) / (d * d)).alias("stability"), F.max("n").alias("n_runs")).where(F.col("n_runs") >= least_runs)
+    there = cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("m"), F.avg("w").alias("mean"), F.var_pop("w").alias("v")).crossJoin(F.broadcast(n))
+    share = F.col("m") / F.col("n")
+    var = share * F.col("v") + share * (1 - share) * F.col("mean") ** 2  # the runs without the cell are zeros
+    return there.agg(F.exp(-F.sum(var) / (d * d)).alias("stability"), F.max("n").alias("n_runs")).where(F.col("n_runs") >= least_runs)
 
 
 def runs_of(windows: DataFrame, n_runs: int) -> DataFrame:

@@ -67,10 +67,9 @@ def sampled_ids(golden: DataFrame, every=10) -> DataFrame:
 def nearest_golden(test: DataFrame, golden: DataFrame, every=10) -> DataFrame:
     """Per test window the least Frobenius distance to every ``every``-th golden window.
 
-    |A - B|^2 = |A|^2 + |B|^2 - 2 <A, B>: only cells that both have are joined, the norms come from each side alone;
-    the sampled golden windows are few and their number doesn't depend on the test table.
+    |A - B|^2 = |A|^2 + |B|^2 - 2 <A, B>: only cells that both have are joined, the norms come from each side alone.
     """
-    g = golden.join(F.broadcast(sampled_ids(golden, every)), "window_idx", "left_semi").select(F.col("window_idx").alias("b"), "i", "j", F.col("weight").alias("y"))
+    g = golden.join(sampled_ids(golden, every), "window_idx", "left_semi").select(F.col("window_idx").alias("b"), "i", "j", F.col("weight").alias("y"))
     t = test.select(F.col("window_idx").alias("a"), "i", "j", F.col("weight").alias("x"))
     dot = t.join(g, ["i", "j"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     na, nb = t.groupBy("a").agg(F.sum(F.col("x") ** 2).alias("na")), g.groupBy("b").agg(F.sum(F.col("y") ** 2).alias("nb"))
@@ -95,7 +94,7 @@ def golden_sampled_mean(golden: DataFrame, most=200, zero_fill_ids: int | None =
     # floor(s (n-1) / (m-1)) = k for some s < m
     s = F.ceil(F.col("_k") * (m - 1) / F.greatest(F.lit(1), F.col("_n") - 1))
     ids = ids.withColumn("_m", m).where((s < m) & (F.floor(s * (F.col("_n") - 1) / F.greatest(F.lit(1), m - 1)) == F.col("_k")))
-    e = golden.join(F.broadcast(ids.select("window_idx", "_m")), "window_idx")
+    e = golden.join(ids.select("window_idx", "_m"), "window_idx")
     return e.groupBy("i", "j", "lag").agg((F.sum("weight") / F.max("_m")).alias("weight"))
 
 

@@ -157,12 +157,17 @@ def range_f1(scores: DataFrame, events: DataFrame, thresholds: DataFrame, size=2
 
 
 def event_f1(states: DataFrame, events: DataFrame, size=SIZE, stride=STRIDE) -> DataFrame:
-    """Events hit by an anomalous window that overlaps them, and anomalous windows that overlap an event: two semi-joins by id."""
-    odd = states.where(F.col("status") != NORMAL).select("window_idx")
+    """Events hit by an anomalous window that overlaps them, and anomalous windows that overlap an event. Windows are marked once, with one
+    join by id; events and windows then are one table that is summed."""
+    odd = states.select("window_idx", (F.col("status") != NORMAL).alias("odd"))
     near = event_windows(events, size, stride).select("event_id", "window_idx")
-    hits = near.join(odd, "window_idx", "left_semi").agg(F.countDistinct("event_id").alias("hits"))
-    true = odd.join(near, "window_idx", "left_semi").agg(F.count(F.lit(1)).alias("true"))
-    n = events.agg(F.count(F.lit(1)).alias("n_events")).crossJoin(odd.agg(F.count(F.lit(1)).alias("n_windows"))).crossJoin(hits).crossJoin(true)
+    marked = near.join(odd.where("odd"), "window_idx", "full").select("event_id", "window_idx", F.coalesce("odd", F.lit(False)).alias("odd"))
+    by_event = marked.where("event_id is not null").groupBy("event_id").agg(F.max("odd").alias("hit"))
+    by_window = marked.where("odd").groupBy("window_idx").agg((F.count("event_id") > 0).alias("true"))
+    rows = by_event.select(F.lit(0).alias("e"), F.lit(0).alias("w"), F.col("hit").cast("int").alias("h"), F.lit(0).alias("t"))
+    rows = rows.unionByName(by_window.select(F.lit(0).alias("e"), F.lit(1).alias("w"), F.lit(0).alias("h"), F.col("true").cast("int").alias("t")))
+    rows = rows.unionByName(events.select(F.lit(1).alias("e"), *[F.lit(0).alias(c) for c in "wht"]))
+    n = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("e", "n_events"), ("w", "n_windows"), ("h", "hits"), ("t", "true"))])
     n = n.withColumn("recall", ratio(F.col("hits"), F.col("n_events"))).withColumn("precision", ratio(F.col("true"), F.col("n_windows")))
     return n.withColumn("f1", f1_of(F.col("precision"), F.col("recall")))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 ORIGINS = ("unknown", "learned", "expert")
 
 
@@ -32,13 +34,13 @@ def reachable_labels(edges: DataFrame, rounds=30) -> DataFrame:
     Labels jump to their own label each round, so paths halve; a round is checkpointed so that the plan stays small.
     """
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    both = durable(both)
+    labels = durable(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
     for _ in range(rounds):
         near = both.join(labels.toDF("v", "l"), "v").groupBy("u").agg(F.min("l").alias("l"))
         new = labels.join(near.withColumnRenamed("u", "node"), "node", "left").withColumn("component2", F.least("component", F.coalesce("l", "component")))
         jump = labels.select(F.col("node").alias("component2"), F.col("component").alias("far"))
-        new = _cut(new.select("node", "component", "component2").join(jump, "component2", "left").select("node", "component", F.least("component2", F.coalesce("far", "component2")).alias("next")))
+        new = durable(new.select("node", "component", "component2").join(jump, "component2", "left").select("node", "component", F.least("component2", F.coalesce("far", "component2")).alias("next")))
         changed = new.where("component != next").limit(1).count()
         labels = new.select("node", F.col("next").alias("component"))
         if not changed:
@@ -46,15 +48,6 @@ def reachable_labels(edges: DataFrame, rounds=30) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint(eager=True)
-
-
 def largest_subgraph(edges: DataFrame) -> DataFrame:
     """Edges of the component that has most of them; of equals that with the least node."""
     labels = reachable_labels(edges)

@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import distance, learn, prep, windows
+from tidemark.session import durable
 
 N_RUNS, GOLDEN, MAX_LAG, ALARM = 5, 20, 2, 180.0
 _kept: dict[tuple, DataFrame] = {}
 
 
 def kept(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """One cached result per session and input."""
+    """One written result per session and input: what is built on it has a plan of its own length only."""
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
         if key not in _kept:
-            _kept[key] = make(spark, sf_dir).persist()
+            _kept[key] = durable(make(spark, sf_dir))
         return _kept[key]
 
     return get

@@ -86,7 +86,7 @@ query("provided_lags", f"select t.var variable, cast(coalesce(v.k, 1) as int) op
     lambda s, d: prep.provided_lags(values(s, LAGS, "variable string, optimal_lag int"), _variables(s, d))
 )
 query("override_lags", "select var variable, cast(5 as int) optimal_lag from types", "types")(lambda s, d: prep.override_lags(_variables(s, d)))
-query("lag_order", "select cast(10 as int) p")(lambda s, d: prep.lag_order(values(s, LAGS, "variable string, optimal_lag int")))
+query("lag_order", "select cast(max(length(var)) as int) p from types", "types")(lambda s, d: prep.lag_order(_variables(s, d).withColumn("optimal_lag", F.length("variable"))))
 query("validate_series", """
 select var, count(*) n, cast(sum(case when value is null then 1 else 0 end) as bigint) n_missing, cast(sum(case when back then 1 else 0 end) as bigint) n_unordered,
   count(*) > 0 and sum(case when value is null then 1 else 0 end) = 0 and sum(case when back then 1 else 0 end) = 0 valid
@@ -118,12 +118,12 @@ from series a join series b on b.t = a.t and b.var = 'view' join series a1 on a1
 query("finite", "select t, var, round(case when value is null or t % 3 = 0 or t % 5 = 0 then 0 else value end, 6) as value from raw", "raw")(
     lambda s, d: prep.finite(fx.raw(s, d).withColumn("value", F.when(F.col("t") % 3 == 0, F.lit(float("nan"))).when(F.col("t") % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))).select(*SV)
 )
-query("positional_split", "select t, case when k < floor(0.4 * n) then 'train' when k < floor(0.5 * n) then 'val' else 'test' end part from (select t, row_number() over (order by t) - 1 k, count(*) over () n from series where var = 'click')", "series")(
-    lambda s, d: prep.positional_split(fx.series(s, d).where("var = 'click'").select("t"), [("train", 0.4), ("val", 0.1), ("test", 0.5)])
+query("positional_split", "select t, case when k < floor(0.4 * n) then 'train' when k < floor(0.5 * n) then 'val' else 'test' end part from (select t, row_number() over (order by t) - 1 k, count(*) over () n from (select distinct t from series))", "series")(
+    lambda s, d: prep.positional_split(fx.series(s, d).select("t").distinct(), [("train", 0.4), ("val", 0.1), ("test", 0.5)])
 )
 query("contiguous_block", "select t, round(value, 6) as value from series where var = 'click' and t >= 100 and t < 150", "series")(lambda s, d: prep.contiguous_block(fx.series(s, d).where("var = 'click'"), 100, 50).select("t", "value"))
-query("k_fold")(lambda s, d: prep.k_fold(fx.series(s, d).where("var = 'click'").select("t"), 5))
-query("subsample")(lambda s, d: prep.subsample(fx.series(s, d).where("var = 'click'").select("t"), 50))
+query("k_fold")(lambda s, d: prep.k_fold(fx.series(s, d).select("t").distinct(), 5))
+query("subsample")(lambda s, d: prep.subsample(fx.series(s, d).select("t").distinct(), 50))
 
 
 @query("stationarity_tests")
@@ -160,8 +160,8 @@ def _ids(s, d):
 
 query("window_meta", "select window_idx, cast(window_idx * 10 as bigint) t_start, cast(window_idx * 10 + 99 as bigint) t_end, cast(window_idx * 10 + 50 as bigint) t_center from w", "w")(lambda s, d: windows.window_meta(_ids(s, d)))
 query("window_first_meta", "select window_idx, round(coalesce(arg_min(value, t), window_idx), 6) + 0.0 as value from windowed where var_idx = 0 group by 1", "windowed")(lambda s, d: windows.first_meta(fx.windowed(s, d).where("var_idx = 0"), "value"))
-query("window_of_point", "select t, cast((t - 5) // 10 as int) window_idx from series where var = 'click' and t >= 5", "series")(
-    lambda s, d: fx.series(s, d).where("var = 'click' and t >= 5").select("t", windows.window_of(F.col("t"), 5).alias("window_idx"))
+query("window_of_point", "select t, var, cast((t - 5) // 10 as int) window_idx from series where t >= 5", "series")(
+    lambda s, d: fx.series(s, d).where("t >= 5").select("t", "var", windows.window_of(F.col("t"), 5).alias("window_idx"))
 )
 query("window_span", "select cast(42 as bigint) overlap_start, cast(122 as bigint) overlap_end, cast(22 as bigint) union_start, cast(142 as bigint) union_end")(lambda s, d: windows.common_span(values(s, [(20,), (30,), (40,)], "start long"), lag=2))
 query("windows_with_point", "select p.t, w.window_idx from (select unnest([7, 250]) t) p join w on p.t >= w.window_idx * 10 and p.t < w.window_idx * 10 + 100", "w")(
@@ -212,10 +212,10 @@ query("weight_histogram", "select cast(least(floor(round((weight - lo) / 0.02, 9
     lambda s, d: learn.histogram(fx.edges(s, d))
 )
 query("weight_kde", """
-, p as (select min(weight) lo, max(weight) hi, stddev_samp(weight) * power(count(*), -0.2) h, count(*) n from golden where weight <> 0 and lag = 0),
+, p as (select min(weight) lo, max(weight) hi, stddev_samp(weight) * power(count(*), -0.2) h, count(*) n from edges where weight <> 0),
 g as (select k, lo + (hi - lo) * k / 99 x, h, n from p, unnest(range(0, 100)) u(k))
 select cast(g.k as int) k, round(g.x, 6) + 0.0 x, round(sum(exp(-power((g.x - e.weight) / g.h, 2) / 2)) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())), 6) density
-from g cross join (select weight from golden where weight <> 0 and lag = 0) e group by g.k, g.x""", "golden")(lambda s, d: learn.kde(fx.golden(s, d).where("lag = 0"), 100))
+from g cross join (select weight from edges where weight <> 0) e group by g.k, g.x""", "edges")(lambda s, d: learn.kde(fx.edges(s, d), 100))
 GRID = [(0.01, 0.01, 30), (0.01, 0.1, 9), (0.1, 0.01, 6), (0.1, 0.1, 2)]
 query("pick_lambdas", "select 0.01::double lambda_w, 0.1::double lambda_a, cast(9 as int) n_edges, 2.25::double as cost")(lambda s, d: learn.pick_lambdas(values(s, GRID, "lambda_w double, lambda_a double, n_edges int"), 5))
 query("model_settings", "select * from (values (10, 0.05::double, 0.1::double), (50, 0.01, 0.1), (200, 0.001, 0.1), (600, 0.0001, round(0.1 * sqrt(6.0), 6))) v(d, lr, lam)")(
@@ -232,7 +232,7 @@ def _calibration(s, d):
     import pandas as pd
 
     pairs = values(s, [(a, b) for a in (0.01, 0.05, 0.1, 0.5) for b in (0.01, 0.05, 0.1, 0.5)], "lambda_w double, lambda_a double")
-    sample = fx.prepared(s, d).where("t < 300").select("t", "var_idx", "value").crossJoin(F.broadcast(pairs))
+    sample = fx.prepared(s, d).select("t", "var_idx", "value").crossJoin(F.broadcast(pairs))
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.pivot(index="t", columns="var_idx", values="value").sort_index().to_numpy()
@@ -245,25 +245,27 @@ def _calibration(s, d):
 
 
 def _graph(s, d):
-    """Strong lagged edges of the first window as one graph over variable-lag nodes: node = 5 * lag + i for sources."""
-    e = fx.edges(s, d).where("window_idx = 0 and abs(weight) > 0.12")
-    return e.select((F.col("lag") * 5 + F.col("i")).alias("src"), F.col("j").alias("dst"), F.col("weight"), F.when(F.col("lag") == 0, "learned").otherwise("expert").alias("origin")).where("src != dst")
+    """Strong lagged edges of all windows as one graph over variable-lag nodes: node = 100 * window + 5 * lag + i for sources."""
+    e = fx.edges(s, d).where("abs(weight) > 0.12")
+    return e.select((F.col("window_idx") * 100 + F.col("lag") * 5 + F.col("i")).alias("src"), (F.col("window_idx") * 100 + F.col("j")).alias("dst"), F.col("weight"), F.when(F.col("lag") == 0, "learned").otherwise("expert").alias("origin")).where("src != dst")
 
 
-GRAPH = "graph as (select cast(lag * 5 + i as int) src, j dst, weight, case when lag = 0 then 'learned' else 'expert' end origin from edges where window_idx = 0 and abs(weight) > 0.12 and lag * 5 + i <> j)"
+GRAPH = "graph as (select cast(window_idx * 100 + lag * 5 + i as int) src, cast(window_idx * 100 + j as int) dst, weight, case when lag = 0 then 'learned' else 'expert' end origin from edges where abs(weight) > 0.12 and lag * 5 + i <> j)"
 G = "src, dst, round(weight, 6) + 0.0 weight, origin"
-query("graph_upsert", f", {GRAPH} select src, dst, round(case when src = 1 then 2 else weight end, 6) + 0.0 weight, case when src = 1 then 'expert' else origin end origin from graph", "edges")(
-    lambda s, d: graph.upsert_edges(_graph(s, d).withColumn("seq", F.lit(0)), _graph(s, d).where("src = 1").withColumns({"weight": F.lit(2.0), "origin": F.lit("expert"), "seq": F.lit(1)}))
+query("graph_upsert", f", {GRAPH} select src, dst, round(case when src % 100 = 1 then 2 else weight end, 6) + 0.0 weight, case when src % 100 = 1 then 'expert' else origin end origin from graph", "edges")(
+    lambda s, d: graph.upsert_edges(_graph(s, d).withColumn("seq", F.lit(0)), _graph(s, d).where("src % 100 = 1").withColumns({"weight": F.lit(2.0), "origin": F.lit("expert"), "seq": F.lit(1)}))
 )
 query("graph_with_origin", f", {GRAPH} select {G} from graph where origin = 'expert'", "edges")(lambda s, d: graph.edges_with_origin(_graph(s, d), "expert"))
 query("graph_remove_below", f", {GRAPH} select {G} from graph where abs(weight) >= 0.15", "edges")(lambda s, d: graph.remove_below(_graph(s, d), 0.15))
 REACH = "both_ as (select src u, dst v from sparse_ union select dst, src from sparse_), reach(u, v) as (select u, u from both_ union select r.u, b.v from reach r join both_ b on b.u = r.v), label as (select u node, min(v) component from reach group by 1)"
-SPARSE = "sparse_ as (select * from (select cast(lag * 10 + i + 5 * (window_idx % 2) as int) src, cast(j + 5 * (window_idx % 2) as int) dst, max(weight) weight from edges where window_idx < 4 and abs(weight) > 0.2 group by 1, 2) where src <> dst)"
+SPARSE = "sparse_ as (select * from (select cast(window_idx // 4 * 100 + lag * 10 + i + 5 * (window_idx % 2) as int) src, cast(window_idx // 4 * 100 + j + 5 * (window_idx % 2) as int) dst, max(weight) weight from edges where abs(weight) > 0.2 group by 1, 2) where src <> dst)"
 
 
 def _sparse_graph(s, d):
-    e = fx.edges(s, d).where("window_idx < 4 and abs(weight) > 0.2")
-    e = e.select((F.col("lag") * 10 + F.col("i") + 5 * (F.col("window_idx") % 2)).alias("src"), (F.col("j") + 5 * (F.col("window_idx") % 2)).alias("dst"), "weight")
+    """Strong edges of all windows; each four windows share their nodes, two by two."""
+    e = fx.edges(s, d).where("abs(weight) > 0.2")
+    of = (F.floor(F.col("window_idx") / 4) * 100 + 5 * (F.col("window_idx") % 2)).cast("int")
+    e = e.select((of + F.col("lag") * 10 + F.col("i")).alias("src"), (of + F.col("j")).alias("dst"), "weight")
     return e.groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("src != dst")
 
 
@@ -274,22 +276,22 @@ _head = "with recursive " + with_tables("", "edges").strip().removeprefix("with
 ORACLE_SQL["graph_components"] = _head + "select cast(node as int) node, cast(component as int) component from label"
 ORACLE_SQL["largest_wcc"] = _head + "select src, dst, round(weight, 6) + 0.0 weight from sparse_ join label on node = src where component = (select component from sparse_ join label on node = src group by 1 order by count(*) desc, component limit 1)"
 ORACLE_SQL["target_subgraph"] = _head + "select src, dst, round(weight, 6) + 0.0 weight from sparse_ join label on node = src where component = (select component from label where node = (select min(dst) from sparse_))"
-query("markov_blanket", f", {GRAPH}, mb as (select 1 node union select src from graph where dst = 1 union select dst from graph where src = 1 union select g.src from graph g join graph c on c.src = 1 and g.dst = c.dst) select {G} from graph where src in (select node from mb) and dst in (select node from mb) and exists (select 1 from graph where src = 1 or dst = 1)", "edges")(
-    lambda s, d: graph.markov_blanket(_graph(s, d), [1])
+query("markov_blanket", f", {GRAPH}, q as (select unnest([1, 201, 302]) n), mb as (select src node from graph where src in (select n from q) or dst in (select n from q) union select dst from graph where src in (select n from q) or dst in (select n from q) union select g.src from graph g join graph c on c.src in (select n from q) and g.dst = c.dst) select {G} from graph where src in (select node from mb) and dst in (select node from mb)", "edges")(
+    lambda s, d: graph.markov_blanket(_graph(s, d), [1, 201, 302])
 )
 query("dag_edges")(lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 0 and abs(weight) > 0.05")))
 query("graph_recovery", """
-, p as (select distinct i, j from edges where window_idx = 1 and lag = 0 and abs(weight) > 0.1), t as (select distinct i, j from edges where window_idx = 2 and lag = 0 and weight > 0),
+, p as (select window_idx * 10 + i i, j from edges where lag = 0 and abs(weight) > 0.1), t as (select window_idx * 10 + i i, j from edges where lag = 1 and weight > 0),
 c as (select count(*) filter (p.i is not null and t.i is not null) tp, count(*) filter (t.i is null) fp, count(*) filter (p.i is null) fn from p full join t on p.i = t.i and p.j = t.j)
 select tp, fp, fn, fp + fn shd, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) recall, round(case when tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) f1 from c""", "edges")(
-    lambda s, d: graph.recovery(*[fx.edges(s, d).where(f"window_idx = {k} and lag = 0").select(F.col("i").alias("src"), F.col("j").alias("dst"), "weight") for k in (1, 2)], eps=0.1)
+    lambda s, d: graph.recovery(*[fx.edges(s, d).where(f"lag = {k}").select((F.col("window_idx") * 10 + F.col("i")).alias("src"), F.col("j").alias("dst"), "weight") for k in (0, 1)], eps=0.1)
 )
 query("causal_paths", """
-, e as (select i s, j t, abs(weight) w from edges where window_idx = 0 and lag = 0 and i <> j), p1 as (select [s, t] path, w score, s head from e where t = 2),
+, e as (select i s, j t, abs(avg(weight)) w from edges where lag = 0 and i <> j group by all), p1 as (select [s, t] path, w score, s head from e where t = 2),
 p2 as (select list_prepend(e.s, p1.path) path, score + w score, e.s head from p1 join e on e.t = p1.head where not list_contains(path, e.s)),
 p3 as (select list_prepend(e.s, p2.path) path, score + w score, e.s head from p2 join e on e.t = p2.head where not list_contains(path, e.s))
 select path, round(score, 6) score, cast(rank as int) rank from (select path, score, row_number() over (order by round(score, 9) desc, path) rank from (select array_to_string(path, '>') path, score from (select * from p1 union all select * from p2 union all select * from p3))) where rank <= 5""", "edges")(
-    lambda s, d: graph.causal_paths(fx.edges(s, d).where("window_idx = 0 and lag = 0").select(F.col("i").alias("src"), F.col("j").alias("dst"), "weight"), 2)
+    lambda s, d: graph.causal_paths(fx.edges(s, d).where("lag = 0").groupBy(F.col("i").alias("src"), F.col("j").alias("dst")).agg(F.avg("weight").alias("weight")), 2)
 )
 
 # ensembles -----------------------------------------------------------------------------------------------------------
@@ -432,8 +434,8 @@ query("vote_k_of_metrics", """
 select window_idx, cast((abs_score > a)::int + (change_score > c)::int + (abs_trend > t)::int as int) votes, (abs_score > a)::int + (change_score > c)::int + (abs_trend > t)::int >= 2 is_anomaly from scores cross join l""", "scores")(
     lambda s, d: detect.vote_of_metrics(fx.scores(s, d), ["abs_score", "change_score", "abs_trend"], fx.scores(s, d).where("window_idx < 20"), 2, 0.5).select("window_idx", "votes", "is_anomaly")
 )
-query("label_taxonomy", "select * from (values ('point', 'spike'), ('contextual', 'drift,level_shift,trend_change,amplitude_change'), ('other', '')) v(class, types)")(
-    lambda s, d: detect.type_of_class(values(s, [("point",), ("contextual",), ("other",)], "class string")).select("class", F.array_join("types", ",").alias("types"))
+query("label_taxonomy", "select event_id, case when event_type = 'error' then 'spike' when event_type = 'view' then 'drift,level_shift,trend_change,amplitude_change' else '' end types from events")(
+    lambda s, d: detect.type_of_class(fx.events(s, d).select("event_id", F.when(F.col("event_type") == "error", "point").when(F.col("event_type") == "view", "contextual").otherwise("other").alias("class"))).select("event_id", F.array_join("types", ",").alias("types"))
 )
 
 # root causes ---------------------------------------------------------------------------------------------------------
@@ -473,7 +475,11 @@ def _roots(s, d):
 query("rca_top1_accuracy", """
 , p as (select window_idx, cast(split_part(top_dims, ',', 1) as int) root from "top"), h as (select p.window_idx, max(list_contains(n.dims, p.root + 1)::int) hit from p join near n using (window_idx) group by 1)
 select count(*) n, cast(sum(hit) as bigint) correct, round(avg(hit), 6) accuracy from h""", "top", "near")(lambda s, d: rca.top1_accuracy(_roots(s, d), fx.labelled(s, d)))
-query("rca_macro_accuracy", "select round(12 / 30, 6) global_accuracy, round((0.2 + 0.5) / 2, 6)::double macro_accuracy")(lambda s, d: rca.macro_accuracy(values(s, [("a", 10, 2), ("b", 20, 10)], "entity string, n int, correct int")))
+query("rca_macro_accuracy", """
+, e as (select cast(window_idx % 7 as varchar) entity, count(*) n, count(*) filter (status <> 'NORMAL') correct from states group by 1)
+select round(sum(correct) / sum(n), 6) global_accuracy, round(avg(correct / n), 6) macro_accuracy from e""", "states")(
+    lambda s, d: rca.macro_accuracy(_states(s, d).groupBy((F.col("window_idx") % 7).cast("string").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != detect.NORMAL).alias("correct")))
+)
 query("counterfactual")(lambda s, d: rca.counterfactual(fx.windowed(s, d), fx.edges(s, d).withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
 
 # evaluation ----------------------------------------------------------------------------------------------------------
@@ -544,20 +550,16 @@ select *, round(case when n_events > 0 then hits / n_events else 0 end, 6) recal
 query("truth_mask", "select distinct window_idx from near where window_idx < 40", "near")(lambda s, d: evaluate.truth_mask(fx.labelled(s, d), 40))
 query("detected_runs", """
 , od as (select window_idx, window_idx - row_number() over (order by window_idx) g from states where status <> 'NORMAL')
-select min(window_idx) as "first", max(window_idx) as "last", bool_or(window_idx in (select window_idx from near where event_id % 7 = 0)) is_true from od group by g""", "states", "near")(
-    lambda s, d: evaluate.detected_runs(_states(s, d), evaluate.truth_mask(fx.labelled(s, d).where("event_id % 7 = 0"), 10_000))
+select min(window_idx) as "first", max(window_idx) as "last", bool_or(window_idx in (select window_idx from near)) is_true from od group by g""", "states", "near")(
+    lambda s, d: evaluate.detected_runs(_states(s, d), evaluate.truth_mask(fx.labelled(s, d), 10_000))
 )
-query("missed_events", "select event_id, start from labelled where event_id not in (select event_id from near where window_idx in (select window_idx from states where status <> 'NORMAL' and window_idx % 8 = 0))", "near", "states")(
-    lambda s, d: evaluate.missed_events(_states(s, d).where("window_idx % 8 = 0"), fx.labelled(s, d)).select("event_id", "start")
+query("missed_events", "select event_id, start from labelled where event_id not in (select event_id from near where window_idx in (select window_idx from states where status = 'NEW_ANOMALY_ONSET'))", "near", "states")(
+    lambda s, d: evaluate.missed_events(_states(s, d).withColumn("status", F.when(F.col("status") == detect.ONSET, detect.ONSET).otherwise(detect.NORMAL)), fx.labelled(s, d)).select("event_id", "start")
 )
 
 
-def _few(s, d):
-    return fx.labelled(s, d).where("event_id % 9 = 0")
-
-
-SWEEP = f"""{STH}, few as (select * from labelled where event_id % 9 = 0), tr as (select distinct window_idx from near where event_id % 9 = 0),
-rg as (select event_id, greatest(0, cast(trunc((start - 100) / 10) as bigint)) lo, cast(trunc(stop / 10) as bigint) + 1 hi from few),
+SWEEP = f"""{STH}, tr as (select distinct window_idx from near),
+rg as (select event_id, greatest(0, cast(trunc((start - 100) / 10) as bigint)) lo, cast(trunc(stop / 10) as bigint) + 1 hi from labelled),
 hi as (select threshold, sum(hit) hits, count(*) n from (select sth.threshold, rg.event_id, max(case when s.abs_score > sth.threshold then 1 else 0 end) hit from sth cross join rg left join scores s on s.window_idx between rg.lo and rg.hi group by all) group by 1),
 od as (select sth.threshold, s.window_idx, s.window_idx - row_number() over (partition by sth.threshold order by s.window_idx) g from sth join scores s on s.abs_score > sth.threshold),
 fr as (select threshold, count(*) filter (not t) false_runs from (select threshold, g, bool_or(window_idx in (select window_idx from tr)) t from od group by 1, 2) group by 1),
@@ -566,7 +568,7 @@ sf as (select *, case when precision + recall > 0 then 2 * precision * recall /
 
 
 def _sweep(s, d):
-    return evaluate.event_sweep(fx.scores(s, d), _few(s, d), _thresholds(s, d), 10_000)
+    return evaluate.event_sweep(fx.scores(s, d), fx.labelled(s, d), _thresholds(s, d), 10_000)
 
 
 SWEPT = "round(threshold, 6) threshold, hits, false_runs, round(precision, 6) precision, round(recall, 6) recall, round(f1, 6) f1"
@@ -586,44 +588,53 @@ select event_id, round(precision, 6) precision, round(recall, 6) recall, round(c
 )
 query("macro_average", "select count(*) n, round(avg(abs_score), 6) abs_score, round(avg(change_score), 6) change_score from scores", "scores")(lambda s, d: evaluate.macro(fx.scores(s, d), "abs_score", "change_score"))
 query("describe_scores", "select round(avg(abs_score), 6) abs_score_mean, round(min(abs_score), 6) abs_score_min, round(max(abs_score), 6) abs_score_max from scores", "scores")(lambda s, d: evaluate.described(fx.scores(s, d), "abs_score"))
-query("missing_entities", "select * from (values ('a', 0.5::double, 'ok'), ('b', 0.0, 'missing'), ('c', 0.0, 'ok')) v(entity, f1, status)")(
-    lambda s, d: evaluate.with_missing(values(s, [("a",), ("b",), ("c",)], "entity string"), values(s, [("a", 0.5), ("c", None)], "entity string, f1 double"), "f1")
+query("missing_entities", "select w.window_idx entity, round(case when s.status = 'NEW_ANOMALY_ONSET' then 0 else coalesce(s.abs_score, 0) end, 6) f1, case when s.window_idx is null then 'missing' else 'ok' end status from w left join (select * from states where status <> 'NORMAL') s on s.window_idx = w.window_idx", "w", "states")(
+    lambda s, d: evaluate.with_missing(_ids(s, d).withColumnRenamed("window_idx", "entity"), _states(s, d).where("status != 'NORMAL'").select(F.col("window_idx").alias("entity"), F.when(F.col("status") != detect.ONSET, F.col("abs_score")).alias("f1")), "f1")
 )
-query("mean_ci", "select var, count(*) n, round(avg(value), 6) + 0.0 mean, round(stddev_samp(value), 6) std, round(avg(value) - 2.093 * stddev_samp(value) / sqrt(20), 6) + 0.0 ci_low, round(avg(value) + 2.093 * stddev_samp(value) / sqrt(20), 6) + 0.0 ci_high from prepared where t < 20 group by 1", "prepared")(
-    lambda s, d: evaluate.mean_ci(fx.prepared(s, d).where("t < 20"), "value", ["var"])
+query("mean_ci", "select var, count(*) n, round(avg(value), 6) + 0.0 mean, round(stddev_samp(value), 6) std, round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(*)), 6) + 0.0 ci_low, round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(*)), 6) + 0.0 ci_high from prepared group by 1", "prepared")(
+    lambda s, d: evaluate.mean_ci(fx.prepared(s, d), "value", ["var"])
 )
 query("paired_t", "select count(*) n, round(avg(abs_score - change_score), 6) mean_diff, round(avg(abs_score - change_score) / (stddev_samp(abs_score - change_score) / sqrt(count(*))), 6) t from scores", "scores")(lambda s, d: evaluate.paired_t(fx.scores(s, d), "abs_score", "change_score"))
 query("convergence", "select count(*) n, round(stddev_samp(w), 6) std, stddev_samp(w) < 1.0 converged from (select run_id, avg(abs(weight)) w from runs group by 1)", "runs")(
     lambda s, d: evaluate.converged(fx.runs(s, d).groupBy("run_id").agg(F.avg(F.abs("weight")).alias("loss")), "loss", 1.0)
 )
-CURVE_POINTS = [(100, 0.7), (400, 0.86), (1600, 0.92)]
-query("sample_complexity", f"select round(sum((1 - f) / sqrt(n)) / sum(1.0 / n), 6) c from {sql_rows(CURVE_POINTS, 'n, f')}")(lambda s, d: evaluate.sample_complexity(values(s, CURVE_POINTS, "n int, mean_f1 double")))
+query("sample_complexity", "select round(sum((1 - f) / sqrt(n)) / sum(1.0 / n), 6) c from (select window_idx + 1 n, avg(abs(weight)) f from edges group by 1)", "edges")(
+    lambda s, d: evaluate.sample_complexity(evaluate.by_size(fx.edges(s, d).select((F.col("window_idx") + 1).alias("n"), F.abs("weight").alias("f1"))))
+)
 query("by_size", "select window_idx n, round(avg(abs(weight)), 6) mean_f1, round(stddev_pop(abs(weight)), 6) std_f1, count(*) seeds from edges group by 1", "edges")(lambda s, d: evaluate.by_size(fx.edges(s, d).select(F.col("window_idx").alias("n"), F.abs("weight").alias("f1"))))
 query("parameter_grid", "select * from (select unnest([0.1::double, 0.2]) a) cross join (select unnest([1::int, 2, 3]) b) cross join (select unnest(['x', 'y']) c)")(lambda s, d: evaluate.grid(s, a=[0.1, 0.2], b=[1, 2, 3], c=["x", "y"]))
 query("random_search")(lambda s, d: evaluate.grid(s, 5, a=[0.1, 0.2], b=[1, 2, 3], c=["x", "y"]))
-query("runtime_projection", "select round(36.0 * 100 / 3600, 6)::double as hours")(lambda s, d: s.range(1).select(evaluate.runtime_projection(F.lit(36.0)).alias("hours")))
+query("runtime_projection", "select window_idx, round(abs_score * 100 / 3600, 6) as hours from scores", "scores")(lambda s, d: fx.scores(s, d).select("window_idx", evaluate.runtime_projection(F.col("abs_score")).alias("hours")))
 query("ablation_variants", f"select * from {sql_rows([(a['variant'],) for a in evaluate.ABLATIONS], 'variant')}")(lambda s, d: values(s, [(a["variant"],) for a in evaluate.ABLATIONS], "variant string"))
 
 # text formats --------------------------------------------------------------------------------------------------------
 
-LINES = ["15849-16368:1,9,10", "16963-17517: 2, 3", "no colon", "1-2:3:4", "5-9:38"]
-query("parse_interval_labels", "select * from (values (15849::bigint, 16368::bigint, '1,9,10'), (16963, 17517, '2,3'), (5, 9, '38')) v(start, \"end\", dims)")(
-    lambda s, d: values(s, [(x,) for x in LINES], "line string").select(X.interval_label(F.col("line")).alias("x")).where("x is not null").select("x.start", "x.end", F.array_join(F.transform("x.dims", lambda k: k.cast("string")), ",").alias("dims"))
+
+
+def _interval_lines():
+    """A label line for each event; every third is malformed: without a colon, or with two."""
+    i, u = F.col("event_id"), F.col("user_id")
+    line = F.concat(i.cast("string"), F.lit("-"), (i + u).cast("string"), F.lit(":"), (i % 38 + 1).cast("string"), F.lit(", "), (u % 38 + 1).cast("string"))
+    return F.when(i % 6 == 0, F.replace(line, F.lit(":"), F.lit(" "))).when(i % 6 == 3, F.concat(line, F.lit(":4"))).otherwise(line)
+
+
+query("parse_interval_labels", "select event_id start, event_id + user_id as \"end\", event_id % 38 + 1 || ',' || user_id % 38 + 1 dims from events where event_id % 3 > 0")(
+    lambda s, d: fx.events(s, d).select(_interval_lines().alias("line")).select(X.interval_label(F.col("line")).alias("x")).where("x is not null").select("x.start", "x.end", F.array_join(F.transform("x.dims", lambda k: k.cast("string")), ",").alias("dims"))
 )
-query("parse_nested_list", "select * from (values ('a', 1::bigint, 5::bigint), ('a', 9, 12), ('b', 3, 4)) v(id, start, \"end\")")(
-    lambda s, d: values(s, [("a", "[[1, 5], [9, 12]]"), ("b", "[[3,4]]")], "id string, x string").select("id", F.explode(X.nested_list(F.col("x"))).alias("p")).select("id", "p.*")
+query("parse_nested_list", "select event_id id, unnest([event_id, user_id]) start, unnest([event_id + 5, user_id + 1]) as \"end\" from events")(
+    lambda s, d: fx.events(s, d).select(F.col("event_id").alias("id"), F.format_string("[[%d, %d], [%d,%d]]", "event_id", F.col("event_id") + 5, "user_id", F.col("user_id") + 1).alias("x")).select("id", F.explode(X.nested_list(F.col("x"))).alias("p")).select("id", "p.*")
 )
-query("parse_bare_list", "select * from (values ('a', 'point,contextual'), ('b', 'point'), ('c', '')) v(id, classes)")(
-    lambda s, d: values(s, [("a", "[point, contextual]"), ("b", "['point']"), ("c", "[]")], "id string, x string").select("id", F.array_join(X.bare_list(F.col("x")), ",").alias("classes"))
+query("parse_bare_list", "select event_id id, case when event_id % 3 = 0 then '' when event_id % 3 = 1 then event_type else event_type || ',contextual' end classes from events")(
+    lambda s, d: fx.events(s, d).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "[]").when(F.col("event_id") % 3 == 1, F.concat(F.lit("['"), "event_type", F.lit("']"))).otherwise(F.concat(F.lit("["), "event_type", F.lit(", contextual]"))).alias("x")).select("id", F.array_join(X.bare_list(F.col("x")), ",").alias("classes"))
 )
-query("parse_report", "select * from (values (12::int, 0.75::double, 3::int, 14::int)) v(window_idx, score, root, effect)")(
-    lambda s, d: values(s, [("12 | 0.7500 | Var_3 | Var_14 | Var_3 -> Var_14 (+0.1)",), ("window | score | root | effect | edge",), ("----",)], "x string").select(X.report_row(F.col("x")).alias("r")).where("r is not null").select("r.*")
+query("parse_report", "select window_idx, round(abs_score, 4) score, cast(window_idx % 7 as int) root, cast(window_idx % 5 as int) effect from scores where window_idx % 4 > 0", "scores")(
+    lambda s, d: fx.scores(s, d).select(F.when(F.col("window_idx") % 4 == 0, "window | score | root | effect | edge").otherwise(F.format_string("%d | %.4f | Var_%d | Var_%d | Var_1 -> Var_2 (+0.1)", "window_idx", F.round("abs_score", 4), F.col("window_idx") % 7, F.col("window_idx") % 5)).alias("x")).select(X.report_row(F.col("x")).alias("r")).where("r is not null").select("r.*")
 )
-query("json_field", "select event_id, cast(json_extract_string(props, '$.k') as varchar) k, 'none' missing from events where event_id < 50")(
-    lambda s, d: fx.events(s, d).where("event_id < 50").select("event_id", X.json_field(F.col("props"), "absent // k").alias("k"), X.json_field(F.col("props"), "absent", "none").alias("missing"))
+query("json_field", "select event_id, cast(json_extract_string(props, '$.k') as varchar) k, 'none' missing from events")(
+    lambda s, d: fx.events(s, d).select("event_id", X.json_field(F.col("props"), "absent // k").alias("k"), X.json_field(F.col("props"), "absent", "none").alias("missing"))
 )
-query("json_lambda", "select 0.3::double lambda_w, 0.1::double lambda_a")(lambda s, d: s.range(1).select(X.json_lambda(F.lit('{"lambda_w": 0.3}'), "lambda_w").alias("lambda_w"), X.json_lambda(F.lit('{"lambda_w": 0.3}'), "lambda_a").alias("lambda_a")))
-query("run_of_path", "select cast(12 as int) run_id")(lambda s, d: s.range(1).select(X.window_of_path(F.lit("file:/x/run_012/weights/weights_enhanced.csv")).alias("run_id")))
+query("json_lambda", "select event_id, coalesce(cast(json_extract_string(props, '$.k') as double), 0.1) lambda_w, 0.1::double lambda_a from events")(lambda s, d: fx.events(s, d).select("event_id", X.json_lambda(F.col("props"), "k").alias("lambda_w"), X.json_lambda(F.col("props"), "lambda_a").alias("lambda_a")))
+query("run_of_path", "select event_id, cast(event_id % 1000 as int) run_id from events")(lambda s, d: fx.events(s, d).select("event_id", X.window_of_path(F.format_string("file:/x/run_%03d/weights/weights_enhanced.csv", F.col("event_id") % 1000)).alias("run_id")))
 query("last_window", "select max(window_idx) last_window from edges", "edges")(lambda s, d: fx.edges(s, d).agg(F.max("window_idx").alias("last_window")))
 
 # a second series, from sales, and the whole way ----------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.functions import kernels, stats
 from tidemark.operators import bagging, detect, distance, learn, prep, rca, windows
+from tidemark.session import durable
 
 
 def prepare(series: DataFrame, config: Config | None = None, filter_stationary=True) -> tuple[DataFrame, DataFrame]:
@@ -43,17 +44,24 @@ def kernel(config: Config, p: int):
     raise ValueError(f"unknown estimator {name!r}: ridge, linear, tucker")
 
 
-def learn_windows(prepared: DataFrame, p: int, config: Config | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Edges of every window, those of windows that are done left out, thresholded window by window; failed windows have no edges."""
+def learn_with_status(prepared: DataFrame, p: int, config: Config | None = None, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges of every window, those of windows that are done left out, thresholded window by window; and (window_idx, error, n_edges) of each
+    window that was tried, failed ones and those without edges too, which is what a later run goes on from."""
     c = config or Config()
     w = windows.sliding(prepared.select("t", "var_idx", "value"), c.get("windows.size"), c.get("windows.stride"))
+    ids = w.select("window_idx").distinct()
     most = c.get("windows.max_windows")
     if done is not None or most:
-        ids = w.select("window_idx").distinct()
         ids = windows.not_done(ids, done if done is not None else ids.limit(0), most or None)
-        w = w.join(F.broadcast(ids), "window_idx", "left_semi")
-    edges = learn.fit_windows(w, kernel(c, p)).where("error is null").drop("error")
-    return learn.two_means_threshold(edges)
+        w = w.join(ids, "window_idx", "left_semi")
+    fits = durable(learn.fit_windows(w, kernel(c, p)))
+    edges = learn.two_means_threshold(fits.where("error is null").drop("error"))
+    found = fits.groupBy("window_idx").agg(F.max("error").alias("error"), F.count_if(F.col("error").isNull()).alias("n_edges"))
+    return edges, ids.join(found, "window_idx", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+
+
+def learn_windows(prepared: DataFrame, p: int, config: Config | None = None, done: DataFrame | None = None) -> DataFrame:
+    return learn_with_status(prepared, p, config, done)[0]
 
 
 def score(golden: DataFrame, test: DataFrame, config: Config | None = None, nearest=True, runs: DataFrame | None = None, n_runs: int = 0) -> DataFrame:
