@@ -133,3 +133,55 @@ def test_queries_cover_every_window(spark, name):
     of = lambda df: {r[0] for r in df.select("window_idx").distinct().collect()}
     source = fx.edges(spark, sf).where("lag = 0 and abs(weight) > 0.05") if name == "dag_edges" else fx.windowed(spark, sf)
     assert of(registry.QUERIES[name](spark, sf)) == of(source)
+
+
+def runs_in(rows):
+    """Brute force: (entity, first, last) of runs of consecutive positive places."""
+    out = []
+    for e, t in sorted((r[0], r[1]) for r in rows if r[2] == 1):
+        if out and out[-1][0] == e and out[-1][2] == t - 1:
+            out[-1][2] = t
+        else:
+            out.append([e, t, t])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("span", [1, 3, 7, 1 << 20])
+def test_runs_over_the_ends_of_ranges(spark, span):
+    rng = np.random.default_rng(span)
+    rows = [(e, t, int(rng.random() < 0.7), float(rng.integers(0, 9))) for e in ("a", "b", "c") for t in range(60)] + [("d", t, 1, 1.0) for t in range(30)]
+    p = spark.createDataFrame(rows, "entity string, t long, label int, score double").repartition(5)
+    want = runs_in(rows)
+    assert sorted(map(tuple, evaluate.segments(p, by=["entity"], span=span).select("entity", "start", "end").collect())) == want
+    ids = evaluate.segment_ids(p, ["entity"], span).collect()
+    assert len(ids) == len(rows) and all((r.segment is None) == (r.label == 0) for r in ids)
+    number = {(e, t): k for k, (e, a, b) in enumerate(want) for t in range(a, b + 1)}
+    pairs = {(number[r.entity, r.t], r.entity, r.segment) for r in ids if r.label}
+    assert len(pairs) == len(want) == len({x[1:] for x in pairs})
+    one = evaluate.segment_ids(p.where("entity = 'a'").drop("entity"), span=span)
+    assert one.where("label = 1").select("segment").distinct().count() == sum(x[0] == "a" for x in want)
+
+
+def test_evaluators_by_entity_give_what_each_entity_gives_alone(spark):
+    rng = np.random.default_rng(3)
+    rows = [(e, t, int(rng.random() < 0.3), float(rng.integers(0, 12))) for e in ("a", "b", "c") for t in range(80)]
+    p = spark.createDataFrame(rows, "entity string, t long, label int, score double")
+    runs = (
+        lambda d, by: evaluate.auc_pr(d.drop("t"), by), lambda d, by: evaluate.average_precision(d.drop("t"), by), lambda d, by: evaluate.max_f1(d.drop("t"), by=by),
+        lambda d, by: evaluate.pr_curve(d.drop("t"), by), lambda d, by: evaluate.best_adjusted(d, 10, by), lambda d, by: evaluate.adjusted_latency(d, 6.0, by),
+    )
+    for run in runs:
+        got = run(p, ["entity"]).collect()
+        for e in ("a", "b", "c"):
+            alone = run(p.where(f"entity = '{e}'").drop("entity"), ())
+            mine = sorted(tuple(r[c] for c in alone.columns) for r in got if r["entity"] == e)
+            assert len(mine) and all(x == pytest.approx(y) for x, y in zip(mine, sorted(map(tuple, alone.collect())), strict=True))
+
+
+def test_detected_runs_and_null_scores(spark):
+    s = spark.createDataFrame([(0, "x"), (1, "x"), (2, "NORMAL"), (3, "x"), (5, "x")], "window_idx int, status string")
+    truth = spark.createDataFrame([(1,), (2,)], "window_idx int")
+    assert sorted(map(tuple, evaluate.detected_runs(s, truth).collect())) == [(0, 1, True), (3, 3, False), (5, 5, False)]
+    nulls = spark.createDataFrame([(0, None, 0.0, 0.0), (1, 0.01, 0.0, 0.0)], "window_idx int, abs_score double, change_score double, abs_trend double")
+    assert [r.status for r in detect.adaptive_states(nulls).orderBy("window_idx").collect()] == [detect.CASCADE, detect.NORMAL]
+    assert detect.adaptive_states(nulls.limit(0)).count() == 0

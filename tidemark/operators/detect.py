@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of the states, and the thresholds before there is a history.
 NORMAL, ONSET, RECOVERY, CASCADE = "NORMAL", "NEW_ANOMALY_ONSET", "RECOVERY_FLUCTUATION", "CASCADE_OR_PERSISTENT"
 FIXED = (0.05, 0.15, 0.1)
 HISTORY, LEAST_HISTORY, SIGMAS, TREND_SHARE = 100, 5, 3.0, 0.2
+KINDS = (pa.string(), pa.float64(), pa.float64(), pa.float64())
 
 
 def state(score: Column, change: Column, trend: Column, t_normal: Column, t_change: Column, t_trend: Column, at_threshold=CASCADE) -> Column:
@@ -38,47 +41,16 @@ def static_states(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     return s.withColumn("status", state(F.col("abs_score"), F.col("change_score"), F.col("abs_trend"), F.col("threshold_normal"), F.col("threshold_change"), F.col("threshold_trend"), NORMAL))
 
 
-def adaptive_states(scores: DataFrame, by: Sequence[str] = (), sigmas=SIGMAS) -> DataFrame:
-    """In the order of windows: thresholds are mean + sigmas x std of the last HISTORY windows that were classified normal,
-    fixed ones before there are LEAST_HISTORY.
-
-    A state depends on those before it, so an entity's windows are folded in one row (a few thousand of them); entities are
-    independent of one another.
-    """
-    keys = list(by) or ["_one"]
-    rows = scores if by else scores.withColumn("_one", F.lit(0))
-    item = F.struct("window_idx", "abs_score", "change_score", "abs_trend")
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_x"))
-    mean = lambda a: f"aggregate({a}, 0D, (s, v) -> s + v) / size({a})"
-    level = lambda a, fixed: (  # noqa: E731  of the history a
-        f"CASE WHEN size({a}) >= {LEAST_HISTORY} THEN element_at(transform(array({mean(a)}), m -> m + {sigmas}D * sqrt(aggregate({a}, 0D, (s, v) -> s + (v - m) * (v - m)) / size({a}))), 1) ELSE {fixed}D END"
-    )
-    kept = lambda a, v: f"slice(concat({a}, array({v})), greatest(1, size({a}) + 2 - {HISTORY}), {HISTORY})"
-    out_type = "array<struct<window_idx:int,abs_score:double,change_score:double,abs_trend:double,status:string,threshold_normal:double,threshold_change:double,threshold_trend:double>>"
-    step = f"""
-      element_at(transform(array(named_struct('n', {level('acc.a', FIXED[0])}, 'c', {level('acc.c', FIXED[1])}, 't', size(acc.a) >= {LEAST_HISTORY})), h ->
-        element_at(transform(array(named_struct('t', CASE WHEN h.t THEN h.n * {TREND_SHARE}D ELSE {FIXED[2]}D END)), g ->
-          named_struct(
-            'a', CASE WHEN x.abs_score < h.n THEN {kept('acc.a', 'x.abs_score')} ELSE acc.a END,
-            'c', CASE WHEN x.abs_score < h.n THEN {kept('acc.c', 'x.change_score')} ELSE acc.c END,
-            'out', concat(acc.out, array(named_struct('window_idx', x.window_idx, 'abs_score', x.abs_score, 'change_score', x.change_score, 'abs_trend', x.abs_trend,
-              'status', CASE WHEN x.abs_score < h.n THEN '{NORMAL}' WHEN x.change_score > h.c AND x.abs_trend > g.t THEN '{ONSET}' WHEN x.change_score > h.c AND x.abs_trend < -g.t THEN '{RECOVERY}' ELSE '{CASCADE}' END,
-              'threshold_normal', h.n, 'threshold_change', h.c, 'threshold_trend', g.t))))), 1)), 1)"""
-    start = f"named_struct('a', cast(array() as array<double>), 'c', cast(array() as array<double>), 'out', cast(array() as {out_type}))"
-    fold = F.expr(f"aggregate(_x, {start}, (acc, x) -> {step}).out")
-    return folded.select(*keys, F.explode(fold).alias("_o")).select(*by, "_o.*")
-
-
 class AdaptiveState:
-    """The same state machine, one window at a time; what the streaming operator and tests use."""
+    """The state machine of one entity, one window at a time, for tables and streams."""
 
-    def __init__(self, a: Sequence[float] = (), c: Sequence[float] = ()):
-        self.a, self.c = list(a), list(c)
+    def __init__(self, a: Sequence[float] = (), c: Sequence[float] = (), sigmas=SIGMAS):
+        self.a, self.c, self.sigmas = list(a), list(c), sigmas
 
     def step(self, score: float, change: float, trend: float) -> tuple[str, float, float, float]:
         n, c, t = FIXED
         if len(self.a) >= LEAST_HISTORY:
-            n, c = (m + SIGMAS * (sum((v - m) ** 2 for v in h) / len(h)) ** 0.5 for h in (self.a, self.c) for m in [sum(h) / len(h)])
+            n, c = (m + self.sigmas * (sum((v - m) ** 2 for v in h) / len(h)) ** 0.5 for h in (self.a, self.c) for m in [sum(h) / len(h)])
             t = n * TREND_SHARE
         if score < n:
             self.a, self.c = [*self.a, score][-HISTORY:], [*self.c, change][-HISTORY:]
@@ -87,6 +59,37 @@ class AdaptiveState:
         return status, n, c, t
 
 
+SCORES = ("abs_score", "change_score", "abs_trend")
+THRESHOLDS = ("threshold_normal", "threshold_change", "threshold_trend")
+
+
+def adaptive_states(scores: DataFrame, by: Sequence[str] = (), sigmas=SIGMAS) -> DataFrame:
+    """In the order of windows: thresholds are mean + sigmas x std of the last HISTORY windows that were classified normal,
+    fixed ones before there are LEAST_HISTORY.
+
+    A state depends on those before it, so an entity's windows stay together and are sorted; they are read in batches, and of
+    an entity only its history is held. Entities are independent of one another; without ``by`` there is one.
+    """
+    n, by = len(by), list(by)
+
+    def fold(batches):
+        entity, machine = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True)) if n else [()] * batch.num_rows
+            out = []
+            for key, *row in zip(keys, *(batch.column(n + 1 + k).fill_null(float("nan")).to_pylist() for k in range(len(SCORES))), strict=True):
+                if machine is None or key != entity:
+                    entity, machine = key, AdaptiveState(sigmas=sigmas)
+                out.append(machine.step(*row))
+            added = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), KINDS, strict=True)] if out else [pa.array([], kind) for kind in KINDS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "status", *THRESHOLDS])
+
+    rows = scores.select(*by, "window_idx", *[F.col(c).cast("double").alias(c) for c in SCORES])
+    rows = rows.repartition(*by) if by else rows.repartition(1)
+    schema = T.StructType([*rows.schema, T.StructField("status", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in THRESHOLDS]])
+    return rows.sortWithinPartitions(*by, "window_idx").mapInArrow(fold, schema)
+
+
 def status_histogram(states: DataFrame) -> DataFrame:
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return states.groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(whole))

@@ -26,18 +26,40 @@ def window_labels(points: DataFrame, size=SIZE, stride=STRIDE) -> DataFrame:
     return sliding(points, size, stride).groupBy("window_idx").agg(F.max("label").cast("int").alias("label"))
 
 
-def segments(points: DataFrame, t="t") -> DataFrame:
-    """Runs of positive points, both ends included."""
-    on = points.where("label = 1").withColumn("_g", F.col(t) - F.row_number().over(Window.orderBy(t)))
-    return on.groupBy("_g").agg(F.min(t).alias("start"), F.max(t).alias("end")).drop("_g")
-
-
-def segment_ids(points: DataFrame) -> DataFrame:
-    """Adds ``segment``: a number for each run of positive points, null outside."""
-    w = Window.orderBy("t")
-    begins = F.when((F.col("label") == 1) & (F.coalesce(F.lag("label").over(w), F.lit(0)) == 0), 1).otherwise(0)
-    ids = points.withColumn("_b", begins).withColumn("_s", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ids.withColumn("segment", F.when(F.col("label") == 1, F.col("_s"))).drop("_b", "_s")
+#: Places of t that are looked at together when runs are sought.
+SPAN = 1 << 20
+
+
+def segments(points: DataFrame, t="t", by: Sequence[str] = (), span=SPAN) -> DataFrame:
+    """Runs of positive points, both ends included, per entity. Runs are found range by range; only those that touch the end of a
+    range, at most two of each, are then put together."""
+    c = F.floor(F.col(t) / span)
+    inside = Window.partitionBy(*by, "_c").orderBy(t)
+    on = points.where("label = 1").withColumn("_c", c).withColumn("_g", F.col(t) - F.row_number().over(inside))
+    runs = on.groupBy(*by, "_c", "_g").agg(F.min(t).alias("start"), F.max(t).alias("end")).drop("_c", "_g")
+    touches = (F.pmod("start", F.lit(span)) == 0) | (F.pmod(F.col("end") + 1, F.lit(span)) == 0)
+    w = Window.partitionBy(*by).orderBy("start")
+    new = F.coalesce((F.lag("end").over(w) + 1 != F.col("start")).cast("int"), F.lit(1))
+    joined = runs.where(touches).withColumn("_n", new).withColumn("_s", F.sum("_n").over(w)).groupBy(*by, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.where(~touches).unionByName(joined.drop("_s"))
+
+
+def segment_ids(points: DataFrame, by: Sequence[str] = (), span=SPAN) -> DataFrame:
+    """Adds ``segment``: a number for each run of positive points of an entity, null outside. Runs are numbered range by range; a
+    range adds the runs before it, less one if its first run began in the range before."""
+    on = F.coalesce(F.col("label") == 1, F.lit(False)).cast("int")
+    w = Window.partitionBy(*by, "_c").orderBy("t")
+    rows = points.withColumn("_c", F.coalesce(F.floor(F.col("t") / span), F.lit(-(2**62)))).withColumn("_l", on)
+    rows = rows.withColumn("_b", F.greatest(F.col("_l") - F.coalesce(F.lag("_l").over(w), F.lit(0)), F.lit(0)))
+    rows = rows.withColumn("_s", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*by, "_c").agg(F.sum("_b").alias("_n"), F.min_by("_l", F.struct("t", "_s")).alias("_first"), F.max_by("_l", F.struct("t", "_s")).alias("_last"))
+    order = Window.partitionBy(*by).orderBy("_c")
+    ends = ends.withColumn("_j", F.col("_first") * F.coalesce(F.lag("_last").over(order), F.lit(0)))
+    base = F.sum(F.col("_n") - F.col("_j")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, "_c"])], base.alias("_base"))
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate([*by, "_c"])]
+    segment = F.when(F.col("_l") == 1, F.col("_s") + F.col("_base")).alias("segment")
+    return rows.join(ends, same).select(*points.columns, segment)
 
 
 def dense_scores(scores: DataFrame, n: int) -> DataFrame:
@@ -62,37 +84,46 @@ def window_confusion(states: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("accuracy", ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
 
 
-def pr_curve(rows: DataFrame) -> DataFrame:
-    """(score, label) -> per distinct score, downwards: tp, fp, precision, recall. Rows are summed by score before they are ranked."""
-    by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    out = by.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all", F.sum("p").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return out.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), ratio(F.col("tp"), F.col("all")).alias("recall"))
+def pr_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(score, label) -> per distinct score, downwards: tp, fp, precision, recall. Rows are summed by score before they are ranked,
+    each entity's scores for themselves."""
+    summed = rows.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = summed.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w)).withColumn("all", F.sum("p").over(whole))
+    return out.select(*by, "score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), ratio(F.col("tp"), F.col("all")).alias("recall"))
 
 
-def auc_pr(rows: DataFrame) -> DataFrame:
+def auc_pr(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Trapezoids under the precision-recall curve, from recall 0 at precision 1 on."""
-    w = Window.orderBy(F.desc("score"))
+    w = Window.partitionBy(*by).orderBy(F.desc("score"))
     r0, p0 = F.coalesce(F.lag("recall").over(w), F.lit(0.0)), F.coalesce(F.lag("precision").over(w), F.lit(1.0))
-    area = pr_curve(rows).select(((F.col("recall") - r0) * (F.col("precision") + p0) / 2).alias("a"))
-    return area.agg(F.sum("a").alias("auc_pr"))
+    area = pr_curve(rows, by).select(*by, ((F.col("recall") - r0) * (F.col("precision") + p0) / 2).alias("_a"))
+    return area.groupBy(*by).agg(F.sum("_a").alias("auc_pr"))
+
+
+def average_precision(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    r0 = F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy(F.desc("score"))), F.lit(0.0))
+    return pr_curve(rows, by).select(*by, ((F.col("recall") - r0) * F.col("precision")).alias("_a")).groupBy(*by).agg(F.sum("_a").alias("average_precision"))
 
 
-def average_precision(rows: DataFrame) -> DataFrame:
-    r0 = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return pr_curve(rows).select(((F.col("recall") - r0) * F.col("precision")).alias("a")).agg(F.sum("a").alias("average_precision"))
+def best_of(rows: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
+    """The first row of each entity, or of all."""
+    if not by:
+        return rows.orderBy(*order).limit(1)
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def max_f1(rows: DataFrame, eps=1e-8) -> DataFrame:
+def max_f1(rows: DataFrame, eps=1e-8, by: Sequence[str] = ()) -> DataFrame:
     """Best F1 of the curve and its score; of equals the highest score."""
     p, r = F.col("precision"), F.col("recall")
-    return pr_curve(rows).withColumn("f1", 2 * p * r / (p + r + eps)).orderBy(F.desc(F.round("f1", 9)), F.desc("score")).limit(1)
+    return best_of(pr_curve(rows, by).withColumn("f1", 2 * p * r / (p + r + eps)), by, F.desc(F.round("f1", 9)), F.desc("score"))
 
 
-def linear_thresholds(scores: DataFrame, n=100, column="score") -> DataFrame:
-    span = scores.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+def linear_thresholds(scores: DataFrame, n=100, column="score", by: Sequence[str] = ()) -> DataFrame:
+    span = scores.groupBy(*by).agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
     rows = span.withColumn("k", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))))
-    return rows.select("k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (n - 1)).alias("threshold"))
+    return rows.select(*by, "k", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / (n - 1)).alias("threshold"))
 
 
 def percentile_thresholds(scores: DataFrame, low: float, high: float, n: int, column="score") -> DataFrame:
@@ -100,37 +131,38 @@ def percentile_thresholds(scores: DataFrame, low: float, high: float, n: int, co
     return scores.agg(F.percentile(column, F.array(*map(F.lit, share))).alias("a")).select(F.explode("a").alias("threshold")).distinct()
 
 
-def adjusted(points: DataFrame, thresholds: DataFrame, strict=False) -> DataFrame:
+def adjusted(points: DataFrame, thresholds: DataFrame, strict=False, by: Sequence[str] = ()) -> DataFrame:
     """points (t, score, label) x thresholds -> tp, fp, fn after point adjustment: a segment that is hit once is hit throughout.
 
-    Points are first summed by segment: a threshold needs of one only its highest score and its length.
+    Points are first summed by segment: a threshold needs of one only its highest score and its length. With ``by``, an entity
+    has its own thresholds, found by its keys (null keys have none).
     """
     hit = (lambda s: s > F.col("threshold")) if strict else (lambda s: s >= F.col("threshold"))
-    ids = segment_ids(points)
-    seg = ids.where("segment is not null").groupBy("segment").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    rest = ids.where("segment is null").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    rows = seg.select("score", "n", F.lit(1).alias("label")).unionByName(rest.select("score", "n", F.lit(0).alias("label")))
-    c = rows.crossJoin(F.broadcast(thresholds)).groupBy(*thresholds.columns)
+    ids = segment_ids(points, by)
+    seg = ids.where("segment is not null").groupBy(*by, "segment").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    rest = ids.where("segment is null").groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"))
+    rows = seg.select(*by, "score", "n", F.lit(1).alias("label")).unionByName(rest.select(*by, "score", "n", F.lit(0).alias("label")))
+    c = (rows.join(thresholds, list(by)) if by else rows.crossJoin(thresholds)).groupBy(*thresholds.columns)
     on, yes = hit(F.col("score")), F.col("label") == 1
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     return scored(c.agg(n(on & yes).alias("tp"), n(on & ~yes).alias("fp"), n(~on & yes).alias("fn")))
 
 
-def best_adjusted(points: DataFrame, n=100) -> DataFrame:
+def best_adjusted(points: DataFrame, n=100, by: Sequence[str] = ()) -> DataFrame:
     """Best F1 over even thresholds, the first of equals; all 0 if none is above 0."""
-    return adjusted(points, linear_thresholds(points, n)).orderBy(F.desc(F.round("f1", 9)), "threshold").limit(1)
+    return best_of(adjusted(points, linear_thresholds(points, n, by=by), by=by), by, F.desc(F.round("f1", 9)), F.col("threshold"))
 
 
-def adjusted_latency(points: DataFrame, threshold: float) -> DataFrame:
+def adjusted_latency(points: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """Adjustment from a segment's first hit on, backwards too but for the point at 0; the mean of points filled in backwards."""
-    ids = segment_ids(points).withColumn("pred", F.col("score") > threshold)
-    seg = Window.partitionBy("segment")
+    ids = segment_ids(points, by).withColumn("pred", F.col("score") > threshold)
+    seg = Window.partitionBy(*by, "segment")
     first = F.min(F.when(F.col("pred") & F.col("segment").isNotNull(), F.col("t"))).over(seg)
     rows = ids.withColumn("_f", F.when(F.col("segment").isNotNull(), first)).withColumn("_s", F.min("t").over(seg))
     back = F.col("_f").isNotNull() & (F.col("t") < F.col("_f")) & (F.col("t") > 0)
     after = F.col("_f").isNotNull() & (F.col("t") >= F.col("_f"))
     rows = rows.withColumn("adjusted", F.col("pred") | after | back).withColumn("_late", (back & ~F.col("pred")).cast("int"))
-    c = rows.agg(*confusion(F.col("adjusted"), F.col("label") == 1)[:3], F.sum("_late").alias("_l"), F.countDistinct(F.when(F.col("_f").isNotNull(), F.col("segment"))).alias("_n"))
+    c = rows.groupBy(*by).agg(*confusion(F.col("adjusted"), F.col("label") == 1)[:3], F.sum("_late").alias("_l"), F.countDistinct(F.when(F.col("_f").isNotNull(), F.col("segment"))).alias("_n"))
     return scored(c).withColumn("latency", F.col("_l") / (F.col("_n") + 1e-4)).drop("_l", "_n")
 
 
@@ -176,11 +208,13 @@ def truth_mask(events: DataFrame, n_windows: int, size=SIZE, stride=STRIDE) -> D
     return event_windows(events, size, stride).where(F.col("window_idx") < n_windows).select("window_idx").distinct()
 
 
-def detected_runs(states: DataFrame, truth: DataFrame) -> DataFrame:
-    """Runs of consecutive anomalous windows, and whether any of them is true."""
-    odd = states.where(F.col("status") != NORMAL).select("window_idx").withColumn("_g", F.col("window_idx") - F.row_number().over(Window.orderBy("window_idx")))
-    odd = odd.join(truth.withColumn("_t", F.lit(1)), "window_idx", "left")
-    return odd.groupBy("_g").agg(F.min("window_idx").alias("first"), F.max("window_idx").alias("last"), (F.max("_t").isNotNull()).alias("is_true")).drop("_g")
+def detected_runs(states: DataFrame, truth: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Runs of consecutive anomalous windows, and whether any of them is true. A run is found as a segment of window ids."""
+    odd = states.where(F.col("status") != NORMAL).select(*by, "window_idx", F.lit(1).alias("label"))
+    runs = segments(odd, "window_idx", by).withColumnsRenamed({"start": "first", "end": "last"})
+    marks = runs.select(*by, "first", F.explode(F.sequence("first", "last")).alias("window_idx"))
+    true = marks.join(truth, [*by, "window_idx"], "left_semi").select(*by, "first").distinct().withColumn("is_true", F.lit(True))
+    return runs.join(true, [*by, "first"], "left").select(*by, "first", "last", F.coalesce("is_true", F.lit(False)).alias("is_true"))
 
 
 def missed_events(states: DataFrame, events: DataFrame, size=SIZE, stride=STRIDE) -> DataFrame:
