@@ -73,7 +73,7 @@ def nearest_golden(test: DataFrame, golden: DataFrame, every=10) -> DataFrame:
     t = test.select(F.col("window_idx").alias("a"), "i", "j", F.col("weight").alias("x"))
     dot = t.join(g, ["i", "j"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     na, nb = t.groupBy("a").agg(F.sum(F.col("x") ** 2).alias("na")), g.groupBy("b").agg(F.sum(F.col("y") ** 2).alias("nb"))
-    pairs = na.crossJoin(F.broadcast(nb)).join(dot, ["a", "b"], "left")
+    pairs = na.crossJoin(nb).join(dot, ["a", "b"], "left")
     square = F.greatest(F.lit(0.0), F.col("na") + F.col("nb") - 2 * F.coalesce("dot", F.lit(0.0)))
     best = pairs.withColumn("_d", square).groupBy("a").agg(F.min_by("b", F.struct("_d", "b")).alias("b"))
     return frobenius(pair_cells(best, test, golden), best).select(F.col("a").alias("window_idx"), F.col("b").alias("nearest"), F.col("distance").alias("abs_score"))

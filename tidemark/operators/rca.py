@@ -18,7 +18,7 @@ def root_effect(test: DataFrame, baseline: DataFrame, windows: DataFrame, lag=0)
     """Per window: the source whose outgoing edges changed most, the target whose incoming did, and the edge that did, with its
     signed change. Of equals the lowest id."""
     t = test.where(F.col("lag") == lag).join(windows.select("window_idx").distinct(), "window_idx", "left_semi").select("window_idx", "i", "j", F.col("weight").alias("x"), F.lit(0.0).alias("y"))
-    b = baseline.select("i", "j", F.lit(0.0).alias("x"), F.col("weight").alias("y")).crossJoin(F.broadcast(windows.select("window_idx").distinct()))
+    b = baseline.select("i", "j", F.lit(0.0).alias("x"), F.col("weight").alias("y")).crossJoin(windows.select("window_idx").distinct())
     d = t.unionByName(b.select("window_idx", "i", "j", "x", "y")).groupBy("window_idx", "i", "j").agg((F.sum("x") - F.sum("y")).alias("delta"))
     size = F.round(F.abs("delta"), 12)
     out = d.groupBy("window_idx", "i").agg(F.round(F.sum(size), 9).alias("s")).groupBy("window_idx").agg(F.min_by("i", F.struct(-F.col("s"), "i")).alias("root"))
@@ -90,7 +90,7 @@ def counterfactual(series: DataFrame, edges: DataFrame, replaced: DataFrame, d:
 
     rows = series.select("window_idx", "t", F.col("var_idx").alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("lag"), "value")
     own = edges.where("lag > 0").select("window_idx", F.lit(-1).cast("long").alias("t"), "i", "j", "lag", F.col("weight").alias("value"))
-    base = replaced.select("i", "j", F.col("weight").alias("value")).crossJoin(F.broadcast(series.select("window_idx").distinct()))
+    base = replaced.select("i", "j", F.col("weight").alias("value")).crossJoin(series.select("window_idx").distinct())
     base = base.select("window_idx", F.lit(-1).cast("long").alias("t"), "i", "j", F.lit(0).alias("lag"), "value")
 
     def simulate(key, rows: pd.DataFrame) -> pd.DataFrame:

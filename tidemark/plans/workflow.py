@@ -74,7 +74,7 @@ def score(golden: DataFrame, test: DataFrame, config: Config | None = None, near
         absolute = distance.nearest_golden(t, g, c.get("detect.golden_sample")).drop("nearest")
     elif nearest:
         ids = distance.sampled_ids(g, c.get("detect.golden_sample")).select(F.col("window_idx").alias("b"))
-        pairs = t.select(F.col("window_idx").alias("a")).distinct().crossJoin(F.broadcast(ids))
+        pairs = t.select(F.col("window_idx").alias("a")).distinct().crossJoin(ids)
         far = distance.distance(distance.pair_cells(pairs, t, g), c.get("detect.metric"))
         absolute = far.groupBy(F.col("a").alias("window_idx")).agg(F.min("distance").alias("abs_score"))
     else:
