@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from tidemark.operators import bagging, detect, distance, evaluate, graph, learn
 from tidemark.plans import fixtures as fx
 from tidemark.plans import workflow
 from tidemark.plans.fixtures import with_tables
+from tidemark.session import shared_folder
+from tidemark.sources import npy, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,7 +31,9 @@ def query(name: str, sql: str | None = None, *needs: str):
     def register(make):
         QUERIES[name] = lambda spark, sf_dir: rounded(make(spark, sf_dir))
         if sql is not None and name not in ORACLE_SQL:
-            ORACLE_SQL[name] = re.sub(r"\bprecision\b", '"precision"', with_tables(sql, *needs))  # a reserved word
+            text = with_tables(sql, *needs)
+            text = text.replace("with ", "with recursive ", 1) if re.search(r"^(walk|sq)\(", text, re.M) else text
+            ORACLE_SQL[name] = re.sub(r"\bprecision\b", '"precision"', text)  # a reserved word
         return make
 
     return register
@@ -279,7 +284,15 @@ ORACLE_SQL["target_subgraph"] = _head + "select src, dst, round(weight, 6) + 0.0
 query("markov_blanket", f", {GRAPH}, q as (select unnest([1, 201, 302]) n), mb as (select src node from graph where src in (select n from q) or dst in (select n from q) union select dst from graph where src in (select n from q) or dst in (select n from q) union select g.src from graph g join graph c on c.src in (select n from q) and g.dst = c.dst) select {G} from graph where src in (select node from mb) and dst in (select node from mb)", "edges")(
     lambda s, d: graph.markov_blanket(_graph(s, d), [1, 201, 302])
 )
-query("dag_edges")(lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 0 and abs(weight) > 0.05")))
+query("dag_edges", """
+, e as (select *, row_number() over (partition by window_idx order by abs(weight) desc, i desc, j desc) k from (select window_idx, i, j, lag, round(weight, 9) weight from edges where lag = 1 and i <> j)),
+walk(window_idx, u, v, k, n) as (
+  select window_idx, i, j, k, 1 from e union
+  select w.window_idx, w.u, e.j, greatest(w.k, e.k), n + 1 from walk w join e on e.window_idx = w.window_idx and e.i = w.v where n < 5),
+cycle as (select window_idx, min(k) first from walk where u = v group by 1)
+select e.window_idx, i, j, lag, round(weight, 6) + 0.0 weight from e left join cycle using (window_idx) where first is null or k < first""", "edges")(
+    lambda s, d: graph.to_dag(fx.edges(s, d).where("lag = 1 and i <> j").withColumn("weight", F.round("weight", 9)))
+)
 query("graph_recovery", """
 , p as (select window_idx * 10 + i i, j from edges where lag = 0 and abs(weight) > 0.1), t as (select window_idx * 10 + i i, j from edges where lag = 1 and weight > 0),
 c as (select count(*) filter (p.i is not null and t.i is not null) tp, count(*) filter (t.i is null) fp, count(*) filter (p.i is null) fn from p full join t on p.i = t.i and p.j = t.j)
@@ -336,7 +349,21 @@ query("matrix_slice", "select window_idx, i, j, round(arg_max(weight, lag), 6) +
 )
 query("frobenius", f", {CELLS} select a, b, round(sqrt(sum(power(x - y, 2))), 6) distance from cells group by all", "prev")(lambda s, d: distance.distance(_cells(s, d), "frobenius"))
 query("weighted_edge", f", {CELLS} select a, b, round(sqrt(sum(power(x - y, 2))), 6) distance from cells where abs(x) > 0.1 or abs(y) > 0.1 group by all", "prev")(lambda s, d: distance.weighted_edges(_cells(s, d), 0.1))
-query("spectral")(lambda s, d: distance.distance(_cells(s, d), "spectral"))
+def spectral_sql(cells: str) -> str:
+    """norms(a, b, distance): greatest singular values of x - y. M = D'D is divided by its trace and squared, again and again; what was
+    divided by adds up, halved at each step, to the logarithm of its greatest eigenvalue."""
+    return f"""
+m0 as (select p.a, p.b, p.j r, q.j c, sum((p.x - p.y) * (q.x - q.y)) v from {cells} p join {cells} q on q.a = p.a and q.b = p.b and q.i = p.i group by all),
+sq(k, a, b, r, c, v, t, log_) as (
+  select 0, a, b, r, c, v, sum(case when r = c then v else 0 end) over (partition by a, b), 0.0::double from m0
+  union all
+  select k + 1, a, b, r, c, v, sum(case when r = c then v else 0 end) over (partition by a, b), log_ from (
+    select x.k, x.a, x.b, x.r, y.c, sum(x.v / x.t * y.v / x.t) v, any_value(x.log_ + ln(x.t) / power(2, x.k)) log_
+    from sq x join sq y on y.a = x.a and y.b = x.b and y.r = x.c where x.k < 30 and x.t > 0 group by x.k, x.a, x.b, x.r, y.c)),
+norms as (select a, b, coalesce(exp(max(log_) filter (k = 30) / 2), 0) distance from sq group by 1, 2)"""
+
+
+query("spectral", f", {CELLS}, {spectral_sql('cells')} select a, b, round(distance, 6) distance from norms", "prev")(lambda s, d: distance.distance(_cells(s, d), "spectral"))
 query("structural_hamming", f", {CELLS} select a, b, count(*) filter ((abs(x) > 0.1) <> (abs(y) > 0.1)) shd, round(max(abs(x - y)), 6) max_edge_change from cells group by all", "prev")(lambda s, d: distance.structural_hamming(_cells(s, d), 0.1))
 query("nn_abs_score", """
 , d as (select t.window_idx, g.window_idx nearest, sqrt(sum(power(t.weight - g.weight, 2))) dist from (select * from test where lag = 0) t join (select * from golden where lag = 0 and window_idx % 10 = 0) g on g.i = t.i and g.j = t.j group by all)
@@ -370,7 +397,14 @@ def _shifted(s, d):
 
 SHIFT = "g as (select window_idx + 20 window_idx, lag, i, j, weight from golden), jd as (select t.window_idx, t.lag, t.i, t.j, t.weight, g.weight golden, abs(t.weight - g.weight) diff from test t join g using (window_idx, lag, i, j)), st as (select window_idx, avg(diff) mean_diff, max(diff) max_diff, stddev_samp(diff) std_diff, count(*) n_edges, count(*) filter (diff > 0.1) n_large from jd group by 1)"
 query("edge_diff_stats", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff, round(max_diff, 6) max_diff, round(std_diff, 6) std_diff, n_edges, n_large from st", "golden", "test")(lambda s, d: distance.edge_difference_stats(*_shifted(s, d)))
-query("pairwise_summary")(lambda s, d: workflow.pairwise(_shifted(s, d)[1], _shifted(s, d)[0]))
+query("pairwise_summary", f"""
+, pc as (select t.window_idx a, t.window_idx b, t.i, t.j, t.weight x, coalesce(g.weight, 0) y from (select * from test where lag = 0) t left join (select window_idx + 20 window_idx, i, j, weight from golden where lag = 0) g using (window_idx, i, j)
+  union all select g.window_idx, g.window_idx, g.i, g.j, 0, g.weight from (select window_idx + 20 window_idx, i, j, weight from golden where lag = 0) g where exists (select 1 from test t where t.lag = 0 and t.window_idx = g.window_idx)
+    and not exists (select 1 from test t where t.lag = 0 and t.window_idx = g.window_idx and t.i = g.i and t.j = g.j)),
+{spectral_sql('pc')},
+f as (select a, b, sqrt(sum(power(x - y, 2))) frobenius, count(*) filter ((abs(x) > 0.01) <> (abs(y) > 0.01)) structural_hamming, max(abs(x - y)) max_edge_change from pc group by 1, 2)
+select a window_idx, round(frobenius, 6) frobenius, structural_hamming, round(distance, 6) spectral, round(max_edge_change, 6) max_edge_change, round((frobenius + distance + max_edge_change) / 3, 6) ensemble_score
+from f join norms using (a, b)""", "test", "golden")(lambda s, d: workflow.pairwise(_shifted(s, d)[1], _shifted(s, d)[0]))
 query("top_windows", f", {SHIFT} select window_idx, round(mean_diff, 6) mean_diff from st order by st.mean_diff desc, window_idx limit 5", "golden", "test")(lambda s, d: distance.top_windows(distance.edge_difference_stats(*_shifted(s, d)), 5).select("window_idx", "mean_diff"))
 query("top_edges", f", {SHIFT} select window_idx, i, j, lag, round(diff, 6) diff, cast(rank as int) rank, round(weight / (abs(golden) + 1e-10), 3) + 0.0 ratio from (select *, row_number() over (partition by window_idx order by round(diff, 9) desc, lag, i, j) rank from jd) where rank <= 5", "golden", "test")(
     lambda s, d: distance.top_edges(*_shifted(s, d)).select("window_idx", "i", "j", "lag", "diff", "rank", F.round("ratio", 3).alias("ratio"))
@@ -637,6 +671,73 @@ query("json_lambda", "select event_id, coalesce(cast(json_extract_string(props,
 query("run_of_path", "select event_id, cast(event_id % 1000 as int) run_id from events")(lambda s, d: fx.events(s, d).select("event_id", X.window_of_path(F.format_string("file:/x/run_%03d/weights/weights_enhanced.csv", F.col("event_id") % 1000)).alias("run_id")))
 query("last_window", "select max(window_idx) last_window from edges", "edges")(lambda s, d: fx.edges(s, d).agg(F.max("window_idx").alias("last_window")))
 
+# tables that went through files ---------------------------------------------------------------------------------------
+
+
+def _wide(s, d):
+    return readers.to_wide(fx.series(s, d), [r.var for r in fx.series(s, d).select("var").distinct().orderBy("var").collect()])
+
+
+def _file(s, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _through_csv(s, d):
+    path = _file(s, "wide")
+    _wide(s, d).withColumnRenamed("t", "index").write.option("header", True).csv(path)
+    return readers.to_long(readers.wide_csv(s, path))
+
+
+def _through_npy(s, d):
+    path, wide = _file(s, "series") + ".npy", _wide(s, d)
+    npy.save_npy(wide, wide.columns[1:], path)
+    s.dataSource.register(npy.NpyDataSource)
+    return s.read.format("npy").option("rowsPerPartition", 500).load(path)
+
+
+def _through_text(s, d):
+    path, wide = _file(s, "headerless"), _wide(s, d)
+    # one file, whose order is that of the rows
+    wide.coalesce(1).sortWithinPartitions("t").drop("t").write.csv(path)
+    read = readers.with_time(readers.headerless_csv(s, path, len(wide.columns) - 1), "pos")
+    return read.select("t", *[F.col(c).cast("double").alias(c) for c in read.columns if c.startswith("dim_")])
+
+
+def _through_edges(s, d):
+    path = _file(s, "edges")
+    fx.edges(s, d).select("window_idx", "i", "j", "lag", "weight").write.option("header", True).csv(path)
+    return readers.edges_csv(s, path, fx.GOLDEN, 2 * fx.GOLDEN)
+
+
+def _through_runs(s, d):
+    path = _file(s, "runs")
+    for k in range(fx.N_RUNS):
+        fx.runs(s, d).where(F.col("run_id") == k).select("window_idx", "i", "j", "lag", "weight").write.option("header", True).csv(f"{path}/run_{k:03d}/weights/weights_enhanced.csv")
+    return readers.edge_runs(s, f"{path}/*/weights/weights_enhanced.csv", ("run_003",))
+
+
+def _through_labels(s, d):
+    path = _file(s, "labels")
+    fx.points(s, d).coalesce(1).sortWithinPartitions("t").select(F.col("label").cast("string")).write.text(path)
+    return readers.point_labels(s, path)
+
+
+def _resumed(s, d):
+    path, edges = _file(s, "resumed"), fx.edges(s, d).select("window_idx", "i", "j", "lag", "weight")
+    readers.append_new(edges.where(F.col("window_idx") % 3 != 1), path)
+    readers.append_new(edges, path)
+    return s.read.parquet(path).groupBy("window_idx").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("weight"))
+
+
+LONG = "select t, var, var_idx, round(value, 6) as value from series"
+query("wide_csv_series", LONG, "series")(_through_csv)
+query("npy_series", LONG, "series")(_through_npy)
+query("headerless_series", "select t, " + ", ".join(f"round(cast(cast(max(value) filter (var_idx = {k}) as float) as double), 6) dim_{k}" for k in range(5)) + " from series group by 1", "series")(_through_text)
+query("edges_csv_range", "select window_idx, i, j, lag, round(weight, 6) + 0.0 weight from edges where window_idx >= 20 and window_idx < 40", "edges")(_through_edges)
+query("edge_runs_glob", "select window_idx, i, j, lag, round(weight, 6) + 0.0 weight, run_id from runs where run_id <> 3", "runs")(_through_runs)
+query("point_labels_file", "select row_number() over (order by t) - 1 t, cast(label as int) label from points", "points")(_through_labels)
+query("append_resumed", "select window_idx, count(*) n_edges, round(sum(weight), 6) + 0.0 weight from edges group by 1", "edges")(_resumed)
+
 # a second series, from sales, and the whole way ----------------------------------------------------------------------
 
 query("sales_detrended", """

@@ -24,13 +24,19 @@ def session(app="tidemark", master: str | None = None, **settings) -> SparkSessi
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the session's checkpoint folder: plans built on them are short, and a lost executor costs no more than
-    its own tasks. A cluster must name a folder that all its machines see; a local session makes one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A cluster must name a folder that all its machines see; a local session makes one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the session's checkpoint folder: plans built on them are short, and a lost executor costs no more than
+    its own tasks."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

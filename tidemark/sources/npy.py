@@ -9,8 +9,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.session import durable
+
 
 class NpyDataSource(DataSource):
     @classmethod
@@ -47,12 +51,33 @@ class NpyReader(DataSourceReader):
                 yield (t, names[k], k, float(v))
 
 
-def save_npy(wide, names: list[str], path: str) -> None:
-    """Writes a table of t and the named columns as a matrix in the order of t, with its side-car. One file, for other tools."""
-    rows = wide.select("t", *names).orderBy("t").toPandas()
-    np.save(path, rows[names].to_numpy())
+def save_npy(wide: DataFrame, names: list[str], path: str) -> None:
+    """Writes a table of t and the named columns as a matrix in the order of t, with its side-car. One file for other tools, in a folder
+    that driver and executors share: the driver makes it, tasks fill in their ranges of rows through a memory map. A task that
+    is run again writes the same rows to the same place; t must not repeat."""
+    path = path.removeprefix("file:")
+    rows = durable(wide.select("t", *[F.col(f"`{c}`").cast("double").alias(f"_{k}") for k, c in enumerate(names)]).repartitionByRange("t").sortWithinPartitions("t").withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    starts = dict(zip(sorted(counts), np.cumsum([0, *(counts[k] for k in sorted(counts))]).tolist(), strict=False))
+    np.lib.format.open_memmap(path, "w+", np.float64, (sum(counts.values()), len(names))).flush()
     np.save(path.removesuffix(".npy") + "_columns.npy", np.array(names))
 
+    def fill(batches):
+        at: dict[int, int] = {}  # a task may get several parts, each in its order
+        out = np.lib.format.open_memmap(path, "r+")
+        for batch in batches:
+            parts = batch["_part"].to_numpy()
+            for part in np.unique(parts).tolist():
+                values = batch.loc[parts == part, [f"_{k}" for k in range(len(names))]].to_numpy(float)
+                low = at.get(part, starts[part])
+                out[low : low + len(values)] = values
+                at[part] = low + len(values)
+        out.flush()
+        yield from ()
+
+    if counts:
+        rows.mapInPandas(fill, "n long").count()
+
 
 def lag_array(path: str) -> list[tuple[str, int]]:
     """Optimal lags of a side-car: a structured array (variable, optimal_lag), pairs, or bare numbers."""
