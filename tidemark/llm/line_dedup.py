@@ -130,5 +130,5 @@ def dedup_lines(docs: DataFrame, width=SHINGLE, alike=ALIKE, min_words=1, id_col
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), width=1)
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
