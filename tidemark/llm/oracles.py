@@ -39,7 +39,7 @@ from units left join n using (u) left join least on least.a = units.u left join
 OP3 = f"""
 with line as (select doc_id, text is null none, unnest(string_split(coalesce(text, ''), chr(10))) l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) i from documents),
 units as (select row_number() over (order by doc_id, i) u, doc_id, i, {_WORDS.format(f"translate(l, '{_UP}', '{_LOW}')")} w from line),
-sets as (select distinct u, unnest(w) k from units), {_PAIRS},
+{_SETS}, {_PAIRS},
 gone as (select distinct b u from linked),
 kept as (select doc_id, count(*) filter (len(w) > 0) n_lines, count(*) filter (g.u is not null) n_removed, string_agg(case when g.u is null then l end, chr(10) order by i) t
   from units join line using (doc_id, i) left join gone g using (u) group by 1)
