@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, *needs: str):
         QUERIES[name] = lambda spark, sf_dir: rounded(make(spark, sf_dir))
         if sql is not None and name not in ORACLE_SQL:
             text = with_tables(sql, *needs)
-            text = text.replace("with ", "with recursive ", 1) if re.search(r"^(walk|sq)\(", text, re.M) else text
+            text = text.replace("with ", "with recursive ", 1) if re.search(r"^(walk|sq|solved|run_)\(", text, re.M) else text
             ORACLE_SQL[name] = re.sub(r"\bprecision\b", '"precision"', text)  # a reserved word
         return make
 
@@ -168,7 +168,9 @@ query("window_first_meta", "select window_idx, round(coalesce(arg_min(value, t),
 query("window_of_point", "select t, var, cast((t - 5) // 10 as int) window_idx from series where t >= 5", "series")(
     lambda s, d: fx.series(s, d).where("t >= 5").select("t", "var", windows.window_of(F.col("t"), 5).alias("window_idx"))
 )
-query("window_span", "select cast(42 as bigint) overlap_start, cast(122 as bigint) overlap_end, cast(22 as bigint) union_start, cast(142 as bigint) union_end")(lambda s, d: windows.common_span(values(s, [(20,), (30,), (40,)], "start long"), lag=2))
+query("window_span", "select cast(max(t) + 2 as bigint) overlap_start, cast(min(t) + 102 as bigint) overlap_end, cast(min(t) + 2 as bigint) union_start, cast(max(t) + 102 as bigint) union_end from (select window_idx * 10 t from w)", "w")(
+    lambda s, d: windows.common_span(fx.windowed(s, d).groupBy("window_idx").agg(F.min("t").alias("start")).select("start"), lag=2)
+)
 query("windows_with_point", "select p.t, w.window_idx from (select unnest([7, 250]) t) p join w on p.t >= w.window_idx * 10 and p.t < w.window_idx * 10 + 100", "w")(
     lambda s, d: windows.windows_with(values(s, [(7,), (250,)], "t int"), _ids(s, d)).select("t", "window_idx")
 )
@@ -227,7 +229,26 @@ query("model_settings", "select * from (values (10, 0.05::double, 0.1::double),
     lambda s, d: values(s, [(n, learn.learning_rate(n), learn.scaled_lambda(0.1, n)) for n in (10, 50, 200, 600)], "d int, lr double, lam double")
 )
 query("tucker_compression", "select cast(2889 as int) d, cast(2889 as bigint) * 2889 * 7 * 21 as \"full\"")(lambda s, d: values(s, [(2889, learn.compression(2889, 20, 5, (20, 10, 5))["full"])], "d int, full long"))
-query("ridge_var_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.ridge_kernel(2)))
+def solve_sql(rows: int, system: str, key: str) -> str:
+    """solved(k, key, r, c, v): the augmented matrices (key, r, c, v) of ``system``, all cells there, with one row eliminated at each k; at
+    k = rows the columns from ``rows`` on are the solution. No row is exchanged, so pivots must not vanish."""
+    return f"""
+solved(k, {key}, r, c, v) as (
+  select 0, {key}, r, c, v from {system} union all
+  select x.k + 1, x.{key}, x.r, x.c, case when x.r = x.k then x.v / p.v else x.v - q.v * s.v / p.v end
+  from solved x join solved p on p.{key} = x.{key} and p.r = x.k and p.c = x.k join solved q on q.{key} = x.{key} and q.r = x.r and q.c = x.k
+  join solved s on s.{key} = x.{key} and s.r = x.k and s.c = x.c where x.k < {rows})"""
+
+
+query("ridge_var_edges", f"""
+, at_ as (select distinct window_idx, t from windowed where t >= window_idx * 10 + 2),
+col as (
+  select a.window_idx, a.t, (l.lag - 1) * 5 + x.var_idx f, x.value v from at_ a cross join (select unnest([1, 2]) lag) l join windowed x on x.window_idx = a.window_idx and x.t = a.t - l.lag
+  union all select a.window_idx, a.t, 10 + x.var_idx, x.value from at_ a join windowed x using (window_idx, t)),
+cen as (select window_idx, t, f, v - avg(v) over (partition by window_idx, f) v from col),
+normal as (select window_idx, r, c, v + case when r = c then 0.1 else 0 end v from (select a.window_idx, a.f r, b.f c, sum(a.v * b.v) v from cen a join cen b using (window_idx, t) where a.f < 10 group by all)),
+{solve_sql(10, 'normal', 'window_idx')}
+select window_idx, cast(r % 5 as int) i, cast(c - 10 as int) j, cast(r // 5 + 1 as int) lag, round(v, 6) + 0.0 weight, cast(null as varchar) error from solved where k = 10 and c >= 10 and abs(v) > 0.01""", "windowed")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.ridge_kernel(2)))
 query("dynotears_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.dynotears_kernel(1, lambda_w=0.05, lambda_a=0.05, steps=200)))
 query("tucker_edges")(lambda s, d: learn.fit_windows(fx.windowed(s, d), kernels.tucker_kernel(1, least=0.0, steps=40)))
 
@@ -514,7 +535,20 @@ query("rca_macro_accuracy", """
 select round(sum(correct) / sum(n), 6) global_accuracy, round(avg(correct / n), 6) macro_accuracy from e""", "states")(
     lambda s, d: rca.macro_accuracy(_states(s, d).groupBy((F.col("window_idx") % 7).cast("string").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != detect.NORMAL).alias("correct")))
 )
-query("counterfactual")(lambda s, d: rca.counterfactual(fx.windowed(s, d), fx.edges(s, d).withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
+query("counterfactual", f"""
+, five as (select unnest(range(5)) k),
+sys as (select 0 one, r.k r, c.k c, case when r.k = c.k then 1 else 0 end - coalesce(0.1 * g.weight, 0) v from five r cross join five c left join gmean g on g.i = r.k and g.j = c.k
+  union all select 0, r.k, c.k + 5, case when r.k = c.k then 1.0 else 0.0 end from five r cross join five c),
+{solve_sql(5, 'sys', 'one')},
+step as (select w.window_idx, l.lag, i.k i, s.c - 5 j, sum(coalesce(0.1 * e.weight, 0) * s.v) v
+  from w cross join (select unnest([1, 2]) lag) l cross join five i join solved s on s.k = 5 and s.c >= 5 left join edges e on e.window_idx = w.window_idx and e.lag = l.lag and e.i = i.k and e.j = s.r group by all),
+steps as (select window_idx, list(m order by j) filter (lag = 1) m1, list(m order by j) filter (lag = 2) m2 from (select window_idx, lag, j, list(v order by i) m from step group by all) group by 1),
+given as (select window_idx, t - window_idx * 10 n, list(value order by var_idx) x from windowed group by all),
+run_(window_idx, n, x, y) as (
+  select a.window_idx, 1::bigint, a.x, b.x from given a join given b using (window_idx) where a.n = 1 and b.n = 0 union all
+  select r.window_idx, n + 1, [list_dot_product(x, m1[j]) + list_dot_product(y, m2[j]) for j in [1, 2, 3, 4, 5]], x from run_ r join steps using (window_idx) where n < 99),
+every_ as (select window_idx, n, x from run_ union all select window_idx, n, x from given where n = 0)
+select window_idx, window_idx * 10 + n t, cast(k as int) var_idx, round(x[k + 1], 6) + 0.0 as value from every_ cross join five""", "windowed", "edges", "gmean")(lambda s, d: rca.counterfactual(fx.windowed(s, d), fx.edges(s, d).withColumn("weight", F.col("weight") * 0.1), distance.golden_mean(fx.golden(s, d)).withColumn("weight", F.col("weight") * 0.1), 5))
 
 # evaluation ----------------------------------------------------------------------------------------------------------
 
