@@ -142,7 +142,34 @@ def _stationarity(s, d):
     return fx.prepared(s, d).select("t", "var", "value").groupBy("var").applyInPandas(one, "var string, adf_p double, kpss_p double")
 
 
-@query("optimal_lags")
+def solve_sql(rows: int, system: str, key: str) -> str:
+    """solved(k, key, r, c, v): the augmented matrices (key, r, c, v) of ``system``, all cells there, with one row eliminated at each k; at
+    k = rows the columns from ``rows`` on are the solution. No row is exchanged, so pivots must not vanish."""
+    return f"""
+solved(k, {key}, r, c, v) as (
+  select 0, {key}, r, c, v from {system} union all
+  select x.k + 1, x.{key}, x.r, x.c, case when x.r = x.k then x.v / p.v else x.v - q.v * s.v / p.v end
+  from solved x join solved p on p.{key} = x.{key} and p.r = x.k and p.c = x.k join solved q on q.{key} = x.{key} and q.r = x.r and q.c = x.k
+  join solved s on s.{key} = x.{key} and s.r = x.k and s.c = x.c where x.k < {rows})"""
+
+
+@query("optimal_lags", f"""
+, y_ as (select var, t, ln(1 + value + case when min(value) over (partition by var) <= 0 then abs(min(value) over (partition by var)) + 1e-10 else 1e-10 end) y from prepared),
+p_ as (select unnest(range(1, 21)) p),
+x_ as (select var, t, 0 k, 1.0::double v from y_ union all select var, t, 21, y from y_ union all
+  select a.var, a.t, l.p, b.y from y_ a cross join p_ l join y_ b on b.var = a.var and b.t = a.t - l.p),
+normal as (
+  select a.var || '|' || p id, a.k r, b.k c, sum(a.v * b.v) v from p_ join x_ a on a.t >= p and a.k <= p join x_ b on b.var = a.var and b.t = a.t and (b.k <= p or b.k = 21) group by all
+  union all select var || '|' || p, r, c, case when r = c then 1.0 else 0.0 end from types cross join p_ cross join (select unnest(range(21)) r) cross join (select unnest(range(22)) c) where r > p or c > p and c < 21),
+{solve_sql(21, 'normal', 'id')},
+e_ as (select b.id, x.var, p, x.t, sum(case when x.k = 21 then x.v else -b.v * x.v end) e
+  from p_ join x_ x on x.t >= p and (x.k <= p or x.k = 21) join (select id, r, v from solved where k = 21 and c = 21 union all select distinct id, 21, 1.0 from solved where k = 21) b on b.id = x.var || '|' || p and b.r = x.k group by all),
+c_ as (select id, var, p, t, e - avg(e) over (partition by id) e, count(*) over (partition by id) n from e_),
+s_ as (select id, sum(e * e) s from c_ group by 1),
+q_ as (select id, var, p, any_value(n) n, any_value(n) * (any_value(n) + 2) * sum(power(c / s, 2) / (n - k)) q from (
+  select a.id, a.var, a.p, l.p k, any_value(a.n) n, sum(a.e * b.e) c from c_ a cross join p_ l join c_ b on b.id = a.id and b.t = a.t - l.p where l.p <= 10 group by a.id, a.var, a.p, l.p) join s_ using (id) group by all),
+good as (select var, min(p) p from q_ where n > 11 and exp(-q / 2) * (1 + q / 2 + power(q / 2, 2) / 2 + power(q / 2, 3) / 6 + power(q / 2, 4) / 24) > 0.05 group by 1)
+select var variable, cast(coalesce(p, 20) as int) optimal_lag from types left join good using (var)""", "prepared", "types")
 def _optimal_lags(s, d):
     import pandas as pd
 
@@ -229,17 +256,6 @@ query("model_settings", "select * from (values (10, 0.05::double, 0.1::double),
     lambda s, d: values(s, [(n, learn.learning_rate(n), learn.scaled_lambda(0.1, n)) for n in (10, 50, 200, 600)], "d int, lr double, lam double")
 )
 query("tucker_compression", "select cast(2889 as int) d, cast(2889 as bigint) * 2889 * 7 * 21 as \"full\"")(lambda s, d: values(s, [(2889, learn.compression(2889, 20, 5, (20, 10, 5))["full"])], "d int, full long"))
-def solve_sql(rows: int, system: str, key: str) -> str:
-    """solved(k, key, r, c, v): the augmented matrices (key, r, c, v) of ``system``, all cells there, with one row eliminated at each k; at
-    k = rows the columns from ``rows`` on are the solution. No row is exchanged, so pivots must not vanish."""
-    return f"""
-solved(k, {key}, r, c, v) as (
-  select 0, {key}, r, c, v from {system} union all
-  select x.k + 1, x.{key}, x.r, x.c, case when x.r = x.k then x.v / p.v else x.v - q.v * s.v / p.v end
-  from solved x join solved p on p.{key} = x.{key} and p.r = x.k and p.c = x.k join solved q on q.{key} = x.{key} and q.r = x.r and q.c = x.k
-  join solved s on s.{key} = x.{key} and s.r = x.k and s.c = x.c where x.k < {rows})"""
-
-
 query("ridge_var_edges", f"""
 , at_ as (select distinct window_idx, t from windowed where t >= window_idx * 10 + 2),
 col as (
