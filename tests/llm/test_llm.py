@@ -149,6 +149,82 @@ def test_links_within_a_component(blocks):
         assert got[i] == want
 
 
+def family(r, k, edits, words=400):
+    """Texts of one family: of each, runs of words are its own, so that many pairs of it are nearly alike and some are."""
+    base, texts = [f"b{j}" for j in range(words)], []
+    for i in range(k):
+        w = list(base)
+        for at in r.integers(0, words - 4, r.integers(*edits)):
+            w[at : at + 4] = [f"u{i}x{at + j}" for j in range(4)]
+        texts.append(" ".join(w))
+    return texts
+
+
+def tile_of(r, k):
+    """What the join compares of one tile: k sets that the bounds let be alike, each a component of its own."""
+    import pyarrow as pa
+
+    base = r.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(400) > 0.12], r.integers(0, 2**63, 15).astype(np.uint64)])) for _ in range(k)]
+    unit, n = np.arange(k), np.array([len(x) for x in sets], np.int32)
+    same = lambda x, t: pa.array(np.full(k, x), t)
+    columns = {"unit": unit, "token": same(7, pa.int64()), "at": same(-1, pa.int32()), "n": n, "band": same(20, pa.int32()), "place": same(0, pa.int32()), "component": unit, "gone": same(False, pa.bool_())}
+    columns |= {"p1": unit, "p2": same(0, pa.int64()), "mark": pa.array([jaccard_join.mark(x) for x in sets], pa.list_(pa.int64())), "block": same(0, pa.int32()), "low": same(0, pa.int32()), "high": same(0, pa.int32())}
+    return pa.table(columns | {"of": same(7, pa.int64()), "of_at": same(0, pa.int32())}), sets
+
+
+def test_open_pairs_of_a_tile_grow_with_its_members():
+    r, made = np.random.default_rng(0), {}
+    for k in (60, 300):
+        tile, sets = tile_of(r, k)
+        pairs = jaccard_join._compare(jaccard_join.ALIKE)(tile)
+        got = jaccard_join._compare(jaccard_join.ALIKE, crowds=True)(tile)
+        assert pairs.num_rows > 10 * k and not any(pairs.column("crowd").to_pylist())
+        root = {u: to for u, to, crowd in zip(*(got.column(c).to_pylist() for c in ("unit", "to", "crowd")), strict=True) if crowd}
+        alone = {(u, to) for u, to, crowd in zip(*(got.column(c).to_pylist() for c in ("unit", "to", "crowd")), strict=True) if not crowd}
+        # each pair is written down or within a crowd
+        assert all((u, to) in alone or root.get(u, -1) == root.get(to, -2) for u, to in zip(*(pairs.column(c).to_pylist() for c in ("unit", "to")), strict=True))
+        made[k] = got.num_rows
+    assert made[300] <= 6 * made[60]
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_joins_connect_what_alike_sets_connect(blocks):
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        base = r.integers(0, 2**63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[r.random(60) > 0.12], r.integers(0, 2**63, r.integers(0, 6)).astype(np.uint64)])) for _ in range(40)]
+        component, block = r.integers(0, 30, 40), r.integers(0, 2, 40) if blocks else None
+        x, y, common_ = jaccard_join._joins(sets, component, block)
+        assert all(c == len(np.intersect1d(sets[i], sets[j])) and jaccard_join.alike_sets(c, len(sets[i]), len(sets[j])) for i, j, c in zip(x, y, common_, strict=True))
+        assert len(x) < len(set(component.tolist()))
+
+        def reached(pairs, component=component):
+            label = component.copy()
+            for i, j in pairs:
+                label[label == label[i]] = label[j]
+            return {(i, j) for i in range(40) for j in range(40) if label[i] == label[j]}
+
+        every = [(i, j) for i in range(40) for j in range(i) if (not blocks or block[i] != block[j]) and jaccard_join.alike_sets(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        assert reached(zip(x, y, strict=True)) == reached(every)
+
+
+def test_crowds_of_a_family_lose_no_link(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    texts = [*family(r, 60, (4, 5)), *family(r, 40, (5, 6))]
+    crowds, known = [], jaccard_join.crowd_links
+    monkeypatch.setattr(jaccard_join, "crowd_links", lambda members, alike: crowds.append(members.count()) or known(members, alike))
+    monkeypatch.setattr(jaccard_join, "LEADERS", 0)
+    got = {r.doc_id: r for r in jaccard_join.similar_documents(table(spark, texts)).collect()}
+    sets = [shingles(split(t)) for t in texts]
+    links = {(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and alike(sets[i], sets[j])}
+    least = list(range(len(texts)))
+    while (after := [min([least[i], *(least[j] for j in range(len(texts)) if (i, j) in links)]) for i in range(len(texts))]) != least:
+        least = after
+    assert crowds[0] > 0 and 1 < len(set(least)) < len(texts), (crowds, len(set(least)))
+    assert [(got[i].component_id, got[i].n_links) for i in range(len(texts))] == [(least[i], sum(a == i for a, _ in links)) for i in range(len(texts))]
+
+
 def test_bounds_never_rule_out_a_pair():
     r = np.random.default_rng(0)
     for _ in range(300):

@@ -11,6 +11,8 @@
    leaves open are compared too, block by block, each in one tile: for components, members of different
    components; for first occurrences, members that have no earlier match yet with all earlier ones. So nothing that
    could matter is passed over, and a group of copies makes a few stars, not all its pairs.
+   For components, where the bounds leave open many more pairs of a tile than it has members, these are a crowd: no pair
+   of it is written down, its sets are compared with one another, block by block, and what joins two components stays.
    Where the number of links is asked for, the members of each component are then compared with one another, block by
    block, as every link lies within a component: each representative counts the classes that are alike by their sizes,
    and no pair is written down.
@@ -37,9 +39,9 @@ from tidemark.llm.shared import Plan, Words, planes, rolling, unplaned, words_of
 
 SHINGLE, ALIKE = 5, (75, 100)
 #: Leaders of a tile besides its least member, longs of the short bitmap, members of a block, pairs compared at once,
-#: members of a tile that is compared along with others.
-LEADERS, MARK, BLOCK, AT_ONCE, SMALL = 3, 16, 4096, 1 << 17, 64
-#: Hashes of a block in which links are counted, and of the small components that are counted together.
+#: members of a tile that is compared along with others, open pairs for each member beyond which these are a crowd.
+LEADERS, MARK, BLOCK, AT_ONCE, SMALL, CROWDED = 3, 16, 4096, 1 << 17, 64, 4
+#: Hashes of a block in which links are counted or sought, and of the small components or crowds that are dealt with together.
 BLOCK_HASHES, TOGETHER = 1 << 20, 1 << 18
 
 
@@ -206,7 +208,7 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
 
     classes (digest, rep, p1, p2, size): of each set that may be in a pair or belongs to several units, the unit of the first
     place and how many units it has;
-    links (unit, to, common): pairs of representatives that are alike, which connect whatever is connected. If ``first``,
+    links (unit, to, common): pairs of representatives that are alike, which connect whatever is connected, not all. If ``first``,
     (digest) in place of links: the sets with an earlier match, as pairs that name one for each are looked for;
     reps: the representatives that may be in a pair.
     """
@@ -244,11 +246,15 @@ def class_links(units: DataFrame, alike=ALIKE, first=False) -> tuple[DataFrame,
     small, many = F.col("size") <= SMALL, max(8 * shuffle_partitions(units.sparkSession), reps.count() // 512)
     placed = placed.withColumn("low", F.when(small, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(small, -1).otherwise(F.greatest("block", "beside")))
     placed = placed.withColumn("of", F.when(small, F.pmod(F.xxhash64("least"), F.lit(many))).otherwise(F.col("token"))).withColumn("of_at", F.when(small, -2).otherwise(F.col("at")))
-    rest = placed.drop("size", "blocks", "beside", "least").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike), "unit long, to long")
-    links = links.unionByName(verified(rest.distinct(), reps, alike, bitmaps=not first))
+    rest = placed.drop("size", "blocks", "beside", "least").groupBy("of", "of_at", "low", "high").applyInArrow(_compare(alike, crowds=not first), "unit long, to long, crowd boolean").distinct()
     if first:
+        links = links.unionByName(verified(rest.select("unit", "to"), reps, alike, bitmaps=False))
         return classes, later_of(links, reps).join(reps.select("unit", "digest"), "unit").select("digest"), reps
-    return classes, durable(links.distinct()), reps
+    rest = durable(rest)
+    links = links.unionByName(verified(rest.where("not crowd").select("unit", "to"), reps, alike))
+    crowds = rest.where("crowd").select("unit", F.col("to").alias("crowd")).join(joined.withColumnRenamed("node", "unit"), "unit", "left")
+    crowds = crowds.withColumn("component", F.coalesce("component", "unit")).join(reps.select("unit", "n", "tokens"), "unit")
+    return classes, durable(links.unionByName(crowd_links(crowds, alike)).distinct()), reps
 
 
 def later_of(links: DataFrame, places: DataFrame) -> DataFrame:
@@ -281,45 +287,105 @@ def similar_units(heads: DataFrame, alike=ALIKE, count_links=True) -> DataFrame:
     )
 
 
-def link_counts(members: DataFrame, alike=ALIKE) -> DataFrame:
-    """members (unit, n, tokens, size, component) -> (unit, links): the sizes of the other members of its component that are alike,
-    summed. A component of many members or long sets is dealt into blocks, and each two blocks are one task's; small
-    components are many in one."""
-    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("hashes")).where("k > 1")
+def in_blocks(members: DataFrame, by: str):
+    """members (unit, n, and by: which of the sets to be compared with one another it belongs to) grouped for applyInArrow, with
+    block, low and high as columns. Many members or long sets are dealt into blocks, and each two blocks are one task's, low and high
+    differ if it is to compare across them only; the small are many in one."""
+    whole = members.groupBy(by).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("hashes")).where("k > 1")
     blocks = F.greatest(F.ceil(F.col("k") / F.lit(BLOCK // 2)), F.ceil(F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
     whole = durable(whole.withColumn("blocks", blocks))
     many = max(shuffle_partitions(members.sparkSession), int(whole.where("blocks = 1").agg(F.sum("hashes")).first()[0] or 0) // TOGETHER)
-    rows = members.join(whole.select("component", "blocks"), "component").withColumn("block", F.pmod(F.hash("unit"), "blocks"))
+    rows = members.join(whole.select(by, "blocks"), by).withColumn("block", F.pmod(F.hash("unit"), "blocks"))
     rows = rows.withColumn("beside", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     one = F.col("blocks") == 1
-    rows = rows.withColumn("of", F.when(one, F.pmod(F.xxhash64("component"), F.lit(many))).otherwise(F.col("component")))
+    rows = rows.withColumn("of", F.when(one, F.pmod(F.xxhash64(by), F.lit(many))).otherwise(F.col(by)))
     rows = rows.withColumn("low", F.when(one, -1).otherwise(F.least("block", "beside"))).withColumn("high", F.when(one, -1).otherwise(F.greatest("block", "beside")))
+    return rows.drop("n", "blocks", "beside").groupBy("of", "low", "high")
+
+
+def _each(rows: pa.Table, by: str):
+    """Of a group of in_blocks: the places of its rows for each value of ``by``, the sets of these, and their blocks if only pairs
+    across blocks count, else None."""
+    key, block, tokens = rows.column(by).to_numpy(), rows.column("block").to_numpy(), rows.column("tokens").combine_chunks()
+    across = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    for at in np.split(order, cuts[1:]):
+        yield at, [np.frombuffer(tokens[i].as_py(), np.uint64) for i in at.tolist()], block[at] if across else None
+
+
+def link_counts(members: DataFrame, alike=ALIKE) -> DataFrame:
+    """members (unit, n, tokens, size, component) -> (unit, links): the sizes of the other members of its component that are alike,
+    summed."""
     schema = pa.schema([("unit", pa.int64()), ("links", pa.int64())])
 
     def count(rows: pa.Table) -> pa.Table:
-        component, unit, size, block = (rows.column(c).to_numpy() for c in ("component", "unit", "size", "block"))
-        tokens, across = rows.column("tokens").combine_chunks(), rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
-        order = np.argsort(component, kind="stable")
-        cuts = np.flatnonzero(np.append(True, component[order][1:] != component[order][:-1]))
+        unit, size = (rows.column(c).to_numpy() for c in ("unit", "size"))
         units, links = [], []
-        for at in np.split(order, cuts[1:]):
-            sets = [np.frombuffer(tokens[i].as_py(), np.uint64) for i in at.tolist()]
+        for at, sets, block in _each(rows, "component"):
             units.append(unit[at])
-            links.append(_linked(sets, size[at].astype(np.int64), block[at] if across else None, alike))
+            links.append(_linked(sets, size[at].astype(np.int64), block, alike))
         trim()
         return pa.table([pa.array(np.concatenate(units)), pa.array(np.concatenate(links))], schema=schema)
 
-    counted = rows.select("of", "low", "high", "component", "unit", "size", "block", "tokens").groupBy("of", "low", "high").applyInArrow(count, "unit long, links long")
+    counted = in_blocks(members.select("unit", "n", "tokens", "size", "component"), "component").applyInArrow(count, "unit long, links long")
     return counted.groupBy("unit").agg(F.sum("links").alias("links"))
 
 
+def crowd_links(members: DataFrame, alike=ALIKE) -> DataFrame:
+    """members (unit, n, tokens, component, crowd) -> (unit, to, common): of each crowd, pairs that are alike and connect whatever
+    components such pairs of it connect; fewer of a task than it has members."""
+    schema = pa.schema([("unit", pa.int64()), ("to", pa.int64()), ("common", pa.int32())])
+
+    def join(rows: pa.Table) -> pa.Table:
+        unit, component = (rows.column(c).to_numpy() for c in ("unit", "component"))
+        found = [(unit[at], *_joins(sets, component[at], block, alike)) for at, sets, block in _each(rows, "crowd")]
+        x, y, common = (np.concatenate(c) for c in zip(*((u[i], u[j], n) for u, i, j, n in found), strict=True))
+        trim()
+        return pa.table([pa.array(c, f.type) for c, f in zip((np.maximum(x, y), np.minimum(x, y), common), schema, strict=True)], schema=schema)
+
+    return in_blocks(members.select("unit", "n", "tokens", "component", "crowd"), "crowd").applyInArrow(join, "unit long, to long, common int")
+
+
 def _linked(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray | None, alike=ALIKE) -> np.ndarray:
-    """Per set the sizes of the others that are alike, summed; of those of other blocks only, if blocks are given. Hashes that few sets
-    have are counted off their lists of sets, those that many have as bits."""
-    n, k = np.array([len(x) for x in sets]), len(sets)
-    if k == 2:
+    """Per set the sizes of the others that are alike, summed; of those of other blocks only, if blocks are given."""
+    n = np.array([len(x) for x in sets])
+    if len(sets) == 2:
         both = alike_sets(len(np.intersect1d(*sets, assume_unique=True)), n[0], n[1], alike) and (block is None or block[0] != block[1])
         return size[::-1] * int(both)
+    out = np.zeros(len(sets), np.int64)
+    for x, common in enumerate(_common(sets)):
+        linked = alike_sets(common, n[x], n, alike)
+        linked[x] = False
+        if block is not None:
+            linked &= block != block[x]
+        out[x] = size[linked].sum()
+    return out
+
+
+def _joins(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray | None, alike=ALIKE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places whose sets are alike, and the common counts: of all such pairs, or those of different blocks if blocks are given, so
+    many that they connect the same components; no more than there are components."""
+    n, label = np.array([len(x) for x in sets]), np.unique(component, return_inverse=True)[1]
+    out = [np.empty((3, 0), np.int64)]
+    for x, common in enumerate(_common(sets)):
+        linked = alike_sets(common, n[x], n, alike) & (label != label[x])
+        if block is not None:
+            linked &= block != block[x]
+        at = np.flatnonzero(linked)
+        if len(at):
+            at = at[np.unique(label[at], return_index=True)[1]]
+            out.append(np.stack([np.full(len(at), x), at, common[at]]))
+            label[np.isin(label, label[at])] = label[x]
+            if (label == label[x]).all():
+                break
+    return tuple(np.concatenate(out, 1))
+
+
+def _common(sets: list[np.ndarray]):
+    """For each set in turn: how many hashes it has in common with every one. Hashes that few sets have are counted off their lists
+    of sets, those that many have as bits."""
+    n, k = np.array([len(x) for x in sets]), len(sets)
     of, h = np.repeat(np.arange(k), n), np.concatenate(sets)
     order = np.argsort(h, kind="stable")
     h, of = h[order], of[order]
@@ -336,7 +402,6 @@ def _linked(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray | None,
     by_set = few[np.argsort(of[few], kind="stable")]
     begin, own = np.repeat(starts, length)[by_set], length_of[by_set]
     edges = np.searchsorted(of[by_set], np.arange(k + 1))
-    out = np.zeros(k, np.int64)
     for x in range(k):
         common = np.bitwise_count(bits & bits[x]).sum(1, dtype=np.int64)
         a, b = edges[x], edges[x + 1]
@@ -344,12 +409,7 @@ def _linked(sets: list[np.ndarray], size: np.ndarray, block: np.ndarray | None,
             runs = own[a:b]
             at = np.arange(int(runs.sum())) + np.repeat(begin[a:b] - np.append(0, np.cumsum(runs)[:-1]), runs)
             common += np.bincount(of[at], minlength=k)
-        linked = alike_sets(common, n[x], n, alike)
-        linked[x] = False
-        if block is not None:
-            linked &= block != block[x]
-        out[x] = size[linked].sum()
-    return out
+        yield common
 
 
 def _tiles(reps: DataFrame, alike, banded=True) -> DataFrame:
@@ -370,14 +430,31 @@ def _tiles(reps: DataFrame, alike, banded=True) -> DataFrame:
     return reps.mapInArrow(dealt, "token long, at int, unit long, n int, band int, p1 long, place int")
 
 
-def _compare(alike):
+def _crowds(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of units, each once -> those to be looked at one by one, and the members of crowds with the least member of each: what
+    the pairs connect is a crowd if there are more than CROWDED pairs for each member."""
+    units, ends = np.unique(pairs, return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    root, before = np.arange(len(units)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        least = np.minimum(root[u], root[v])
+        np.minimum.at(root, before[u], least)
+        np.minimum.at(root, before[v], least)
+        root = root[root]
+    crowded = np.bincount(root[u], minlength=len(units)) > CROWDED * np.bincount(root, minlength=len(units))
+    member = crowded[root]
+    return pairs[~member[u]], units[member], units[root[member]]
+
+
+def _compare(alike, crowds=False):
     """Of two blocks of a tile, or of many small tiles: the pairs of different components, the later one without an earlier
-    match so far, that the bounds let be alike.
+    match so far, that the bounds let be alike. With ``crowds``, those of crowds aren't written down; each member is, with the least one.
 
     A pair of one band is compared in the tile of that band, one of two in that of the greater. What comes of several tiles
     is made one afterwards, so a row carries nothing of its set but its bitmap.
     """
-    schema = pa.schema([("unit", pa.int64()), ("to", pa.int64())])
+    schema = pa.schema([("unit", pa.int64()), ("to", pa.int64()), ("crowd", pa.bool_())])
 
     def compare(rows: pa.Table) -> pa.Table:
         small = rows.column("of_at")[0].as_py() == -2
@@ -417,8 +494,11 @@ def _compare(alike):
                 x, y = np.nonzero(np.arange(len(unit)) > np.arange(a, min(a + step, len(unit)))[:, None])
                 bounded(x + a, y)
         pairs = np.unique(np.concatenate(found), axis=0)
+        members = least = np.empty(0, np.int64)
+        if crowds and len(pairs):
+            pairs, members, least = _crowds(pairs)
         trim()
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        return pa.table([pa.array(np.append(pairs[:, 0], members)), pa.array(np.append(pairs[:, 1], least)), pa.array(np.repeat([False, True], [len(pairs), len(members)]))], schema=schema)
 
     return compare
 
